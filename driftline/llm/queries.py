@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
 from driftline.llm.mixing import mix_sources
+from driftline.llm.near_dedup import near_dedup
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_near_dedup": op5_near_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
     }
