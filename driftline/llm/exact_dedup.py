@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACE, own_columns
+from driftline.llm.common import SPACE, materialize, own_columns
 
 #: More than twice the range of a 64-bit id, so that the length decides first and the id second.
 _LENGTH_STEP = "20000000000000000000"
@@ -63,14 +63,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     groups = content_groups(keyed, salts)
     # Stage 3 compared full contents: the digests with one content need no text to find their group again.
-    by_digest = groups.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")
+    by_digest = materialize(
+        groups.groupBy("digest").agg(
+            F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")
+        ),
+        "digests",
     )
-    single = by_digest.where("contents = 1").drop("contents")
+    found = keyed.select("id", "digest").join(by_digest.where("contents = 1").drop("contents"), "digest")
     collided = by_digest.where("contents > 1").select("digest")
-    plain = keyed.select("id", "digest").join(single, "digest")
-    rare = keyed.join(collided, "digest", "left_semi").join(groups, ["digest", "content"]).select("digest", "id", "keep_id", "group_size")
-    return plain.unionByName(rare).select(
+    if not collided.isEmpty():
+        rare = keyed.join(collided, "digest", "left_semi").join(groups, ["digest", "content"])
+        found = found.unionByName(rare.select("digest", "id", "keep_id", "group_size"))
+    return found.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
