@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, own_columns
+from driftline.llm.common import WORD, materialize, own_columns
 
 #: Fractional part of the golden ratio, in units of 2^-32: point i is (i * GOLDEN mod 2^32) / 2^32.
 GOLDEN = 2654435769
@@ -142,6 +142,7 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Pieces: slot, rank, source, id, start, from_word, n_words - which words of which document each slot takes.
     """
     sized = own_columns(docs, id_col, source_col, text_col).toDF("id", "source", "text").select("id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialize(sized, "sizes")  # texts are read and counted once
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
     streams = source_streams(sized)
     b = F.lit(block)
