@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
+from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
 
@@ -16,6 +17,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_near_dedup": op5_near_dedup,
+        "op6_near_vectors": op6_near_vectors,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
     }
