@@ -11,6 +11,14 @@ from driftline.llm.exact_dedup import exact_dedup
 from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
+from driftline.llm.pieces import encode_texts, load_model
+
+#: The public vocabulary that the queries encode with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), load_model(PIECES))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentence_pieces": op2_sentence_pieces,
         "op5_near_dedup": op5_near_dedup,
         "op6_near_vectors": op6_near_vectors,
         "op8_mix_sources": op8_mix_sources,
