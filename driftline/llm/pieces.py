@@ -103,14 +103,27 @@ class PieceModel:
         return out
 
 
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Scores of a file as log probabilities.
+
+    Unigram files hold them already.  BPE files hold minus the rank of the merge (and a far rank for single
+    characters); as sums of ranks compare badly, ranks become a Zipf law, log(1 / (rank + 2)) less the log of
+    the total.
+    """
+    if not len(scores) or not np.equal(scores, np.round(scores)).all() or (scores > 0).any():
+        return scores
+    weights = 1.0 / (2.0 - scores)
+    return np.log(weights / weights.sum())
+
+
 def load_model(path: str) -> PieceModel:
-    """The pieces, scores and kinds of a SentencePiece model file, read on the driver."""
+    """The pieces, log scores and kinds of a SentencePiece model file, read on the driver."""
     import sentencepiece
 
     read = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(read.vocab_size())
     kind = lambda i: "byte" if read.is_byte(i) else "unknown" if read.is_unknown(i) else "control" if read.is_control(i) or read.is_unused(i) else "normal"
-    return PieceModel([read.id_to_piece(i) for i in ids], np.array([read.get_score(i) for i in ids]), [kind(i) for i in ids])
+    return PieceModel([read.id_to_piece(i) for i in ids], log_scores(np.array([read.get_score(i) for i in ids])), [kind(i) for i in ids])
 
 
 class Coder:

@@ -12,14 +12,16 @@ def coder():
     return Coder(load_model(PATH))
 
 
-def unigram_twin():
-    """The same pieces and scores, read by the library as a unigram model."""
+def unigram_twin(model):
+    """The same pieces with the model's scores, read by the library as a unigram model."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
     proto.ParseFromString(open(PATH, "rb").read())
     proto.trainer_spec.model_type = 1
+    for piece, score in zip(proto.pieces, model.scores.tolist()):
+        piece.score = score
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
@@ -31,9 +33,14 @@ def texts():
 
 
 def test_matches_the_library_as_unigram(coder):
-    twin = unigram_twin()
+    """The library adds scores in single precision: where it differs, it may not be better by more than that."""
+    twin, scores, same = unigram_twin(coder.model), coder.model.scores, 0
     for text in texts():
-        assert coder.encode([text])[0] == twin.encode(text), text
+        ours, theirs = coder.encode([text])[0], twin.encode(text)
+        assert coder.decode(ours) == text
+        same += ours == theirs
+        assert sum(scores[i] for i in ours if coder.model.kinds[i] == "normal") >= sum(scores[i] for i in theirs if coder.model.kinds[i] == "normal") - 1e-3
+    assert same >= 0.95 * len(texts())
 
 
 def test_long_and_short_walks_agree(coder):
