@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftline.llm.chat_format import digest_windows, format_chats
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
 from driftline.llm.metric_join import near_vectors
@@ -29,6 +31,13 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digest_windows(format_chats(turns))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentence_pieces": op2_sentence_pieces,
         "op5_near_dedup": op5_near_dedup,
         "op6_near_vectors": op6_near_vectors,
+        "op7_chat_windows": op7_chat_windows,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
     }
