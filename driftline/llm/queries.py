@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.llm.chat_format import digest_windows, format_chats
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
+from driftline.llm.language_id import held_out, identify, learn_from_training_fold
 from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
@@ -23,6 +24,12 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), load_model(PIECES))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_from_training_fold(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -49,6 +56,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentence_pieces": op2_sentence_pieces,
+        "op4_language_id": op4_language_id,
         "op5_near_dedup": op5_near_dedup,
         "op6_near_vectors": op6_near_vectors,
         "op7_chat_windows": op7_chat_windows,
