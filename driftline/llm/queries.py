@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.llm.chat_format import digest_windows, format_chats
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
+from driftline.llm.html_text import extract_main_text
 from driftline.llm.language_id import held_out, identify, learn_from_training_fold
 from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
@@ -20,6 +21,10 @@ from driftline.llm.pieces import encode_texts, load_model
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), load_model(PIECES))
 
@@ -55,6 +60,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_sentence_pieces": op2_sentence_pieces,
         "op4_language_id": op4_language_id,
         "op5_near_dedup": op5_near_dedup,
