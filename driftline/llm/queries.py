@@ -16,6 +16,7 @@ from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
 from driftline.llm.pieces import encode_texts, load_model
+from driftline.llm.url_filter import Rule, filter_urls
 
 #: The public vocabulary that the queries encode with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +59,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Rules of the URL query.
+URL_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -68,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_windows": op7_chat_windows,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_url_filter": op10_url_filter,
     }
 
 
