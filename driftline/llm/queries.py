@@ -16,6 +16,7 @@ from driftline.llm.metric_join import near_vectors
 from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
 from driftline.llm.pieces import encode_texts, load_model
+from driftline.llm.substring_dedup import remove_repeats
 from driftline.llm.url_filter import Rule, filter_urls
 
 #: The public vocabulary that the queries encode with.
@@ -30,6 +31,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), load_model(PIECES))
 
 
+def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn_from_training_fold(docs))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_sentence_pieces": op2_sentence_pieces,
+        "op3_remove_repeats": op3_remove_repeats,
         "op4_language_id": op4_language_id,
         "op5_near_dedup": op5_near_dedup,
         "op6_near_vectors": op6_near_vectors,
