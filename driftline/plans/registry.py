@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import panel
+from driftline.plans import panel, study
 
-_MODULES = [panel]
+_MODULES = [study, panel]
 
 
 def queries() -> dict:
