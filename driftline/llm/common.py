@@ -38,7 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables whose consumers are materialized themselves, and let Spark drop the shuffle files behind them.
+
+    Shuffle files go when the driver's JVM finds their plans unreachable; on a long job that may be much later.
+    """
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.stored_at
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

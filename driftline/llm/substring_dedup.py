@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialize, own_columns
+from driftline.llm.common import discard, materialize, own_columns
 from driftline.llm.streams import sorted_groups
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 64
 #: Classes of one gram that one task sorts; grams with more are counted window by window.
-MOST_CLASSES = 20_000
+MOST_CLASSES = 100_000
 
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], dtype=np.uint64)
 _STEPS = np.array([xxhash.xxh64_intdigest(f"step {i}") | 1 for i in range(16)], dtype=np.uint64)
@@ -139,37 +139,65 @@ def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[list[int], int, int]]:
-    """(members, l, r): groups that share r bytes right and l left of the anchor, l + r >= length, and no more on either side as a group.
-
-    contexts: (bytes before the anchor, bytes from it).
-    """
-    order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
-    lcp = [_common(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:])]
-    lefts = [c[0][::-1] for c in contexts]
-    by_left = sorted(range(len(contexts)), key=lambda i: lefts[i])
-    rank = [0] * len(contexts)
-    for k, i in enumerate(by_left):
-        rank[i] = k
-    for right, first, last in prefix_intervals(lcp):
-        members = sorted(order[first : last + 1], key=rank.__getitem__)
-        shared = [_common(lefts[a], lefts[b]) for a, b in zip(members, members[1:])]
-        # Left extensions: the intervals of the members' left bytes that reach the length with what they share right.
-        if right + max(shared) < length:
-            continue
-        for left, a, b in prefix_intervals(shared):
-            if left + right >= length:
-                yield members[a : b + 1], left, right
-
-
-def _cover(contexts: list[tuple[bytes, bytes]], length: int) -> dict[int, tuple[int, int]]:
-    """How far left and right of its anchor each context is covered by repeats."""
-    out: dict[int, tuple[int, int]] = {}
-    for members, left, right in maximal_repeats(contexts, length):
-        for m in members:
-            l, r = out.get(m, (0, 0))
-            out[m] = max(l, left), max(r, right)
-    return out
+class ContextTree:
+    """Enhanced suffix array of contexts (bytes before the anchor, bytes from it), with the order of their left bytes beside it."""
+
+    def __init__(self, contexts: list[tuple[bytes, bytes]], length: int):
+        self.length, self.n = length, len(contexts)
+        self.order = sorted(range(self.n), key=lambda i: contexts[i][1])
+        self.lcp = [_common(contexts[a][1], contexts[b][1]) for a, b in zip(self.order, self.order[1:])]
+        lefts = [c[0][::-1] for c in contexts]
+        by_left = sorted(range(self.n), key=lambda i: lefts[i])
+        self.left_lcp = np.array([_common(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:])], dtype=np.int64)
+        self.by_left = np.array(by_left)
+        rank = np.empty(self.n, dtype=np.int64)
+        rank[self.by_left] = np.arange(self.n)
+        self.rank = rank[self.order]  # left rank of each suffix, in suffix order
+        # No partner at all shares more to the left than a neighbour in left order does.
+        padded = np.concatenate([[0], self.left_lcp, [0]])
+        self.most_left = np.maximum(padded[:-1], padded[1:])[self.rank]
+
+    def repeats(self) -> Iterator[tuple[list[int], int, int]]:
+        """(members, l, r): every group that shares r bytes right and l left of the anchor, l + r >= length, and as a group no more."""
+        for right, first, last in prefix_intervals(self.lcp):
+            if right + int(self.most_left[first : last + 1].max()) < self.length:
+                continue
+            ranks = np.sort(self.rank[first : last + 1])
+            shared = self._between(ranks)
+            for left, a, b in prefix_intervals(shared.tolist()):
+                if left + right >= self.length:
+                    yield self.by_left[ranks[a : b + 1]].tolist(), left, right
+
+    def _between(self, ranks: np.ndarray) -> np.ndarray:
+        padded = np.append(self.left_lcp, np.iinfo(np.int64).max)
+        return np.minimum.reduceat(padded, ranks)[:-1] if len(ranks) < self.n else self.left_lcp
+
+    def cover(self) -> tuple[np.ndarray, np.ndarray]:
+        """How far left and right of its anchor each context is covered by repeats (0, 0: not at all).
+
+        One stack scan over the suffix order, inner intervals first.  In an interval that shares ``right`` bytes
+        the left extensions are tested at once: a member is in a repeat if a neighbour in left order shares at
+        least ``length - right``.  Inner intervals share more to the right, so an outer one can only reach
+        farther left; it is passed over when none of its members can (all have what their best neighbour shares).
+        """
+        before, after = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)  # in suffix order
+        for right, first, last in prefix_intervals(self.lcp):
+            here = slice(first, last + 1)
+            need = self.length - right
+            can = self.most_left[here]
+            open_ = (can >= need) & ((before[here] < can) | (after[here] == 0))
+            if not open_.any():
+                continue
+            at = np.argsort(self.rank[here])
+            shared = np.concatenate([[-1], self._between(self.rank[here][at]), [-1]])
+            most = np.maximum(shared[:-1], shared[1:])
+            hit = most >= need
+            rows = first + at[hit]
+            before[rows] = np.maximum(before[rows], most[hit])
+            after[rows] = np.maximum(after[rows], right)
+        out_before, out_after = np.empty_like(before), np.empty_like(after)
+        out_before[self.order], out_after[self.order] = before, after
+        return out_before, out_after
 
 
 def _scan(length: int):
@@ -181,8 +209,9 @@ def _scan(length: int):
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["gram", "context", "before", "after"])
 
         for (gram,), rows in sorted_groups(batches, 1):
-            for i, (left, right) in _cover([(r[1], r[2]) for r in rows], length).items():
-                out.append((gram, rows[i][0], left, right))
+            before, after = ContextTree([(r[1], r[2]) for r in rows], length).cover()
+            for i in np.nonzero(after)[0].tolist():
+                out.append((gram, rows[i][0], int(before[i]), int(after[i])))
             if len(out) > 20_000:
                 yield batch_of(out)
                 out.clear()
@@ -260,19 +289,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_intervals(rows: DataFrame, length: int, gram: int, most_classes: int) -> DataFrame:
-    """rows: id, text -> (id, a, b): byte intervals covered by repeats, overlapping ones included."""
+    """rows: id, text -> (id, intervals): byte intervals (a, b) covered by repeats, overlapping ones included."""
     found = materialize(rows.mapInArrow(_find_anchors(length, gram), f"id {rows.schema['id'].dataType.simpleString()}, at long, gram long, context long"), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
     again = materialize(found.join(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "gram"), "anchors")
+    discard(found)
     classes = again.groupBy("gram", "context", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("one"))
     classes = materialize(classes, "classes")
     wanted = classes.where("mixed").select("gram", "context", "one.id", "one.at").groupBy("id").agg(F.collect_list(F.struct("gram", "context", "at")).alias("wanted"))
     contexts = wanted.withColumnRenamed("id", "owner").join(rows, F.col("owner").eqNullSafe(F.col("id"))).select("text", "wanted").mapInArrow(_extract(length, gram), "gram long, context long, left binary, right binary")
     large = classes.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(f"n > {most_classes}").select("gram")
-    some_large = not large.isEmpty()
+    some_large, spent = not large.isEmpty(), []
     if some_large:
         contexts = materialize(contexts, "contexts")
+        spent.append(contexts)
         large = materialize(large, "grams")
+        spent.append(large)
         small = contexts.join(large, "gram", "left_anti")
     else:
         small = contexts
@@ -282,14 +314,19 @@ def repeated_intervals(rows: DataFrame, length: int, gram: int, most_classes: in
         # A window is told from itself by its place: two anchors with the same gram may both see it.
         place = F.xxhash64("one.id", F.col("one.at") - F.col("before"))
         each = materialize(each.join(classes.select("gram", "context", "one"), ["gram", "context"]).select("gram", "context", "before", "window", place.alias("place")), "windows")
+        spent.append(each)
         twice = each.groupBy("gram", "window").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).where("p0 <> p1").select("gram", "window")
         covered = covered.unionByName(
             each.join(twice, ["gram", "window"], "left_semi").groupBy("gram", "context")
             .agg(F.max("before").alias("before"), F.max(F.lit(length) - F.col("before")).alias("after"))
         )
     whole = classes.where("n > 1").select("gram", "context", F.lit(length - gram).cast("long").alias("before"), F.lit(length).cast("long").alias("after"))
-    cover = covered.unionByName(whole).groupBy("gram", "context").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    return again.join(cover, ["gram", "context"]).select("id", (F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after")).alias("b"))
+    cover = materialize(covered.unionByName(whole).groupBy("gram", "context").agg(F.max("before").alias("before"), F.max("after").alias("after")), "cover")
+    discard(classes, *spent)
+    intervals = again.join(cover, ["gram", "context"]).select("id", (F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after")).alias("b"))
+    per_doc = materialize(intervals.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("intervals")), "intervals")
+    discard(again, cover)
+    return per_doc
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most_classes: int = MOST_CLASSES) -> DataFrame:
@@ -302,8 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = own_columns(docs, id_col, text_col).toDF("own", "text")
     source = named.select(F.struct("own", F.xxhash64("text").alias("text_hash")).alias("id"), "text")
-    intervals = repeated_intervals(source, length, gram, most_classes)
-    per_doc = intervals.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("intervals")).withColumnRenamed("id", "found")
+    per_doc = repeated_intervals(source, length, gram, most_classes).withColumnRenamed("id", "found")
     cut = source.join(per_doc, F.col("id").eqNullSafe(F.col("found")), "left").select(F.col("id.own").alias("id"), "text", "intervals")
     kind = named.schema["own"].dataType.simpleString()
     return cut.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>").withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from driftline.llm.substring_dedup import _cover, _context, anchors, prefix_intervals, remove_repeats
+from driftline.llm.substring_dedup import ContextTree, anchors, prefix_intervals, remove_repeats
 
 
 def brute(texts, length):
@@ -54,6 +54,26 @@ def test_anchors_are_shared_by_equal_strings():
             assert any(i <= p <= i + 32 and p + len(x) in set(b) for p in a)
 
 
+def test_repeat_groups_and_cover():
+    rng = random.Random(4)
+    share = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for _ in range(60):
+        contexts = list({(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 6))), bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 8)))) for _ in range(rng.randint(2, 25))})
+        if len(contexts) < 2:
+            continue
+        want_l, want_r, want_pairs = [0] * len(contexts), [0] * len(contexts), set()
+        for i, a in enumerate(contexts):
+            for j, b in enumerate(contexts):
+                l, r = share(a[0][::-1], b[0][::-1]), share(a[1], b[1])
+                if i != j and l + r >= 7:
+                    want_l[i], want_r[i] = max(want_l[i], l), max(want_r[i], r)
+                    want_pairs.add((i, j))
+        tree = ContextTree(contexts, 7)
+        before, after = tree.cover()
+        assert (before.tolist(), after.tolist()) == (want_l, want_r)
+        assert {(i, j) for members, _, _ in tree.repeats() for i in members for j in members if i != j} == want_pairs
+
+
 def run(spark, texts, length, gram, most):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as id", "2 as gram")
     rows = remove_repeats(df, length=length, gram=gram, most_classes=most).collect()
