@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import panel, study
+from driftline.plans import more, panel, study
 
-_MODULES = [study, panel]
+_MODULES = [study, panel, more]
 
 
 def queries() -> dict:
