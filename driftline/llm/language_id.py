@@ -41,7 +41,10 @@ _EDGE = 1  # code point that stands for the beginning and end of a word
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; a text with no letter has none."""
-    return [w for w in _WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+    found = _WORDS.findall(text.lower()) if text else []
+    if text and text.isascii():
+        return found
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]  # not of numeric signs alone
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,32 +121,44 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel(languages, logs.astype(np.float32), scripts)
 
 
+def _stretch_path(scores: np.ndarray, home: int, switch: float, opens: bool, closes: bool) -> list[int]:
+    """Viterbi over one stretch whose neighbours (unless it ``opens`` or ``closes`` the text) are of language ``home``."""
+    rows, k = scores.tolist(), scores.shape[1]
+    now = [x if opens or j == home else x - switch for j, x in enumerate(rows[0])]
+    back: list[list[int] | None] = [None]
+    for row in rows[1:]:
+        most = max(now)
+        best, away = now.index(most), most - switch
+        back.append([j if now[j] >= away else best for j in range(k)])
+        now = [(x if x >= away else away) + y for x, y in zip(now, row)]
+    last = [x if closes or j == home else x - switch for j, x in enumerate(now)]
+    path = [last.index(max(last))]
+    for step in reversed(back[1:]):
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Viterbi: the language of each word that maximises summed scores less ``switch`` for every change.
 
-    If no stretch of words gains ``switch`` by leaving the best single language, that language is the path:
-    any stay elsewhere costs at least one switch and gains no more than its stretch does.
+    A stay away from the best single language costs at least one switch and gains at most its words' best gains.
+    Words that lie in no run of words with summed gains above ``switch`` are therefore of that language in a
+    best path, and each stretch of other words is decided by itself, between words of that language.
     """
     n, k = scores.shape
+    scores = scores.astype(np.float64)
     whole = int(scores.sum(axis=0).argmax())
+    path = np.full(n, whole, dtype=np.int64)
     if k == 1:
-        return np.zeros(n, dtype=np.int64)
+        return path
     gain = np.delete(scores, whole, axis=1).max(axis=1) - scores[:, whole]
     total = np.concatenate([[0.0], np.cumsum(gain)])
-    if (total - np.minimum.accumulate(total)).max() <= switch:
-        return np.full(n, whole)
-    back, every = np.empty((n, k), dtype=np.int32), np.arange(k)
-    now = scores[0].copy()
-    for t in range(1, n):
-        best = int(now.argmax())
-        away = now[best] - switch
-        stay = now >= away
-        back[t] = np.where(stay, every, best)
-        now = np.where(stay, now, away) + scores[t]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = now.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    # The best run of words that holds word t: from the lowest sum before it to the highest sum after it.
+    run = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    inside = np.concatenate([[False], run > switch, [False]])
+    edges = np.nonzero(inside[1:] != inside[:-1])[0]
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        path[start:end] = _stretch_path(scores[start:end], whole, switch, start == 0, end == n)
     return path
 
 
