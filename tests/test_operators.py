@@ -91,9 +91,9 @@ def test_files_round_trip(spark, tmp_path):
     panel = files.read_price_folder(spark, str(folder)).collect()
     assert [(r.ticker, r.source, r.open, r.close, r.vwap) for r in panel] == [("AAA", "fmp", 1.0, 2.0, None)]
     assert files.read_price_folder(spark, str(tmp_path / "none")).count() == 0
-    (tmp_path / "labels.csv").write_text("announcement_date,index,action,ticker\n2024-03-01,asx200, addition,bhp \n")
+    (tmp_path / "labels.csv").write_text("announcement_date,index,action,ticker\n2024-03-01,idx200, addition,bhp \n")
     label = files.read_labels(spark, str(tmp_path / "labels.csv")).collect()[0]
-    assert (label.action, label.ticker, label["index"], label.company_name) == ("Addition", "BHP", "ASX200", None)
+    assert (label.action, label.ticker, label["index"], label.company_name) == ("Addition", "BHP", "IDX200", None)
     (tmp_path / "snap.json").write_text('{"2024-01-01": [{"ticker": "A", "name": "Aa", "sector": "S"}], "2024-02-01": []}')
     assert [(str(r.snapshot), r.ticker, r.sector) for r in files.read_snapshots(spark, str(tmp_path / "snap.json")).collect()] == [("2024-01-01", "A", "S")]
     rows = spark.createDataFrame([("A", D(0), 1.0), ("B", D(1), 2.0)], "ticker string, date date, close double")
