@@ -126,5 +126,47 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id, doc_id AS reach FROM documents UNION SELECT e.b, r.reach FROM r JOIN e ON r.doc_id = e.a
+), c AS (
+  SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+OP6_SQL = """
+WITH RECURSIVE g AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+), r AS (
+  SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT e.b, r.reach FROM r JOIN e ON r.vec_id = e.a
+), c AS (
+  SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id
+), k AS (
+  SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a
+)
+SELECT d.vec_id, coalesce(n, 0) AS n_links, component_id, d.vec_id = component_id AS kept
+FROM embeddings d JOIN c ON d.vec_id = c.vec_id LEFT JOIN k ON d.vec_id = k.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
