@@ -34,3 +34,36 @@ def carry_sections(numbered: DataFrame, key: str, header: str) -> DataFrame:
     at = F.when(F.col("line").rlike(header), F.col("line_no"))
     frame = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return numbered.withColumn("section", F.last(at, ignorenulls=True).over(frame))
+
+
+def clean_ticker(raw: Column) -> Column:
+    """What stands before the first dot; null if it is digits only or not 1 to 6 letters and digits."""
+    head = F.substring_index(F.upper(F.trim(raw)), ".", 1)
+    return F.when(head.rlike("^[A-Z0-9]{1,6}$") & ~head.rlike("^[0-9]+$"), head)
+
+
+def venue_tickers(ticker: Column) -> Column:
+    """Struct of the forms that venues write a ticker in."""
+    return F.struct(F.concat(ticker, F.lit(".AX")).alias("dotted"), F.concat(ticker, F.lit(" AU Equity")).alias("spaced"))
+
+
+def parse_date(text: Column) -> Column:
+    """A date such as ``March 5, 2024`` or ``5 Mar. 2024``; null if it is neither."""
+    month_first = F.regexp_extract(text, r"^\s*([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\s*$", 0) != ""
+    pick = lambda p, i: F.regexp_extract(text, p, i)
+    a, b = r"^\s*([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\s*$", r"^\s*(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?,?\s+(\d{4})\s*$"
+    month = F.initcap(F.when(month_first, pick(a, 1)).otherwise(pick(b, 2)))
+    day = F.when(month_first, pick(a, 2)).otherwise(pick(b, 1))
+    year = F.when(month_first, pick(a, 3)).otherwise(pick(b, 3))
+    return F.try_to_timestamp(F.concat_ws(" ", month, day, year), F.lit("MMM d yyyy")).cast("date")
+
+
+def action_name(text: Column) -> Column:
+    """One of the four actions for the words that announcements use; null for others."""
+    word = F.lower(F.trim(text))
+    return (
+        F.when(word.rlike("^(addition|added|inclusion|include|entry)"), "Addition")
+        .when(word.rlike("^(removal|removed|deletion|exclusion|delete)"), "Removal")
+        .when(word.rlike("^promot"), "Promotion")
+        .when(word.rlike("^demot"), "Demotion")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.functions.calendar import bday_add
+from driftline.functions import text as TX
 from driftline.operators import features as X
 from driftline.operators import models as ML
 from driftline.operators import resampling as RS
@@ -225,6 +225,41 @@ def g35(spark, d):
     return rounded(windows(spark, d).groupBy("tier", "off").agg(F.count("ar").alias("n"), F.avg("ar").alias("mean"), F.stddev_samp("ar").alias("sd")))
 
 
+@query("f02_f03_ticker_forms", """WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'abc.x' WHEN 1 THEN '12345' WHEN 2 THEN 'toolong7' WHEN 3 THEN ' q' || p_size ELSE NULL END AS raw FROM part), h AS (SELECT id, string_split(upper(trim(raw)), '.')[1] AS h FROM t),
+  c AS (SELECT id, CASE WHEN regexp_full_match(h, '[A-Z0-9]{1,6}') AND NOT regexp_full_match(h, '[0-9]+') THEN h END AS ticker FROM h) SELECT id, ticker, ticker || '.AX' AS dotted, ticker || ' AU Equity' AS spaced FROM c""")
+def f02(spark, d):
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, "abc.x").when(k == 1, "12345").when(k == 2, "toolong7").when(k == 3, F.concat(F.lit(" q"), F.col("p_size").cast("string")))
+    out = A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), TX.clean_ticker(raw).alias("ticker"))
+    return out.withColumn("v", TX.venue_tickers(F.col("ticker"))).select("id", "ticker", "v.*")
+
+
+@query("f35_month_parsing", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
+def f35(spark, d):
+    k, day = F.col("o_orderkey") % 7, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(day, "yyyy/MM/dd")).when(k < 3, F.date_format(day, "MMMM d, yyyy")).when(k < 5, F.date_format(day, "d MMM. yyyy")).otherwise(F.upper(F.date_format(day, "MMM dd yyyy")))
+    return A.read(spark, d, "orders").select("o_orderkey", TX.parse_date(text).alias("day"))
+
+
+@query("f38_action_names", "SELECT l_linenumber AS k, CASE l_linenumber WHEN 1 THEN 'Addition' WHEN 2 THEN 'Removal' WHEN 3 THEN 'Promotion' WHEN 4 THEN 'Demotion' END AS action, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def f38(spark, d):
+    k = F.col("l_linenumber")
+    text = F.when(k == 1, " Inclusion of").when(k == 2, "deletion").when(k == 3, "Promoted").when(k == 4, "demotion").otherwise("split")
+    return A.read(spark, d, "lineitem").groupBy(k.alias("k"), TX.action_name(text).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f39_quarters", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2")
+def f39(spark, d):
+    return A.read(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.quarter("o_orderdate").cast("long").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p19_p25_gap_confidence", sql(""", s AS (SELECT DISTINCT date FROM fl) SELECT event_id, off_cycle, CASE WHEN eff - (SELECT max(date) FROM s WHERE date < eff) <= 45 THEN 'exact' ELSE 'approximate' END AS confidence FROM ev""", "fl", "ev"))
+def p19(spark, d):
+    days = A.float_factors(spark, d).select("date").distinct().select(F.lit(0).alias("k"), "date")
+    at = asof_backward(A.events(spark, d).select("event_id", "off_cycle", F.lit(0).alias("k"), "eff"), days, ["k"], "eff", "date", [], strict=True)
+    return at.select("event_id", "off_cycle", F.when(F.datediff("eff", "date_found") <= 45, "exact").otherwise("approximate").alias("confidence"))
+
+
 REPLICATES = 200
 
 
