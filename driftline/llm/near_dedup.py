@@ -196,7 +196,8 @@ def _leaves(reps: DataFrame, trees: int) -> DataFrame:
     paths = materialize(reps.select("id", "signature").mapInArrow(_roots(trees), "id long, node long"), "paths")
     done = []
     for level in range(FIRST_LEVELS, MOST_LEVELS + 1):
-        counts = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        # Written first, so that the joins below can be split at a hot node; nodes of one member never return.
+        counts = materialize(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "nodes")
         last = level == MOST_LEVELS
         done.append(paths.join(counts.where("n >= 2" if last else f"n between 2 and {SMALL}").select("node"), "node", "left_semi").select("id", "node"))
         if last:
@@ -246,7 +247,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = own_columns(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     facts = materialize(source.mapInArrow(_describe(shingle), "id long, n_shingles long, digest binary, signature array<int>"), "shingles")
     filled = facts.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = materialize(filled.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     by_class = filled.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
     reps = filled.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "signature").dropDuplicates(["id"])
     texts = source.where("id is not null").select("id", "text")

@@ -292,8 +292,10 @@ def repeated_intervals(rows: DataFrame, length: int, gram: int, most_classes: in
     """rows: id, text -> (id, intervals): byte intervals (a, b) covered by repeats, overlapping ones included."""
     found = materialize(rows.mapInArrow(_find_anchors(length, gram), f"id {rows.schema['id'].dataType.simpleString()}, at long, gram long, context long"), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    again = materialize(found.join(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "gram"), "anchors")
-    discard(found)
+    # Written first, so that the join below stands on its own shuffle, which adaptive execution can split at a hot gram.
+    grams = materialize(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
+    again = materialize(found.join(grams, "gram"), "anchors")
+    discard(found, grams)
     classes = again.groupBy("gram", "context", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("one"))
     classes = materialize(classes, "classes")
     wanted = classes.where("mixed").select("gram", "context", "one.id", "one.at").groupBy("id").agg(F.collect_list(F.struct("gram", "context", "at")).alias("wanted"))
