@@ -38,6 +38,20 @@ def asof_forward(facts: DataFrame, quotes: DataFrame, keys: list[str], at: str,
     return found.select("_fact.*", keep("at", f"{quote_at}_found"), *[keep(c, c) for c in payload])
 
 
+def asof_by_day(facts: DataFrame, quotes: DataFrame, at: str, quote_at: str, payload: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+    """As-of join without a key: each distinct ``at`` is looked up once, then joined back by equality.
+
+    The sort holds one row per day, however many facts a day has; a null time matches nothing.
+    """
+    days = facts.select(F.col(at).alias("_day")).where("_day is not null").distinct().withColumn("_all", F.lit(0))
+    marks = quotes.select(quote_at, *payload).withColumn("_all", F.lit(0))
+    if forward:
+        found = asof_forward(days, marks, ["_all"], "_day", quote_at, payload)
+    else:
+        found = asof_backward(days, marks, ["_all"], "_day", quote_at, payload, strict)
+    return facts.join(found.drop("_all"), F.col(at) == F.col("_day"), "left").drop("_day")
+
+
 def latest_per_key(quotes: DataFrame, keys: list[str], at: str, asof: Column) -> DataFrame:
     """The last row of each key at or before ``asof``, by partial aggregation (no sort)."""
     rest = [c for c in quotes.columns if c not in keys]

@@ -41,14 +41,14 @@ def coverage(events: DataFrame, priced: DataFrame) -> DataFrame:
 def snapshot_changes(members: DataFrame) -> DataFrame:
     """members: snapshot, item -> snapshot, item, change: 'added' if not in the snapshot before, 'removed' if not in this one.
 
-    The first snapshot adds nothing.  Snapshots are numbered by the distinct list of them, which is small.
+    The first snapshot adds nothing.  Snapshots are numbered by the distinct list of them.
     """
     seq = members.select("snapshot").distinct().withColumn("seq", F.row_number().over(Window.orderBy("snapshot")))
-    here = members.join(F.broadcast(seq), "snapshot").select("seq", "item")
+    here = members.join(seq, "snapshot").select("seq", "item")
     nxt = here.select((F.col("seq") + 1).alias("seq"), "item")
     added = here.join(nxt, ["seq", "item"], "left_anti").where("seq > 1").withColumn("change", F.lit("added"))
     removed = nxt.join(here, ["seq", "item"], "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed).join(F.broadcast(seq), "seq").select("snapshot", "item", "change")
+    return added.unionByName(removed).join(seq, "seq").select("snapshot", "item", "change")
 
 
 def quarter_counts(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from driftline.functions import text as TX
 from driftline.operators import features as X
 from driftline.operators import models as ML
 from driftline.operators import resampling as RS
-from driftline.operators.asof import asof_backward, asof_forward
+from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
 from driftline.plans.panel import A0, CAPS, RET, asof_date, bday_sql, feature_table, rounded
 from driftline.plans.study import LEDGER, PNL, WIN, ledger, scored, sized, windows
 from driftline.sources import adapters as A
@@ -38,10 +38,10 @@ def j14(spark, d):
 
 @query("j29_bracketing_snapshots", sql(""", s AS (SELECT DISTINCT date FROM fl) SELECT event_id, (SELECT max(date) FROM s WHERE date < eff) AS before, (SELECT min(date) FROM s WHERE date > eff) AS after FROM ev""", "fl", "ev"))
 def j29(spark, d):
-    days = A.float_factors(spark, d).select("date").distinct().select(F.lit(0).alias("k"), "date")
-    ev = A.events(spark, d).select("event_id", F.lit(0).alias("k"), "eff")
-    before = asof_backward(ev, days, ["k"], "eff", "date", [], strict=True).withColumnRenamed("date_found", "before").withColumn("next_day", F.date_add("eff", 1))
-    return asof_forward(before, days, ["k"], "next_day", "date", []).select("event_id", "before", F.col("date_found").alias("after"))
+    days = A.float_factors(spark, d).select("date").distinct()
+    ev = A.events(spark, d).select("event_id", "eff")
+    before = asof_by_day(ev, days, "eff", "date", [], strict=True).withColumnRenamed("date_found", "before").withColumn("next_day", F.date_add("eff", 1))
+    return asof_by_day(before, days, "next_day", "date", [], forward=True).select("event_id", "before", F.col("date_found").alias("after"))
 
 
 @query("j33_recent_action_flag", sql(f""", f AS (SELECT DISTINCT ticker FROM ev WHERE off_cycle AND ann BETWEEN {A0} - 60 AND {A0}) SELECT DISTINCT p.ticker, p.ticker IN (SELECT ticker FROM f) AS flagged FROM px p""", "px", "ev"))
@@ -72,8 +72,8 @@ def w18(spark, d):
     days = A.benchmark(spark, d).select("date").withColumn("k", F.lit(0))
     days = days.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("date")))
     total = days.groupBy("k").agg((F.max("n") + 1).alias("past_end"))
-    ev = A.events(spark, d).select("event_id", "ann", F.lit(0).alias("k"))
-    at = asof_forward(ev, days, ["k"], "ann", "date", ["n"]).join(F.broadcast(total), "k").select("event_id", (F.coalesce("n", "past_end") - 10).alias("n"))
+    ev = A.events(spark, d).select("event_id", "ann").withColumn("k", F.lit(0))
+    at = asof_by_day(ev, days, "ann", "date", ["n"], forward=True).join(F.broadcast(total), "k").select("event_id", (F.coalesce("n", "past_end") - 10).alias("n"))
     return at.join(days.select("n", "date"), "n", "left").select("event_id", F.col("date").alias("ten_before"))
 
 
@@ -255,8 +255,8 @@ def f39(spark, d):
 
 @query("p19_p25_gap_confidence", sql(""", s AS (SELECT DISTINCT date FROM fl) SELECT event_id, off_cycle, CASE WHEN eff - (SELECT max(date) FROM s WHERE date < eff) <= 45 THEN 'exact' ELSE 'approximate' END AS confidence FROM ev""", "fl", "ev"))
 def p19(spark, d):
-    days = A.float_factors(spark, d).select("date").distinct().select(F.lit(0).alias("k"), "date")
-    at = asof_backward(A.events(spark, d).select("event_id", "off_cycle", F.lit(0).alias("k"), "eff"), days, ["k"], "eff", "date", [], strict=True)
+    days = A.float_factors(spark, d).select("date").distinct()
+    at = asof_by_day(A.events(spark, d).select("event_id", "off_cycle", "eff"), days, "eff", "date", [], strict=True)
     return at.select("event_id", "off_cycle", F.when(F.datediff("eff", "date_found") <= 45, "exact").otherwise("approximate").alias("confidence"))
 
 
@@ -290,7 +290,7 @@ def f29(spark, d):
 @query("m03_out_of_fold_scores")
 def m03(spark, d):
     """Time-ordered out-of-fold scores of a calibrated classifier of order status from order and customer features (no SQL twin)."""
-    orders = A.read(spark, d, "orders").where("o_orderkey % 5 = 0 and o_orderstatus in ('O', 'F')")
+    orders = A.read(spark, d, "orders").where("o_orderstatus is not null")
     rows = orders.join(A.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("id"), F.trunc("o_orderdate", "QUARTER").alias("quarter"), (F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"), (F.col("c_acctbal") / 1e4).alias("balance"), (F.col("c_nationkey") / 25).alias("nation")
     )

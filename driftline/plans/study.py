@@ -13,7 +13,7 @@ from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import rules as R
 from driftline.operators import trading as B
-from driftline.operators.asof import asof_backward, asof_forward
+from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
 from driftline.plans.panel import RET, bday_sql, rounded
 from driftline.sources import adapters as A
 from driftline.sources.adapters import sql
@@ -85,10 +85,10 @@ def j27(spark, d):
 
 @query("j30_interval_compound", sql(""", b AS (SELECT date, bench, row_number() OVER (ORDER BY date) AS n FROM bench) SELECT event_id, round(z.bench / a.bench - 1, 6) AS bench_ret FROM ev e ASOF LEFT JOIN b a ON e.ann >= a.date ASOF LEFT JOIN b z ON e.eff >= z.date""", "bench", "ev"))
 def j30(spark, d):
-    bench = A.benchmark(spark, d).withColumn("series", F.lit(0))
-    ev = A.events(spark, d).select("event_id", "ann", "eff", F.lit(0).alias("series"))
-    first = asof_backward(ev, bench, ["series"], "ann", "date", ["bench"]).withColumnRenamed("bench", "b0").drop("date_found")
-    both = asof_backward(first, bench, ["series"], "eff", "date", ["bench"])
+    bench = A.benchmark(spark, d)
+    ev = A.events(spark, d).select("event_id", "ann", "eff")
+    first = asof_by_day(ev, bench, "ann", "date", ["bench"]).withColumnRenamed("bench", "b0").drop("date_found")
+    both = asof_by_day(first, bench, "eff", "date", ["bench"])
     return rounded(both.select("event_id", (F.try_divide("bench", "b0") - 1).alias("bench_ret")), 6)
 
 
@@ -268,10 +268,10 @@ def g38(spark, d):
     return A.events(spark, d).groupBy("tier").pivot("action", ["Addition", "Removal"]).count().fillna(0)
 
 
-@query("u06_snapshot_diff", """WITH m AS (SELECT DISTINCT year(l_shipdate) AS snapshot, l_suppkey AS item FROM lineitem WHERE l_orderkey % 40 = 0), s AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS seq FROM (SELECT DISTINCT snapshot FROM m)), h AS (SELECT seq, item FROM m JOIN s USING (snapshot))
+@query("u06_snapshot_diff", """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot, l_partkey AS item FROM lineitem), s AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS seq FROM (SELECT DISTINCT snapshot FROM m)), h AS (SELECT seq, item FROM m JOIN s USING (snapshot))
   SELECT snapshot, item, change FROM (SELECT seq, item, 'added' AS change FROM h WHERE seq > 1 AND (seq - 1, item) NOT IN (SELECT seq, item FROM h) UNION ALL SELECT seq + 1, item, 'removed' FROM h WHERE (seq + 1, item) NOT IN (SELECT seq, item FROM h)) JOIN s USING (seq)""")
 def u06(spark, d):
-    members = A.read(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.year("l_shipdate").alias("snapshot"), F.col("l_suppkey").alias("item")).distinct()
+    members = A.read(spark, d, "lineitem").select(F.trunc("l_shipdate", "MM").alias("snapshot"), F.col("l_partkey").alias("item")).distinct()
     return E.snapshot_changes(members)
 
 
@@ -360,10 +360,10 @@ def x08(spark, d):
     return hrefs.groupBy(F.char_length("target").cast("long").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f36_despace", """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(substr(coalesce(text, ''), 1, 40), '(.)', '\\1 ', 'g') ELSE substr(coalesce(text, ''), 1, 40) END AS line FROM documents WHERE lang = 'en'), t AS (SELECT *, string_split(line, ' ') AS parts FROM l),
-  k AS (SELECT *, list_filter(parts, lambda x: x <> '') AS toks FROM t) SELECT doc_id, len(toks) >= 5 AND len(list_filter(toks, lambda x: length(x) = 1)) > 0.6 * len(toks) AS spaced FROM k""")
+@query("f36_despace", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), s AS (SELECT doc_id, CASE WHEN line_no % 2 = 0 THEN regexp_replace(line, '(.)', '\\1 ', 'gs') ELSE line END AS line FROM l),
+  k AS (SELECT doc_id, list_filter(string_split(line, ' '), lambda x: x <> '') AS toks FROM s) SELECT doc_id, count(*) FILTER (WHERE len(toks) >= 5 AND len(list_filter(toks, lambda x: length(x) = 1)) > 0.6 * len(toks)) AS spaced_lines FROM k GROUP BY 1""")
 def f36(spark, d):
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 40)
-    docs = A.read(spark, d, "documents").where("lang = 'en'")
-    line = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(head, "(.)", "$1 ")).otherwise(head)
-    return docs.select("doc_id", T.is_letter_spaced(line).alias("spaced"))
+    """Lines with letter spacing per document; every other line of the input is given such spacing first."""
+    rows = A.read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    line = F.when(F.col("line_no") % 2 == 0, F.regexp_replace("line", "(?s)(.)", "$1 ")).otherwise(F.col("line"))
+    return rows.groupBy("doc_id").agg(F.count_if(T.is_letter_spaced(line)).alias("spaced_lines"))

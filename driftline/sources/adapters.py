@@ -59,7 +59,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index changes: event_id, ticker, action, off_cycle, tier, ann, eff."""
-    orders = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("ann"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("ann"))
     joined = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     first = F.substring("o_orderpriority", 1, 1)
     return joined.select(
@@ -81,8 +81,8 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def float_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Investable weight factors at half-year dates; some tickers have none."""
-    nations = read(spark, sf_dir, "nation").where("n_nationkey % 7 <> 0")
+    """Investable weight factors at half-year dates; those of the first region have none."""
+    nations = read(spark, sf_dir, "nation").where("n_regionkey <> 0")
     dates = F.explode(F.sequence(F.lit("1992-01-01").cast("date"), F.lit("1999-01-01").cast("date"), F.expr("interval 6 months")))
     out = nations.select("n_nationkey", dates.alias("date"))
     return out.select(_ticker(F.col("n_nationkey")).alias("ticker"), "date", (F.lit(0.3) + 0.7 * ((F.col("n_nationkey") + F.month("date")) % 10) / 10).alias("iwf"))
@@ -103,10 +103,10 @@ SQL = {
     "ev": """ev AS (SELECT o_orderkey AS event_id, 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS ticker,
   CASE WHEN o_orderstatus = 'F' THEN 'Removal' ELSE 'Addition' END AS action, o_orderstatus = 'P' AS off_cycle,
   CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'T50' WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'T100' ELSE 'T200' END AS tier,
-  CAST(o_orderdate AS DATE) AS ann, CAST(o_orderdate AS DATE) + 14 AS eff FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0)""",
+  CAST(o_orderdate AS DATE) AS ann, CAST(o_orderdate AS DATE) + 14 AS eff FROM orders JOIN customer ON o_custkey = c_custkey)""",
     "sh": "sh AS (SELECT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS ticker, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) * 10000 AS shares FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)",
     "fl": """fl AS (SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS ticker, CAST(d AS DATE) AS date, 0.3e0 + 0.7e0 * ((n_nationkey + month(d)) % 10) / 10 AS iwf
-  FROM nation, generate_series(DATE '1992-01-01', DATE '1999-01-01', INTERVAL 6 MONTH) AS g(d) WHERE n_nationkey % 7 <> 0)""",
+  FROM nation, generate_series(DATE '1992-01-01', DATE '1999-01-01', INTERVAL 6 MONTH) AS g(d) WHERE n_regionkey <> 0)""",
 }
 
 
