@@ -29,10 +29,15 @@ def asof_backward(facts: DataFrame, quotes: DataFrame, keys: list[str], at: str,
 
 
 def asof_forward(facts: DataFrame, quotes: DataFrame, keys: list[str], at: str, quote_at: str, payload: list[str], tolerance_days: int | None = None) -> DataFrame:
-    """facts + payload of the first quote at or after ``at``; nulls where it is more than ``tolerance_days`` calendar days later."""
-    both = _sides(facts, quotes.where(F.col(quote_at).isNotNull()), keys, at, quote_at, payload, False)
-    frame = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_quote", F.first("_quote", ignorenulls=True).over(frame)).where("_fact is not null and _at is not null")
+    """facts + payload of the first quote at or after ``at``; nulls where it is more than ``tolerance_days`` calendar days later.
+
+    Facts without such a quote, or with a null time, get nulls.
+    """
+    both = _sides(facts, quotes.where(F.col(quote_at).isNotNull()), keys, at, quote_at, payload, True)
+    # Sorted backwards, the frame grows by a row at a time; one that reaches forward would be read anew for every row.
+    order = [F.col("_at").desc_nulls_first(), F.col("_side")]
+    frame = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_quote", F.last("_quote", ignorenulls=True).over(frame)).where("_fact is not null")
     late = F.lit(False) if tolerance_days is None else F.datediff(F.col("_quote.at"), F.col("_at")) > tolerance_days
     keep = lambda c, name: F.when(~late, F.col(f"_quote.{c}")).alias(name)
     return found.select("_fact.*", keep("at", f"{quote_at}_found"), *[keep(c, c) for c in payload])

@@ -60,6 +60,18 @@ def pair(decided: DataFrame, by: list[str]) -> DataFrame:
     ).drop("forced", "spare", "fill", "side", "trim")
 
 
+def tag_hierarchy(decided: DataFrame, parents: DataFrame, group: str) -> DataFrame:
+    """Moves inside the ticker's parent group become Promotion or Demotion; + predicted_member.
+
+    parents: ticker, parent (one row a ticker); tickers without a parent keep their action.
+    """
+    tagged = decided.join(parents, "ticker", "left").withColumn("_inside", F.coalesce(F.col("parent") == F.col(group), F.lit(False)))
+    move = F.when(F.col("_inside") & (F.col("action") == "Addition"), "Promotion").when(F.col("_inside") & (F.col("action") == "Removal"), "Demotion").otherwise(F.col("action"))
+    tagged = tagged.withColumn("action", move).drop("_inside", "parent")
+    joins, leaves = F.col("action").isin("Addition", "Promotion"), F.col("action").isin("Removal", "Demotion")
+    return tagged.withColumn("predicted_member", F.when(joins, F.lit(True)).when(leaves, F.lit(False)).otherwise(F.col("member")))
+
+
 def conviction(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.60, "medium").when(score >= 0.45, "low").otherwise("none")
 

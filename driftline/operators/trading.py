@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.calendar import bday_add, weekdays_between
-from driftline.functions.costs import borrow_cost, trade_cost
+from driftline.functions.costs import borrow_cost, study_cost_bps, trade_cost
 from driftline.operators.asof import asof_backward, asof_forward
 
 
@@ -138,3 +138,28 @@ def advs_at_entry(ledger: DataFrame, panel: DataFrame, bars: int = 20) -> DataFr
     frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(bars - 1), Window.currentRow)
     adv = panel.select("ticker", "date", F.avg(F.col("close") * F.col("volume")).over(frame).alias("adv"))
     return asof_backward(ledger, adv, ["ticker"], "entry_date", "date", ["adv"]).drop("date_found")
+
+
+def net_of_friction(trades: DataFrame, panel: DataFrame, clips: tuple[int, ...]) -> DataFrame:
+    """trades of a ledger, once per clip size: + vol, adv, clip, net (percent after the study's costs).
+
+    Volatility is that of the last 60 returns up to the entry, 0.03 with fewer than 20 or none.
+    """
+    from driftline.operators.features import returns
+
+    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-59, Window.currentRow)
+    vols = returns(panel).where("ret is not null").select("ticker", "date", F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s"))
+    at = asof_backward(advs_at_entry(trades, panel), vols, ["ticker"], "entry_date", "date", ["c", "s"])
+    known = at.withColumn("vol", F.when((F.col("c") >= 20) & (F.col("s") > 0), F.col("s")).otherwise(F.lit(0.03))).drop("c", "s", "date_found")
+    cost = lambda clip: study_cost_bps(F.col("vol"), F.col("adv"), float(clip), F.col("hold_days"), F.col("action") == "Removal")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("clip"), (F.col("sided_ret") - cost(c) / 100).alias("net")) for c in clips])).alias("_c")
+    return known.select("*", each).select("*", "_c.clip", "_c.net").drop("_c")
+
+
+def friction_summary(net: DataFrame, least: int = 8) -> DataFrame:
+    """Gross and net figures per (tier or ALL, action, clip) of ``least`` trades or more."""
+    sets = net.groupingSets([["tier", "action", "clip"], ["action", "clip"]], "tier", "action", "clip")
+    out = sets.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("sided_ret").alias("gross_mean"), F.avg("net").alias("net_mean"), F.median("net").alias("net_median"), F.avg((F.col("net") > 0).cast("int")).alias("net_win")
+    )
+    return out.where(F.col("n") >= least).fillna("ALL", ["tier"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import more, panel, study
+from driftline.plans import more, panel, reports, study
 
-_MODULES = [study, panel, more]
+_MODULES = [study, panel, more, reports]
 
 
 def queries() -> dict:
