@@ -100,3 +100,40 @@ def test_files_round_trip(spark, tmp_path):
     files.write_partitioned(rows, str(tmp_path / "out"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("ticker", "close").collect())) == [("A", 1.0), ("B", 2.0)]
     assert sorted(r.close for r in files.upsert(rows, spark.createDataFrame([("A", D(0), 5.0)], rows.schema), "ticker").collect()) == [2.0, 5.0]
+
+
+def test_asof_edges(spark):
+    """Ties, null times, no quote, tolerance and the day-wise form against a loop."""
+    from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
+
+    day = lambda n: None if n is None else dt.date(2024, 1, 1) + dt.timedelta(n)
+    facts = [(1, "a", 3), (2, "a", 4), (3, "a", None), (4, "b", 9), (5, "c", 2), (6, "a", 3), (7, None, 3), (8, "a", 30)]
+    quotes = [("a", 3, 30), ("a", 8, 80), ("b", 1, 10), ("a", None, 99)]
+    f = spark.createDataFrame([(i, k, day(n)) for i, k, n in facts], "id int, k string, at date")
+    q = spark.createDataFrame([(k, day(n), v) for k, n, v in quotes], "k string, d date, v int")
+
+    def want(forward, keyed, tolerance=None, strict=False):
+        out = {}
+        for i, k, n in facts:
+            fit = [(m, v) for kk, m, v in quotes if n is not None and m is not None and (not keyed or kk == k) and (m >= n if forward else m < n if strict else m <= n)]
+            best = (min if forward else max)(fit, default=(None, None))
+            out[i] = best[1] if best[0] is not None and (tolerance is None or best[0] - n <= tolerance) else None
+        return out
+
+    got = lambda df: {r["id"]: r["v"] for r in df.collect()}
+    assert got(asof_backward(f, q, ["k"], "at", "d", ["v"])) == want(False, True)
+    assert got(asof_backward(f, q, ["k"], "at", "d", ["v"], strict=True)) == want(False, True, strict=True)
+    assert got(asof_forward(f, q, ["k"], "at", "d", ["v"])) == want(True, True)
+    assert got(asof_forward(f, q, ["k"], "at", "d", ["v"], 4)) == want(True, True, 4)
+    assert got(asof_by_day(f, q, "at", "d", ["v"])) == want(False, False)
+    assert got(asof_by_day(f, q, "at", "d", ["v"], strict=True)) == want(False, False, strict=True)
+    assert got(asof_by_day(f, q, "at", "d", ["v"], forward=True)) == want(True, False)
+
+
+def test_hierarchy_tag(spark):
+    from driftline.operators.rules import tag_hierarchy
+
+    rows = spark.createDataFrame([("a", 1, "Addition", False), ("b", 1, "Removal", True), ("c", 1, "Addition", False), ("d", 1, "no change", True), ("e", 1, "Removal", True)], "ticker string, grp int, action string, member boolean")
+    parents = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 1)], "ticker string, parent int")
+    got = {r["ticker"]: (r["action"], r["predicted_member"]) for r in tag_hierarchy(rows, parents, "grp").collect()}
+    assert got == {"a": ("Promotion", True), "b": ("Demotion", False), "c": ("Addition", True), "d": ("no change", True), "e": ("Removal", False)}
