@@ -75,26 +75,30 @@ def trade_ledger(events: DataFrame, panel: DataFrame, exits: tuple[int, ...] = (
     """A row per event and exit offset: entry and exit bars, hold_days, raw_ret, sided_ret (percent) and the reason it is (not) valid.
 
     Entry is the first bar from the weekday after the announcement, exit from the offset weekday after the
-    effective date.  Reasons in order: no_price_file, no_history_at_event, entry_gap, exit_gap,
+    effective date.  Turnover is the median value traded from entry to exit.  Reasons in order: no_price_file, no_history_at_event, entry_gap, exit_gap,
     zero_or_negative_hold, illiquid_or_stale, zero_volume_endpoint, bad_price, ok.
     """
     bars = panel.select("ticker", "date", F.col("adjusted_close").alias("px"), F.col("volume").alias("vol"), (F.col("close") * F.col("volume")).alias("value"))
     first = bars.groupBy("ticker").agg(F.min("date").alias("first_bar"))
     wanted = events.select("event_id", "ticker", "action", "tier", "ann", "eff", bday_add(F.col("ann"), 1).alias("want_in"))
-    entered = asof_forward(wanted, bars, ["ticker"], "want_in", "date", ["px", "vol", "value"], LATE_DAYS)
-    entered = entered.withColumnsRenamed({"date_found": "entry_date", "px": "entry_px", "vol": "entry_vol", "value": "entry_value"})
+    entered = asof_forward(wanted, bars, ["ticker"], "want_in", "date", ["px", "vol"], LATE_DAYS)
+    entered = entered.withColumnsRenamed({"date_found": "entry_date", "px": "entry_px", "vol": "entry_vol"})
     choices = F.array(*[F.struct(F.lit(n).alias("exit"), bday_add(F.col("eff"), n).alias("want_out")) for n in exits])
     spread = entered.withColumn("x", F.explode(choices)).select("*", "x.*").drop("x")
     left = asof_forward(spread, bars, ["ticker"], "want_out", "date", ["px", "vol"], LATE_DAYS).withColumnsRenamed({"date_found": "exit_date", "px": "exit_px", "vol": "exit_vol"})
     known = left.join(first, "ticker", "left")
     hold = F.datediff("exit_date", "entry_date")
+    # Once per distinct holding, of which there are no more than tickers and dates allow, whatever the number of events.
+    days = known.where(hold > 0).select("ticker", "entry_date", "exit_date").distinct().select("*", F.explode(F.sequence("entry_date", "exit_date")).alias("date"))
+    turnover = days.join(bars.select("ticker", "date", "value"), ["ticker", "date"]).groupBy("ticker", "entry_date", "exit_date").agg(F.median("value").alias("turnover"))
+    known = known.join(turnover, ["ticker", "entry_date", "exit_date"], "left")
     reason = (
         F.when(F.col("first_bar").isNull(), "no_price_file")
         .when(F.col("first_bar") > F.date_add("ann", HISTORY_DAYS), "no_history_at_event")
         .when(F.col("entry_date").isNull(), "entry_gap")
         .when(F.col("exit_date").isNull(), "exit_gap")
         .when(hold <= 0, "zero_or_negative_hold")
-        .when(F.col("entry_value") < least_value, "illiquid_or_stale")
+        .when(F.coalesce("turnover", F.lit(0.0)) < least_value, "illiquid_or_stale")
         .when((F.col("entry_vol") <= 0) | (F.col("exit_vol") <= 0), "zero_volume_endpoint")
         .when(~((F.col("entry_px") > 0) & (F.col("exit_px") > 0)), "bad_price")
         .otherwise("ok")

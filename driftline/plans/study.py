@@ -102,9 +102,10 @@ LEDGER = f"""bars AS (SELECT ticker, date, adjusted_close AS px, volume AS vol,
   i AS (SELECT y.*, b.date AS bd, b.px AS bp, b.vol AS bv, b.value AS bval FROM y ASOF LEFT JOIN bars b ON y.ticker = b.ticker AND y.want_in <= b.date),
   o AS (SELECT i.*, b.date AS xd, b.px AS xp, b.vol AS xv FROM i ASOF LEFT JOIN bars b ON i.ticker = b.ticker AND i.want_out <= b.date),
   c AS (SELECT o.*, first_bar, CASE WHEN bd - want_in <= 10 THEN bd END AS entry_date, CASE WHEN bd - want_in <= 10 THEN bp END AS ip, CASE WHEN xd - want_out <= 10 THEN xd END AS exit_date, CASE WHEN xd - want_out <= 10 THEN xp END AS op FROM o LEFT JOIN fb USING (ticker)),
+  tv AS (SELECT c.event_id, c."exit", median(b.value) AS turnover FROM c JOIN bars b ON b.ticker = c.ticker AND b.date BETWEEN c.entry_date AND c.exit_date GROUP BY 1, 2),
   led AS (SELECT event_id, ticker, action, tier, "exit", ann, entry_date, exit_date, CAST(exit_date - entry_date AS INTEGER) AS hold_days, 100 * (op / ip - 1) AS raw_ret, CASE WHEN action = 'Addition' THEN 1 ELSE -1 END * 100 * (op / ip - 1) AS sided_ret,
    CASE WHEN first_bar IS NULL THEN 'no_price_file' WHEN first_bar > ann + 3 THEN 'no_history_at_event' WHEN entry_date IS NULL THEN 'entry_gap' WHEN exit_date IS NULL THEN 'exit_gap' WHEN exit_date - entry_date <= 0 THEN 'zero_or_negative_hold'
-    WHEN bval < 20000 THEN 'illiquid_or_stale' WHEN bv <= 0 OR xv <= 0 THEN 'zero_volume_endpoint' WHEN NOT (ip > 0 AND op > 0) THEN 'bad_price' ELSE 'ok' END AS reason FROM c)"""
+    WHEN coalesce(turnover, 0) < 20000 THEN 'illiquid_or_stale' WHEN bv <= 0 OR xv <= 0 THEN 'zero_volume_endpoint' WHEN NOT (ip > 0 AND op > 0) THEN 'bad_price' ELSE 'ok' END AS reason FROM c LEFT JOIN tv USING (event_id, "exit"))"""
 
 
 @query("r10_trade_ledger", sql(f""", {LEDGER} SELECT event_id, ticker, action, tier, "exit", ann, entry_date, exit_date, hold_days, round(raw_ret, 4) AS raw_ret, round(sided_ret, 4) AS sided_ret, reason FROM led""", "px", "ev"))
