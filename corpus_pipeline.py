@@ -21,27 +21,50 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return identify(docs, learn_from_training_fold(docs), keep=True).where("lang_pred <> 'und'").select(columns)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(documents, name of a column that is unique, never null and in the order of doc_id, null ids last).
+
+    Ids that are whole numbers, never null and never repeated are that key themselves.  Otherwise every row gets
+    a number in the order of doc_id (rows of one id in the order of the input), written with the documents so
+    that it is stable; the first number spreads rows of one id, or without any, over many tasks.
+    """
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+            return docs, "doc_id"
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    numbered = docs.withColumn(key, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), key)
+    return materialize(numbered.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact deduplication: of texts equal but for white space one document stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Exact deduplication: of texts equal but for white space one document stays, whatever ids are null or repeated."""
+    keyed, key = with_row_key(docs)
+    kept = exact_dedup(keyed, id_col=key).where("kept").select(key)
+    return keyed.join(kept, key, "left_semi").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates on five-word shingles at a similarity of 0.8: one document of each component stays."""
-    kept = near_dedup(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Near-duplicates on five-word shingles at a similarity of 0.8: one document of each component stays.
+
+    Rows with a null or repeated id are documents of their own, compared like all others.
+    """
+    keyed, key = with_row_key(docs)
+    kept = near_dedup(keyed, id_col=key, shingle=5, percent=80).where("kept").select(key)
+    return keyed.join(kept, key, "left_semi").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Source mixing: a document is repeated as often as the mix takes it, wholly or in part; untaken ones go.
 
-    The part of a document at the end of its source's share counts as one more copy.
+    The part of a document at the end of its source's share counts as one more copy.  Rows with a null or
+    repeated id are documents of their own; if there are any, the row numbers shuffle the streams, not the ids.
     """
-    columns = docs.columns
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    repeated = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(columns)
+    keyed, key = with_row_key(docs)
+    taken = mix_sources(keyed, id_col=key).where("taken > 0").select(key, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    columns = [keyed[c] for c in docs.columns]
+    return keyed.join(taken, key).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,47 @@ def test_stages_against_brute_force(spark):
     assert Counter(r.doc_id for r in last) == taken and all(r.round_trip for r in last)
     coder, texts = Coder(load_model(P.PIECES)), {r.doc_id: r.text for r in fourth.collect()}
     assert all(coder.decode(r.ids) == texts[r.doc_id] for r in last)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are told apart by more than doc_id: none is lost for a null id, none passes or multiplies by a repeated one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    filler = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    body = filler("near", 60)
+    rows = [
+        (None, filler("lone", 50), "s"), (None, filler("other", 50), "s"), (7, "same text", "s"), (7, "same  text", "s"), (7, filler("kept", 40), "t"),
+        (9, "same text", "s"), (9, "same  text", "t"), (3, body, "t"), (5, body + " tail", "s"), (5, filler("five", 30), "t"), (None, body + " end", "u"),
+    ]
+    docs = P.materialize(spark.createDataFrame([(i, x, "en", s, len(x)) for i, x, s in rows], schema).repartition(3), "t")
+    stages = dict(P.STAGES)
+
+    second = P.materialize(stages["exact_dedup"](spark, docs, ""), "t")
+    dropped = [(7, "same text"), (9, "same text"), (9, "same  text")]  # the longer original stays, then the smaller id
+    wanted = Counter((i, x) for i, x, _ in rows) - Counter(dropped)
+    assert second.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in second.collect()) == wanted
+
+    third = P.materialize(stages["near_dedup"](spark, second, ""), "t")
+    wanted -= Counter([(5, body + " tail"), (None, body + " end")])
+    assert Counter((r.doc_id, r.text) for r in third.collect()) == wanted
+
+    twice = P.materialize(third.unionByName(third).unionByName(third), "t")
+    fourth = stages["mix"](spark, twice, "").collect()
+    copies = Counter((r.doc_id, r.text) for r in fourth)
+    assert set(copies) <= set(wanted) and max(copies.values()) <= 9  # three rows of each, each at most three times
+    size = Counter()
+    for r in twice.collect():
+        size[r.source] += len(r.text.split())
+    taken = Counter()
+    for r in fourth:
+        taken[r.source] += len(r.text.split())
+    assert all(taken[s] <= 3 * size[s] for s in size)
+    assert any(r.doc_id is None for r in fourth)
+
+
+def test_row_key_follows_the_order_of_ids(spark):
+    docs = spark.createDataFrame([(i, str(n)) for n, i in enumerate([5, None, 2, 5, -1, None, 2])], "doc_id long, row_key string").repartition(3)
+    keyed, key = P.with_row_key(docs)
+    found = [r.doc_id for r in sorted(keyed.collect(), key=lambda r: r[key])]
+    assert key not in docs.columns and found == [-1, 2, 2, 5, 5, None, None]
+    assert len({r[key] for r in keyed.collect()}) == 7
