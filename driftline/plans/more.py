@@ -272,19 +272,37 @@ def f28(spark, d):
     return rounded(RS.bootstrap_interval(RS.bootstrap_means(ok, ["action"], "sided_ret", ["event_id"], REPLICATES), ["action"]))
 
 
+#: Resamples, random books and least values of a cell, as in the study.
+N_BOOT, N_PLACEBO, LEAST_TRADES, LEAST_BOOKS = 10_000, 5_000, 8, 5
+
+
+def with_all(rows):
+    """Every row under its own tier and under ALL."""
+    return rows.withColumn("tier", F.explode(F.array("tier", F.lit("ALL"))))
+
+
+@query("f28_bootstrap_cells")
+def f28_cells(spark, d):
+    """95 % interval of the mean sided return for every tier (or ALL), action and exit: 10,000 resamples (no SQL twin)."""
+    by = ["tier", "action", "exit"]
+    ok = with_all(ledger(spark, d).where("reason = 'ok'").select(*by, "event_id", "sided_ret"))
+    return RS.bootstrap_interval(RS.blocked_bootstrap_means(ok, by, "sided_ret", "event_id", N_BOOT, LEAST_TRADES), by)
+
+
 @query("f29_placebo_hold")
 def f29(spark, d):
-    """Placebo p of the mean sided return over random windows of the same length (hashed draws; no SQL twin)."""
-    bars = A.prices(spark, d).select("ticker", "date", F.col("adjusted_close").alias("px"))
-    by = Window.partitionBy("ticker")
-    bars = bars.withColumn("bar_no", F.row_number().over(by.orderBy("date")) - 1).withColumn("n_bars", F.count(F.lit(1)).over(by))
-    ok = ledger(spark, d).where("reason = 'ok' and exit = 5")
+    """Placebo p of the mean sided return for every tier (or ALL), action and exit: 5,000 books of random windows of the same length (no SQL twin)."""
+    by = ["tier", "action", "exit"]
+    bars = A.prices(spark, d).select("ticker", "date", F.col("adjusted_close").cast("double").alias("px"))
+    bars = bars.withColumn("bar_no", F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1)
+    ok = ledger(spark, d).where("reason = 'ok'")
     at = lambda c, name: bars.select("ticker", F.col("date").alias(c), F.col("bar_no").alias(name))
     trades = ok.join(at("entry_date", "b_in"), ["ticker", "entry_date"]).join(at("exit_date", "b_out"), ["ticker", "exit_date"]).select(
-        "event_id", "ticker", "action", "sided_ret", (F.col("b_out") - F.col("b_in")).alias("hold_bars"), F.when(F.col("action") == "Addition", 1).otherwise(-1).alias("sign")
+        *by, "ticker", (F.col("b_out") - F.col("b_in")).alias("hold_bars"), F.when(F.col("action") == "Addition", 1).otherwise(-1).alias("sign")
     )
-    null = RS.placebo_holds(trades, bars, ["action"], REPLICATES)
-    return RS.placebo_p(null, trades.groupBy("action").agg(F.avg("sided_ret").alias("mean")), ["action"])
+    books = with_all(RS.placebo_holds(trades, bars, by, N_PLACEBO)).groupBy(*by, "replicate").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    null = books.where(F.col("n") >= LEAST_BOOKS).select(*by, "replicate", (F.col("total") / F.col("n")).alias("mean"))
+    return RS.placebo_p(null, with_all(ok).groupBy(*by).agg(F.avg("sided_ret").alias("mean")), by)
 
 
 @query("m03_out_of_fold_scores")
