@@ -2,26 +2,31 @@
 
 Every source is laid out as one shuffled stream of words and cut into blocks of equal size.  Slots of the
 mix are numbered; slot ``i`` gets the golden-ratio point ``frac(i * phi)``, which is mapped through the
-cumulative target shares to a source.  Slots are ranked per source, and rank ``r`` takes block
-``r mod blocks`` of its source.  A source that the schedule served a few slots short of its target (the
-discrepancy is logarithmic) gets closing slots; slots past the target are not taken.
+cumulative targets (in blocks) to a source.  Slots are ranked per source, and rank ``r`` takes block
+``r mod blocks`` of its source.  What a source gives is what the schedule serves: its share of the slots to
+within the discrepancy of the sequence (a few blocks, whatever the size of the mix).  Only slots that would
+go through a source more often than documents may repeat take nothing.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import WORD, materialize, own_columns
 
-#: Fractional part of the golden ratio, in units of 2^-32: point i is (i * GOLDEN mod 2^32) / 2^32.
-GOLDEN = 2654435769
+#: Fractional part of the golden ratio, in units of 2^-64: point i is (i * GOLDEN mod 2^64) / 2^64, cut to 53 bits.
+GOLDEN = 11400714819323198485
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Buckets of the hashed order within a source: prefix sums run per bucket, so no source meets in one task.
 ORDER_BUCKETS = 1024
 #: Cells of the unit interval by which points find their source.
 CELLS = 4096
+#: A block has 1/LEAST_SLOTS of the mix's words, but at most MOST_BLOCK: a few blocks are then a small part of any mix.
+LEAST_SLOTS, MOST_BLOCK = 1 << 16, 256
 
 
 def word_count(text: Column) -> Column:
@@ -71,102 +76,92 @@ def source_streams(docs: DataFrame) -> DataFrame:
     within = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+        .join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .select("id", "source", "size", (F.col("before") + F.col("inside")).alias("start"))
     )
 
 
-def schedule(targets: DataFrame, block: int, chunk: int = 1 << 14) -> DataFrame:
-    """Slots of the mix: slot, source, rank, blk (block of the source's stream), words (most that it takes of the block).
+def block_size(targets: DataFrame, least_slots: int = LEAST_SLOTS, most: int = MOST_BLOCK) -> int:
+    """Words of a block, from the words of the mix (one number is read by the driver)."""
+    words = targets.agg(F.sum("target")).first()[0] or 0
+    return max(1, min(most, int(words) // least_slots))
+
+
+def golden_point(slot: Column) -> Column:
+    """frac(slot * golden ratio) with 53 bits; exact for any slot number below 5e18, as decimals do not wrap."""
+    product = slot.cast("decimal(19,0)") * F.lit(Decimal(GOLDEN))
+    return F.floor(F.pmod(product, F.lit(Decimal(1 << 64))) / F.lit(Decimal(1 << 11))).cast("long") / F.lit(float(1 << 53))
 
-    Ranks per source are counted per chunk of slots first and summed over chunks, so that a source with a
-    third of all slots is ranked by many tasks.
+
+def schedule(targets: DataFrame, block: int, chunk: int = 1 << 14, max_repeat: int = 3, first_slot: int = 0) -> DataFrame:
+    """Slots of the mix that take something: slot, source, rank, blk (block of the source's stream).
+
+    Slots begin at ``first_slot``.  Ranks per source are counted per chunk of slots first and summed over
+    chunks, so that a source with a third of all slots is ranked by many tasks.
     """
     spark = targets.sparkSession
-    shares = targets.select("*", F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)).alias("low"))
-    quotas = shares.select(
-        "*",
-        F.coalesce(F.col("low"), F.lit(0.0)).alias("from_words"),
-        (F.coalesce(F.col("low"), F.lit(0.0)) + F.col("target")).alias("to_words"),
-        F.round("target").cast("long").alias("quota"),
-        F.ceil(F.col("source_size") / F.lit(block)).cast("long").alias("blocks"),
-    ).where("source_size > 0 and quota > 0")
-    quotas = (
-        quotas.withColumn("epochs", F.expr("quota div source_size"))
-        .withColumn("rest", F.expr("quota % source_size"))
-        .withColumn("slots", (F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(block))).cast("long"))
-    )
-    total = quotas.agg(F.sum("target").alias("words"))
+    by_name = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    sized = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
+    # A target in blocks allows for the short block at the end of each round through a source.
+    shares = sized.withColumn("share", F.col("target") * F.col("blocks") / F.col("source_size"))
+    shares = shares.withColumn("low", F.coalesce(F.sum("share").over(by_name), F.lit(0.0))).withColumn("high", F.col("low") + F.col("share"))
+    shares = materialize(shares.select("source", "blocks", "low", "high"), "shares")
+    total = shares.agg(F.max("high").alias("all"))
+    slots = F.ceil(F.round(F.coalesce(F.col("all"), F.lit(0.0)), 3)).cast("long")  # rounded, as targets are
     # One row per chunk of slots, expanded in parallel; the number of chunks follows the words of the mix.
-    chunks = total.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(F.col("words"), F.lit(0.0)) / F.lit(block * chunk)).cast("long"))).alias("chunk"), "words")
+    chunks = total.select("all", slots.alias("slots")).where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk}L)")).alias("chunk"))
     chunks = chunks.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk")
     first = F.col("chunk") * F.lit(chunk)
-    last = F.least(first + F.lit(chunk - 1), F.ceil(F.col("words") / F.lit(block)).cast("long"))
-    slots = chunks.select("chunk", "words", F.explode(F.sequence(first, last)).alias("slot"))
-    point = F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("words")
+    numbered = chunks.select("chunk", "all", F.explode(F.sequence(first, F.least(first + F.lit(chunk - 1), F.col("slots") - 1))).alias("slot"))
+    numbered = numbered.withColumn("slot", F.col("slot") + F.lit(first_slot))
     # The point's source by an equi-join on cells of the unit interval, whatever the number of sources.
-    cell = lambda words: F.floor(words / F.col("words") * F.lit(CELLS))
-    ranges = quotas.crossJoin(F.broadcast(total)).select("source", "from_words", "to_words", F.explode(F.sequence(cell(F.col("from_words")), cell(F.col("to_words")))).alias("cell"))
-    drawn = slots.withColumn("point", point).withColumn("cell", cell(F.col("point"))).drop("words").join(ranges, "cell").where("point >= from_words and point < to_words")
+    cell = lambda x: F.floor(x / F.col("all") * F.lit(CELLS))
+    ranges = shares.crossJoin(F.broadcast(total)).select("source", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    drawn = numbered.withColumn("point", golden_point(F.col("slot")) * F.col("all")).withColumn("cell", cell(F.col("point"))).drop("all")
+    drawn = drawn.join(ranges, "cell").where("point >= low and point < high").select("source", "blocks", "chunk", "slot")
     per_chunk = drawn.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = per_chunk.select(
         F.col("source").alias("c_source"), F.col("chunk").alias("c_chunk"),
         F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
     local = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-    ranked = drawn.select("source", "chunk", "slot", local.alias("local")).join(
-        before, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("chunk") == F.col("c_chunk"))
-    ).select("slot", "source", (F.col("before") + F.col("local")).alias("rank"))
-    served = per_chunk.groupBy("source").agg(F.sum("n").alias("served")).withColumnRenamed("source", "s_source")
-    closing = (
-        quotas.join(served, F.col("source").eqNullSafe(F.col("s_source")), "left")
-        .withColumn("served", F.coalesce("served", F.lit(0)))
-        .where("served < slots")
-        .select(F.lit(None).cast("long").alias("slot"), "source", F.explode(F.sequence(F.col("served"), F.col("slots") - 1)).alias("rank"))
-    )
-    facts = quotas.select(F.col("source").alias("q_source"), "slots", "blocks", "epochs", "rest")
-    epoch = F.floor(F.col("rank") / F.col("blocks"))
-    blk = F.col("rank") % F.col("blocks")
-    in_rest = epoch >= F.col("epochs")
-    words = F.when(in_rest, F.least(F.lit(block), F.col("rest") - blk * F.lit(block))).otherwise(F.lit(block))
-    return (
-        ranked.unionByName(closing)
-        .join(facts, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("rank") < F.col("slots")))
-        .select("slot", "source", "rank", blk.cast("long").alias("blk"), words.cast("long").alias("words"))
+    ranked = drawn.select("source", "blocks", "chunk", "slot", local.alias("local")).join(
+        before.hint("merge"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("chunk") == F.col("c_chunk"))
     )
+    rank = F.col("before") + F.col("local")
+    return ranked.where(rank < F.col("blocks") * F.lit(max_repeat)).select("slot", "source", rank.alias("rank"), (rank % F.col("blocks")).alias("blk"))
 
 
-def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, max_repeat: int = 3):
+def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int | None = None, max_repeat: int = 3):
     """(documents with their stream place, source targets, mixed pieces).
 
     Pieces: slot, rank, source, id, start, from_word, n_words - which words of which document each slot takes.
+    ``block`` is the number of words of a block, by default that of ``block_size``.
     """
     sized = own_columns(docs, id_col, source_col, text_col).toDF("id", "source", "text").select("id", "source", word_count(F.col("text")).alias("size"))
     sized = materialize(sized, "sizes")  # texts are read and counted once
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
+    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat), "targets")
     streams = source_streams(sized)
+    block = block or block_size(targets)
     b = F.lit(block)
     pieces = (
         streams.where("size > 0")
         .select("id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("blk"))
-        .withColumn("offset", F.greatest(F.col("start") - F.col("blk") * b, F.lit(0)))
-        .withColumn("end", F.least(F.col("start") + F.col("size") - F.col("blk") * b, b))
+        .withColumn("from_word", F.greatest(F.col("blk") * b - F.col("start"), F.lit(0)))
+        .withColumn("n_words", F.least(F.col("size"), (F.col("blk") + 1) * b - F.col("start")) - F.col("from_word"))
     )
-    slots = schedule(targets, block)
-    joined = slots.select("slot", "rank", F.col("source").alias("t_source"), F.col("blk").alias("t_blk"), "words").join(
-        pieces, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("blk") == F.col("t_blk")) & (F.col("offset") < F.col("words"))
-    )
-    mixed = joined.select(
-        "slot", "rank", "source", "id", "start",
-        (F.col("blk") * b + F.col("offset") - F.col("start")).alias("from_word"),
-        (F.least("end", "words") - F.col("offset")).alias("n_words"),
-    )
-    return streams, targets, mixed
+    slots = schedule(targets, block, max_repeat=max_repeat).select("slot", "rank", F.col("source").alias("t_source"), F.col("blk").alias("t_blk"))
+    # Both sides grow with the documents, so neither may be broadcast, however well it packs.
+    mixed = slots.hint("merge").join(pieces, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("blk") == F.col("t_blk")))
+    return streams, targets, mixed.select("slot", "rank", "source", "id", "start", "from_word", "n_words")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, max_repeat: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int | None = None, max_repeat: int = 3) -> DataFrame:
     """Per document: ``id_col``, size, source_size, target, taken.
 
+    ``taken`` are the words of the slots that the schedule served: near the target of the source (within a few
+    blocks), at most ``max_repeat`` times the size of any document.
+
     A source with no words has target 0; a null source is a source of its own, last in order; a null or
     empty text has size 0 and is never taken; rows that repeat an id (or have none) are separate documents,
     each with its own place in the stream; an empty table gives an empty result; other columns are ignored.
@@ -177,7 +172,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     facts = targets.select(F.col("source").alias("f_source"), "source_size", "target")
     return (
-        streams.join(taken, (F.col("size") > 0) & (F.col("start") == F.col("m_start")) & F.col("source").eqNullSafe(F.col("m_source")), "left")
+        streams.join(taken.hint("merge"), (F.col("size") > 0) & (F.col("start") == F.col("m_start")) & F.col("source").eqNullSafe(F.col("m_source")), "left")
         .join(facts, F.col("source").eqNullSafe(F.col("f_source")))
         .select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )

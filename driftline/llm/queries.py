@@ -108,12 +108,25 @@ WITH d AS (
 ), p AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d
-), q AS (
-  SELECT p.doc_id, p.size, t.source_size, t.target, p.start, CAST(round(t.target) AS BIGINT) AS quota
-  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+), b AS (
+  SELECT greatest(1, least(256, CAST(floor(coalesce(sum(target), 0)) AS BIGINT) // 65536)) AS block FROM t
+), h AS (
+  SELECT source, source_size, block, CAST(ceil(source_size / block) AS BIGINT) AS blocks, target * CAST(ceil(source_size / block) AS BIGINT) / source_size AS share
+  FROM t, b WHERE source_size > 0
+), i AS (
+  SELECT *, coalesce(sum(share) OVER o, 0.0) AS low, coalesce(sum(share) OVER o, 0.0) + share AS high
+  FROM h WINDOW o AS (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), a AS (
+  SELECT max(high) AS al FROM i
+), z AS (
+  SELECT CAST((CAST(slot AS HUGEINT) * 11400714819323198485) % 18446744073709551616 // 2048 AS DOUBLE) / 9007199254740992 * al AS point
+  FROM (SELECT al, unnest(range(0, CAST(ceil(round(coalesce(al, 0), 3)) AS BIGINT))) AS slot FROM a)
+), c AS (
+  SELECT i.source, any_value(block) AS block, any_value(blocks) AS blocks, least(count(*), 3 * any_value(blocks)) AS slots FROM z JOIN i ON point >= low AND point < high GROUP BY i.source
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-  (quota // source_size) * size + greatest(0, least(start + size, quota % source_size) - start) END AS taken FROM q
+SELECT p.doc_id, p.size, t.source_size, t.target, CAST(CASE WHEN p.size = 0 OR slots IS NULL THEN 0
+  ELSE (slots // blocks) * p.size + greatest(0, least(p.start + p.size, (slots % blocks) * block) - p.start) END AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source
 """
 
 OP9_SQL = r"""

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -11,11 +12,12 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute
+from pyspark.sql import functions as F
 
 from driftline.llm import metric_join, near_dedup as nd
 from driftline.llm.components import connected_components
 from driftline.llm.exact_dedup import exact_dedup
-from driftline.llm.mixing import mix_pieces, mix_sources
+from driftline.llm.mixing import golden_point, mix_pieces, mix_sources, schedule
 
 
 def test_components(spark):
@@ -111,33 +113,80 @@ def test_vectors(spark, monkeypatch):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def plain_mix(rows, block):
+    """taken of each row of (id, words, source), by walking the schedule slot by slot in exact numbers."""
+    import math
+    from fractions import Fraction
+
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[1] for r in rows if r[2] == s) for s in names}
+    weight, total, target, open_ = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(size.values()), {}, list(names)
+    while True:  # sources above three times their size stop there, the rest is shared anew
+        left = Fraction(total - sum(3 * size[s] for s in target))
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if level * weight[s] > 3 * size[s]]
+        if not full:
+            break
+        target |= {s: 3 * size[s] for s in full}
+        open_ = [s for s in open_ if s not in full]
+    target |= {s: level * weight[s] for s in open_}
+    blocks = {s: -(-size[s] // block) for s in names}
+    edges, at = [], Fraction(0)
+    for s in names:
+        if size[s]:
+            edges.append((at, at + target[s] * blocks[s] / size[s], s))
+            at = edges[-1][1]
+    rank, got, streams = Counter(), Counter(), {}
+    for i, r in sorted(enumerate(rows), key=lambda x: (hashlib.md5(("" if x[1][0] is None else str(x[1][0])).encode()).hexdigest(), x[1][0] or 0, x[1][1])):
+        streams.setdefault(r[2], []).extend([i] * r[1])
+    for slot in range(math.ceil(round(at, 3))):
+        point = Fraction((slot * 0x9E3779B97F4A7C15 % 2**64) >> 11, 2**53) * at
+        for low, high, s in edges:
+            if low <= point < high:
+                k, rank[s] = rank[s], rank[s] + 1
+                if k < 3 * blocks[s]:
+                    got.update(streams[s][k % blocks[s] * block : (k % blocks[s] + 1) * block])
+    return target, [got[i] for i in range(len(rows))]
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 90))), "big" if i % 3 else f"s{i % 7}") for i in range(400)] + [(900, "a b c", None), (901, None, "s0"), (None, "q r", "s1"), (5, "t u v", "s1"), (5, "t u v", "s1"), (903, "", "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as slot", "2 as start", "3 as size")
-    got = mix_sources(df, block=16).collect()
-    assert len(got) == len(rows)
-    total = sum(r.size for r in got)
-    by = {}
-    for r in got:
-        assert 0 <= r.taken <= 3 * r.size
-        by.setdefault((r.source_size, r.target), []).append(r)
-    assert abs(sum(t for _, t in by) - total) < 1e-3
-    for (size, target), rs in by.items():
-        assert target <= 3 * size + 1e-6 and abs(sum(r.taken for r in rs) - target) <= 1
-    again = mix_sources(df.repartition(7), block=64).collect()
+    for block in (1, 4, 16):
+        got = mix_sources(df, block=block).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+        target, taken = plain_mix([(i, len((t or "").split()), s) for i, t, s in rows], block)
+        assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(i), len((t or "").split()), n) for (i, t, _), n in zip(rows, taken))
+        assert sorted({round(r.target, 3) for r in got}) == sorted({round(float(t), 3) for t in target.values()})
+        by = {}
+        for r in got:
+            by.setdefault((r.source_size, r.target), []).append(r.taken)
+        assert all(abs(sum(ts) - t) <= 6 * block for (_, t), ts in by.items())
+    again = mix_sources(df.repartition(7), block=16).collect()
     key = lambda r: (str(r.doc_id), r.size, r.source_size, r.target, r.taken)
     assert sorted(map(key, again)) == sorted(map(key, got))
     assert mix_sources(df.limit(0)).count() == 0
+    assert [r.taken for r in mix_sources(df.where("source = 'empty'")).collect()] == [0]
 
 
 def test_mix_schedule_is_even(spark):
     rows = [(i, "w " * 64, f"s{i % 3}") for i in range(300)]
     _, targets, mixed = mix_pieces(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64)
-    slots = [(r.slot, r.source) for r in mixed.collect() if r.slot is not None]
+    slots = [(r.slot, r.source) for r in mixed.collect()]
     share = {r.source: r.target for r in targets.collect()}
     whole = sum(share.values())
     for cut in (50, 100, 200):
         for source, target in share.items():
             seen = sum(1 for s, x in slots if s < cut and x == source)
             assert abs(seen - cut * target / whole) <= 6
+
+
+def test_mix_far_slots(spark):
+    """Slot numbers above 2^33 and 3.5e9 * GOLDEN neither overflow nor repeat earlier points, and stay even."""
+    targets = spark.createDataFrame([("a", 1000, 1, 400.0), ("b", 1000, 2, 800.0), (None, 500, 3, 1200.0)], "source string, source_size long, weight long, target double")
+    for first in (0, 3_500_000_000, (1 << 33) + 7, 10**15):
+        counts = Counter(r.source for r in schedule(targets, 1, first_slot=first).collect())
+        assert all(abs(counts[s] - n) <= 4 for s, n in (("a", 400), ("b", 800), (None, 1200)))
+    points = [spark.range(1).select(golden_point(F.lit(s).cast("long")).alias("p")).first().p for s in (5, 5 + (1 << 32), 5 + (1 << 40))]
+    assert len(set(points)) == 3 and points == [((s * 0x9E3779B97F4A7C15 % 2**64) >> 11) / 2**53 for s in (5, 5 + (1 << 32), 5 + (1 << 40))]
