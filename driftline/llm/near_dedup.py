@@ -7,7 +7,9 @@ child named by its minwise token there.  Similar sets share paths.  Nodes still
 branch on; small nodes are compared exhaustively on the full shingle sets, each pair only in the first node
 that the two share.  Inside a node only pairs not yet connected are compared, so what leaves a node is a
 spanning set of its links, never all pairs.  Components of the links, joined over nodes, are exact but for
-pairs that no tree brings together; with the default trees that is below one in a thousand at the threshold.
+pairs that no tree brings together.  All trees draw from the same coordinates, so their misses go together: over
+the binomial spread of a pair's agreement, one at the threshold of 0.85 (0.8) is missed with a chance of about
+2e-6 (3e-5) where nodes are small after three levels, and 2e-4 (2e-3) where they branch on to six.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from driftline.llm.streams import sorted_groups
 #: Minwise coordinates of a document, independent trees, levels before the first comparison, most levels,
 #: size up to which a node is compared, and the expected number of children (1 + BRANCH).
 COORDINATES, TREES, FIRST_LEVELS, MOST_LEVELS, SMALL, BRANCH = 96, 12, 3, 6, 128, 0.25
-#: A pair is compared on full sets when its minwise agreement is within this of the threshold (over 4.5 standard deviations).
-SLACK = 0.18
 #: Most members and most text bytes of a group that one task compares at once; larger nodes are compared in blocks.
 BLOCK_ROWS, BLOCK_BYTES = 3000, 48 << 20
 
@@ -81,8 +81,8 @@ def _describe(k: int):
                     digests.append(xxhash.xxh128_digest(tokens.tobytes()) + len(tokens).to_bytes(4, "big") if len(tokens) else None)
                     signatures.append(minwise(tokens) if len(tokens) else None)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
-                    names=["id", "n_shingles", "digest", "signature"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
+                    names=["id", "text_hash", "n_shingles", "digest", "signature"],
                 )
 
     return run
@@ -144,28 +144,24 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _spanning_links(node, members: list[tuple], k: int, percent: int, first: int, second: int) -> list[tuple[int, int]]:
     """Links that connect the members of a node, found by comparing full sets of pairs that are not yet connected.
 
-    members: (id, block, text, signature, nodes).  Diagonal groups compare all their pairs, others those across blocks.
+    members: (id, block, text, size, signature, nodes).  Diagonal groups compare all their pairs, others those
+    across blocks.  Only pairs whose sizes rule a link out are passed over.
     """
-    members = list({m[0]: m for m in members}.values())
     n = len(members)
-    signatures = np.array([m[3] for m in members], dtype=np.int32)
+    signatures = np.array([m[4] for m in members], dtype=np.int32)
     probe = signatures[:: max(1, n // 64)][:64]
     central = np.argsort([-int((probe == row).sum()) for row in signatures], kind="stable")
-    members, signatures = [members[i] for i in central], signatures[central]
-    blocks = np.array([m[1] for m in members])
-    shared = [frozenset(x for x in m[4] if x < node) for m in members]
+    members = [members[i] for i in central]
+    blocks, sizes = np.array([m[1] for m in members]), np.array([m[3] for m in members], dtype=np.int64)
+    shared = [frozenset(x for x in m[5] if x < node) for m in members]
     sets: list[np.ndarray | None] = [None] * n
     group = np.arange(n)
     out = []
-    least = percent / 100 - SLACK
     for i in range(n):
         rest = np.arange(i + 1, n)
-        rest = rest[group[rest] != group[i]]
+        rest = rest[(group[rest] != group[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         if first != second:
             rest = rest[blocks[rest] != blocks[i]]
-        if not len(rest):
-            continue
-        rest = rest[(signatures[rest] == signatures[i]).mean(axis=1) >= least]
         for j in rest.tolist():
             if group[j] == group[i] or not shared[i].isdisjoint(shared[j]):
                 continue
@@ -214,14 +210,19 @@ def _leaves(reps: DataFrame, trees: int) -> DataFrame:
 
 
 def similar_links(reps: DataFrame, texts: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
-    """Spanning links (a, b) among representatives.  reps: id, signature; texts: id, text."""
+    """Spanning links (a, b) among representatives.
+
+    reps: id, owner, text_hash, n_shingles, signature; texts: owner, text_hash, text.  The owner and the hash name
+    a text, so that rows which repeat an owner with other texts cannot be taken for one another.
+    """
     leaves = materialize(_leaves(reps, trees), "leaves")
     # Nodes of the same members in several trees are compared once.
     nodes = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
     once = nodes.groupBy("n", "members").agg(F.min("node").alias("node"))
     members = leaves.join(once.select("node"), "node", "left_semi")
-    per_id = members.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    described = per_id.join(reps.select("id", "signature"), "id").join(texts, "id")
+    per_id = members.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes")).join(reps, "id")
+    wanted = texts.join(per_id.select("owner", "text_hash"), ["owner", "text_hash"], "left_semi").dropDuplicates(["owner", "text_hash"])
+    described = per_id.join(wanted, ["owner", "text_hash"]).select("id", "text", "n_shingles", "signature", "nodes")
     sized = members.join(described.select("id", F.octet_length("text").alias("bytes")), "id")
     blocks = sized.groupBy("node").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
@@ -229,7 +230,7 @@ def similar_links(reps: DataFrame, texts: DataFrame, k: int, percent: int, trees
     own = F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")
     spread = members.join(blocks, "node").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = spread.select("node", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "id", "block")
-    wide = groups.join(described, "id").select("node", "first", "second", "id", "block", "text", "signature", "nodes")
+    wide = groups.join(described, "id").select("node", "first", "second", "id", "block", "text", "n_shingles", "signature", "nodes")
     dealt = wide.repartition("node", "first", "second").sortWithinPartitions("node", "first", "second", "id")
     return dealt.mapInArrow(_compare(k, percent), "a long, b long")
 
@@ -241,21 +242,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Edge cases: a null, empty or blank text has no shingles and is linked with nothing; a text with fewer
     words than a shingle is one shingle; equal sets are one class whatever their number; a row with a null id
-    is its own null component; rows that repeat an id each get a row, with the smallest component of any
-    of them; an empty table gives an empty result; other columns are ignored; very long texts are used whole.
+    is its own null component; rows that repeat an id, whatever their texts, are one vertex of the graph: each
+    gets a row, all with the smallest id that any of their texts reaches; an empty table gives an empty result;
+    other columns are ignored; very long texts are used whole.
     """
-    source = own_columns(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    facts = materialize(source.mapInArrow(_describe(shingle), "id long, n_shingles long, digest binary, signature array<int>"), "shingles")
+    named = own_columns(docs, id_col, text_col).toDF("id", "text")
+    source = named.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("text_hash"))
+    schema = "id long, text_hash long, n_shingles long, digest binary, signature array<int>"
+    facts = materialize(source.select("id", "text", "text_hash").mapInArrow(_describe(shingle), schema), "shingles")
     filled = facts.where("n_shingles > 0 and id is not null")
-    classes = materialize(filled.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    by_class = filled.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
-    reps = filled.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "signature").dropDuplicates(["id"])
-    texts = source.where("id is not null").select("id", "text")
+    classes = filled.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("one"))
+    # A class has a number of its own: an id may stand for several classes.  Written, so that the numbers are final.
+    classes = materialize(classes.select("digest", "one.id", "one.text_hash", F.monotonically_increasing_id().alias("class")), "classes")
+    chosen = classes.select("digest", F.col("id").alias("owner"), F.col("text_hash").alias("hash"), "class")
+    of_row = filled.join(chosen, "digest")
+    reps = (
+        of_row.where((F.col("id") == F.col("owner")) & (F.col("text_hash") == F.col("hash")))
+        .select(F.col("class").alias("id"), "owner", "text_hash", "n_shingles", "signature")
+        .dropDuplicates(["id"])
+    )
+    texts = source.where("id is not null").select(F.col("id").alias("owner"), "text_hash", "text")
     links = similar_links(reps, texts, shingle, percent, trees)
-    # Classes are stars already; only links between representatives need rounds.
-    roots = connected_components(links)
-    of_rep = by_class.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    found = of_rep.groupBy("id").agg(F.min("component").alias("component"))
+    # Rows of a class, and classes of an id, are stars already; only links between classes and ids that bridge classes need rounds.
+    by_id = materialize(of_row.select("id", "class").distinct(), "owners")
+    bridges = by_id.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
+    bridges = by_id.join(bridges.select("id", "a"), "id").where("class <> a").select("a", F.col("class").alias("b"))
+    roots = connected_components(links.unionByName(bridges))
+    rooted = classes.select("class", F.col("id").alias("least")).join(roots.withColumnRenamed("id", "class"), "class", "left").select("class", "least", F.coalesce("component", "class").alias("root"))
+    rooted = materialize(rooted, "roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    found = by_id.join(rooted.join(least, "root").select("class", "component"), "class").groupBy("id").agg(F.min("component").alias("component"))
     return facts.select("id", "n_shingles").join(found, "id", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",

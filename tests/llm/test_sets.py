@@ -87,6 +87,37 @@ def test_near_edges(spark):
     assert nd.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_repeated_ids(spark):
+    """An id on rows of different texts is one vertex with the links of all of them; every input row comes back once."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = near_corpus(random.Random(4), groups=12)
+    rows = [(1000 + i, t) for i, t in docs.items()] + [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, None), (4, b + " end"), (1003, docs[40]), (1003, docs[70]), (None, a), (2, a + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(df, shingle=3, percent=85).collect())
+    known = [(i, brute.shingles(t, 3)) for i, t in rows if i is not None]
+    links = [(i, j) for i, x in known for j, y in known if i < j and x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    root = brute.components({i for i, _ in known}, links)
+    assert got == Counter((i, len(brute.shingles(t, 3)), root.get(i), i is None or root[i] == i) for i, t in rows)
+    assert {root[i] for i in (1, 2, 3, 4)} == {1}
+
+
+def test_near_recall_where_nodes_branch_to_the_last_level(spark, monkeypatch):
+    """Isolated pairs just above the threshold, all nodes branching on as if they were large."""
+    monkeypatch.setattr(nd, "SMALL", 1)
+    rng = random.Random(8)
+    docs = {}
+    for g in range(400):
+        base = [f"g{g}w{i}" for i in range(202)]
+        near = base[:]
+        for at in rng.sample(range(3, 199, 6), 5):  # five changes of three shingles each: 185 of 215 shared
+            near[at] = "x"
+        docs |= {2 * g: " ".join(base), 2 * g + 1: " ".join(near)}
+    want = brute.near(docs, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), shingle=3, percent=85).collect()}
+    linked = [i for i, (_, c) in want.items() if c != i]
+    assert len(linked) == 400 and sum(got[i] == want[i] for i in linked) >= 398
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "PER_PIVOT", 30)
     monkeypatch.setattr(metric_join, "BLOCK", 16)
