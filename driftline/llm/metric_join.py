@@ -71,6 +71,7 @@ def _copies(pivots: dict, radius: dict, reach: float):
     """(label, embedding, rep, n, cell, away) -> a row for the home cell and one for each cell that may hold a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {}  # pivot to pivot, calculated once a task
         for batch in batches:
             home = np.asarray(batch.column(4))
             take, cells, homes = [np.arange(batch.num_rows)], [home], [np.ones(batch.num_rows, dtype=bool)]
@@ -80,8 +81,9 @@ def _copies(pivots: dict, radius: dict, reach: float):
                 own, rows = home[rows], np.array(rows)
                 d = _distances(_unit(batch.column(1).take(pa.array(rows)), space[1]), pivots[space])
                 d_own = d[np.arange(len(rows)), own]
-                between = _distances(pivots[space], pivots[space])[own]
-                beyond = (d * d - d_own[:, None] ** 2) / np.maximum(2.0 * between, 1e-300)
+                if space not in apart:
+                    apart[space] = np.maximum(2.0 * _distances(pivots[space], pivots[space]), 1e-300)
+                beyond = (d * d - d_own[:, None] ** 2) / apart[space][own]
                 room = (beyond <= reach + _ROUNDING) & (d - radius[space][None, :] <= reach + _ROUNDING)
                 room[np.arange(len(rows)), own] = False
                 at, cell = np.nonzero(room)
@@ -174,18 +176,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a
     null label or id, link with nothing; vectors of different length never link; equal vectors link with each
-    other; rows that repeat an id count as vectors of their own and share its component; an empty table gives
-    an empty result; other columns are ignored.
+    other; rows that repeat an id are one vertex of the graph and each gets a row: n_links is that of the row's
+    own vector (equal vectors on other rows count, whatever their ids), component_id the smallest id that any
+    vector of the id reaches; an empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     source = own_columns(vectors, id_col, vector_col, label_col).toDF("id", "embedding", "label")
     good = source.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("embedding")))
-    classes = materialize(good.groupBy("label", "embedding").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    named = good.groupBy("label", "embedding").agg(F.min("id").cast("long").alias("least"), F.count(F.lit(1)).alias("n"))
+    # A class has a number of its own: an id may stand for several vectors.  Written, so that the numbers are final.
+    named = materialize(named.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    classes = named.select("label", "embedding", "rep", "n")
     large = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("m")).where(f"m > {PER_PIVOT}")
     wanted = large.agg(F.sum("m")).first()[0] or 0
     chosen = (
         classes.withColumn("dim", F.size("embedding")).join(large.select("label", "dim"), ["label", "dim"], "left_semi")
-        .orderBy(F.xxhash64("rep"), "rep").limit(min(MOST_PIVOTS, math.ceil(wanted / PER_PIVOT))).select("label", "embedding").collect()
+        .orderBy(F.xxhash64("embedding"), "embedding").limit(min(MOST_PIVOTS, math.ceil(wanted / PER_PIVOT))).select("label", "embedding").collect()
     ) if wanted else []
     found: dict[tuple, list] = {}
     for label, embedding in chosen:
@@ -210,13 +216,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     key = ["label", "cell", "block", "dim"]
     dealt = homes.select(columns).unionByName(partners.select(columns)).repartition(*key).sortWithinPartitions(*key, "partner", "rep")
     joined = materialize(dealt.mapInArrow(_join(least_cosine), "a long, b long, links long"), "links")
-    roots = connected_components(joined.where("b is not null").select("a", "b"))
-    per_class = (
-        classes.join(joined.where("links is not null").select(F.col("a").alias("rep"), "links"), "rep")
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    )
-    linked = good.join(per_class, ["label", "embedding"]).select("id", "n_links", "component")
+    # Ids that stand for several vectors tie their classes together.
+    owners = materialize(good.join(named.select("label", "embedding", "rep"), ["label", "embedding"]).select(F.col("id").cast("long").alias("id"), "rep"), "owners")
+    several = owners.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    bridges = owners.join(several.select("id", "a"), "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    roots = connected_components(joined.where("b is not null").select("a", "b").unionByName(bridges))
+    links = joined.where("links is not null").select(F.col("a").alias("rep"), "links")
+    rooted = named.select("rep", "least", "n").join(links, "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    rooted = materialize(rooted.select("rep", "least", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root")), "roots")
+    component = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    per_class = rooted.join(component, "root").select("rep", "n_links", "component")
+    linked = owners.join(per_class, "rep").select("id", "n_links", "component")
     alone = source.where(~(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("embedding")))).select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component")
     )

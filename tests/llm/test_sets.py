@@ -144,6 +144,15 @@ def test_vectors(spark, monkeypatch):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_repeated_ids(spark):
+    """One row for each input row; an id on rows of different vectors ties their components together."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 1.0], 0), (4, [1.0, 1.0], 0), (5, [0.0, -1.0], 1), (1, None, 0), (None, [1.0, 0.0], 0), (6, [2.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df).collect()), key=str)
+    want = [(1, 2, 1), (1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4), (5, 0, 5), (6, 2, 1)]
+    assert got == sorted([(False, i, n, c, i == c) for i, n, c in want] + [(False, 1, 0, 1, True), (True, 0, 0, None, True)], key=str)
+
+
 def plain_mix(rows, block):
     """taken of each row of (id, words, source), by walking the schedule slot by slot in exact numbers."""
     import math
