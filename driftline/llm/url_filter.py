@@ -1,11 +1,15 @@
 """URL filtering by rules and a path-template tree.
 
 Rules decide first: the longest rule that fits the host (or a parent domain) and the start of the path.  All
-other pages are judged by the tree: per host, path segments that are variable by shape (numbers, hex, long
-names) or by spread (many rare siblings) become wildcards, and labelled branches whose bad share does not
-differ from that of their siblings are merged.  A page's template is rejected when its smoothed labelled
-purity, (bad + strength * prior) / (labelled + strength), reaches the threshold.  Labels are the verdicts of
-the rules, and any labels given by page id.
+other pages are judged by the tree.  Per host, path segments that are variable by shape (numbers, hex, long
+names) or by spread (many rare siblings) become wildcards.  A branch is merged with its siblings when it can't
+be told from the rest of them: what follows it has the same distribution, and so has its bad share where both
+are labelled.  So labels reach pages without any through the wildcard they share.
+
+A page's template is rejected when its smoothed labelled purity reaches the threshold.  Purity is
+(bad + strength * prior) / (labelled + strength), where the prior of a node is the purity of its parent without
+the node's own labels, from the host (whose prior is a setting) down: a template without labels is judged by the
+labels around it, and none counts twice.  Labels are the verdicts of the rules, and any labels given by page id.
 
 Counting is by grouping throughout, so a host with most of the pages is combined before it is shuffled; the
 tree is built on distinct (host, shape) rows, not on pages.
@@ -37,14 +41,15 @@ class Rule:
 @dataclass(frozen=True)
 class TreeSettings:
     """depth: segments in a template, deeper ones share a tail; siblings: more than this many make rare ones variable;
-    rare: share of the parent's pages below which a sibling is rare; least: labelled pages for a comparison;
-    z: branches whose bad shares differ by less are merged; prior, strength, reject: smoothing and threshold."""
+    rare: share of the parent's pages below which a sibling is rare; z_bad, z_look: branches whose bad shares, or whose
+    distributions of what follows, differ by fewer standard deviations are merged; prior, strength, reject: the host's
+    prior, smoothing and threshold."""
 
     depth: int = 6
     siblings: int = 12
     rare: float = 0.2
-    least: int = 10
-    z: float = 1.0
+    z_bad: float = 1.0
+    z_look: float = 3.0
     prior: float = 0.1
     strength: float = 4.0
     reject: float = 0.7
@@ -87,10 +92,31 @@ def segments(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
+def _looks(here: DataFrame, level: int) -> DataFrame:
+    """(host, prefix, segment, look): how far what follows a segment is distributed unlike what follows its siblings.
+
+    A two-sample chi-square over the tails, in standard deviations above its mean; 0 where there is one tail only.
+    """
+    branch, parent = ["host", "prefix", "segment"], ["host", "prefix"]
+    tails = here.select(*branch, F.array_join(F.slice("shapes", level + 1, 1 << 20), "/").alias("tail"), "n").groupBy(*branch, "tail").agg(F.sum("n").alias("mine"))
+    all_tails = tails.groupBy(*parent, "tail").agg(F.sum("mine").alias("all"))
+    sizes = all_tails.groupBy(*parent).agg(F.sum("all").alias("pages"), F.count(F.lit(1)).alias("kinds"))
+    mine = tails.join(all_tails, [*parent, "tail"]).join(tails.groupBy(*branch).agg(F.sum("mine").alias("own")), branch).join(sizes, parent)
+    rest, theirs = F.col("pages") - F.col("own"), F.col("all") - F.col("mine")
+    seen = F.pow(F.col("mine") * F.sqrt(rest / F.col("own")) - theirs * F.sqrt(F.col("own") / rest), 2) / F.col("all")
+    summed = mine.where(rest > 0).groupBy(*branch).agg(F.sum(seen).alias("seen"), F.sum(theirs).alias("met"), F.first("own").alias("own"), F.first("pages").alias("pages"), F.first("kinds").alias("kinds"))
+    unseen = (F.col("pages") - F.col("own") - F.col("met")) * F.col("own") / (F.col("pages") - F.col("own"))  # tails that only siblings have
+    free = F.col("kinds") - 1
+    return summed.select(*branch, F.when(free > 0, (F.col("seen") + unseen - free) / F.sqrt(2 * free)).otherwise(F.lit(0.0)).alias("look"))
+
+
 def _grow(keys: DataFrame, level: int, s: TreeSettings) -> DataFrame:
-    """One level of the tree: keys (host, shapes, prefix, n, labelled, bad) with the segment at ``level`` added to the prefix."""
-    here = keys.withColumn("segment", F.when(F.size("shapes") >= level, F.expr(f"element_at(shapes, {level})")))
-    branches = here.where("segment is not null").groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    """One level of the tree: the segment at ``level`` is added to the prefix, and the node's counts and prior replace its parent's.
+
+    keys: host, shapes, prefix, n, labelled, bad (of the key), node_labelled, node_bad, prior (of the node at prefix).
+    """
+    here = keys.withColumn("segment", F.when(F.size("shapes") >= level, F.expr(f"element_at(shapes, {level})"))).where("segment is not null")
+    branches = here.groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
     parents = branches.groupBy("host", "prefix").agg(
         F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
     )
@@ -98,28 +124,40 @@ def _grow(keys: DataFrame, level: int, s: TreeSettings) -> DataFrame:
     pooled = F.col("all_bad") / F.col("all_labelled")
     spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-4)) * (1 / F.col("labelled") + 1 / rest))
     z = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / rest) / spread
-    alike = F.when((F.col("labelled") >= s.least) & (rest >= s.least), z < s.z).otherwise(F.lit(False))
+    same_share = F.when((F.col("labelled") > 0) & (rest > 0), z < s.z_bad).otherwise(F.lit(True))
+    alike = (F.col("kids") > 1) & same_share & (F.coalesce("look", F.lit(0.0)) < s.z_look)
     variable = (F.col("kids") > s.siblings) & (F.col("n") < F.col("all_n") * s.rare)
     named = F.when(variable | alike, F.lit("*")).otherwise(F.col("segment"))
-    nodes = branches.join(parents, ["host", "prefix"]).select("host", "prefix", "segment", named.alias("node"))
-    grown = here.join(nodes, ["host", "prefix", "segment"], "left")
-    added = F.when(F.col("node").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.col("node")))
-    return grown.select("host", "shapes", added.alias("prefix"), F.array_append("nodes", added).alias("nodes"), "n", "labelled", "bad")
+    nodes = branches.join(parents, ["host", "prefix"]).join(_looks(here, level), ["host", "prefix", "segment"], "left").select(
+        "host", "prefix", "segment", F.concat("prefix", F.lit("/"), named).alias("grown"), "labelled", "bad"
+    )
+    nodes = materialize(nodes, "url-nodes")
+    counts = nodes.groupBy("host", "prefix", "grown").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    left = keys.withColumn("segment", F.when(F.size("shapes") >= level, F.expr(f"element_at(shapes, {level})")))
+    joined = left.join(nodes.select("host", "prefix", "segment", "grown"), ["host", "prefix", "segment"], "left").join(counts, ["host", "prefix", "grown"], "left")
+    inherited = (F.col("node_bad") - F.col("b") + s.strength * F.col("prior")) / (F.col("node_labelled") - F.col("l") + s.strength)
+    deeper = F.col("grown").isNotNull()
+    pick = lambda new, old: F.when(deeper, new).otherwise(F.col(old)).alias(old)
+    return joined.select(
+        "host", "shapes", pick(F.col("grown"), "prefix"), "n", "labelled", "bad",
+        pick(F.col("l"), "node_labelled"), pick(F.col("b"), "node_bad"), pick(inherited, "prior"),
+    )
 
 
 def template_purity(pages: DataFrame, settings: TreeSettings) -> DataFrame:
-    """pages: host, shapes, bad (1, 0 or null where unlabelled) -> host, shapes, template, labelled, bad, purity."""
+    """pages: host, shapes, bad (1, 0 or null where unlabelled) -> host, shapes, template, labelled, bad, purity.
+
+    labelled and bad count all pages at or below the template, so /de is judged with /de/1 and /de/2.
+    """
     keys = pages.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    keys = keys.select("host", "shapes", F.lit("").alias("prefix"), F.array(F.lit("")).alias("nodes"), "n", "labelled", "bad")
     keys = materialize(keys, "url-keys")
+    hosts = keys.groupBy("host").agg(F.sum("labelled").alias("node_labelled"), F.sum("bad").alias("node_bad"))
+    keys = keys.join(hosts, "host").select("host", "shapes", F.lit("").alias("prefix"), "n", "labelled", "bad", "node_labelled", "node_bad", F.lit(settings.prior).alias("prior"))
     deepest = keys.agg(F.max(F.size("shapes"))).first()[0] or 0  # depth + 1 at most
     for level in range(1, deepest + 1):
         keys = materialize(_grow(keys, level, settings), "url-templates")
-    # A node counts all pages below it, so /de is judged with /de/1 and /de/2.
-    below = keys.select("host", F.explode(F.array_distinct("nodes")).alias("template"), "labelled", "bad")
-    counts = below.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + settings.strength * settings.prior) / (F.col("labelled") + settings.strength)
-    return keys.select("host", "shapes", F.col("prefix").alias("template")).join(counts.withColumn("purity", purity), ["host", "template"])
+    purity = (F.col("node_bad") + settings.strength * F.col("prior")) / (F.col("node_labelled") + settings.strength)
+    return keys.select("host", "shapes", F.col("prefix").alias("template"), F.col("node_labelled").alias("labelled"), F.col("node_bad").alias("bad"), purity.alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, settings: TreeSettings = TreeSettings(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -128,8 +166,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None =
     ``labels`` (id, bad 0/1) adds labels to those of the rules; a page with a rule is labelled by its rule.
 
     Edge cases: a null url, or one without ``://``, has empty host and path and is judged like any page of
-    the empty host; repeated rows and null ids are kept, and each counts; templates without labels have the
-    prior's purity and are allowed; an empty table gives an empty result; other columns are ignored.
+    the empty host; repeated rows and null ids are kept, and each counts; a host without labels
+    has the prior's purity and is allowed; an empty table gives an empty result; other columns are ignored.
     """
     source = own_columns(pages, id_col, url_col).toDF("id", "url")
     parsed = source.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
