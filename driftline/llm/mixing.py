@@ -27,6 +27,8 @@ ORDER_BUCKETS = 1024
 CELLS = 4096
 #: A block has 1/LEAST_SLOTS of the mix's words, but at most MOST_BLOCK: a few blocks are then a small part of any mix.
 LEAST_SLOTS, MOST_BLOCK = 1 << 16, 256
+#: Up to this many sources the table that maps points to sources is broadcast (a row a source and cell); beyond, slots are shuffled to it.
+FEW_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -118,7 +120,9 @@ def schedule(targets: DataFrame, block: int, chunk: int = 1 << 14, max_repeat: i
     cell = lambda x: F.floor(x / F.col("all") * F.lit(CELLS))
     ranges = shares.crossJoin(F.broadcast(total)).select("source", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     drawn = numbered.withColumn("point", golden_point(F.col("slot")) * F.col("all")).withColumn("cell", cell(F.col("point"))).drop("all")
-    drawn = drawn.join(ranges, "cell").where("point >= low and point < high").select("source", "blocks", "chunk", "slot")
+    # Slots grow with the documents and must never be the broadcast side, however small Spark takes an expanded sequence to be.
+    few = shares.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    drawn = (drawn.join(F.broadcast(ranges), "cell") if few else drawn.hint("merge").join(ranges, "cell")).where("point >= low and point < high").select("source", "blocks", "chunk", "slot")
     per_chunk = drawn.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = per_chunk.select(
         F.col("source").alias("c_source"), F.col("chunk").alias("c_chunk"),

@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 from pyspark.sql import functions as F
 
-from driftline.llm import metric_join, near_dedup as nd
+from driftline.llm import metric_join, mixing, near_dedup as nd
 from driftline.llm.components import connected_components
 from driftline.llm.exact_dedup import exact_dedup
 from driftline.llm.mixing import golden_point, mix_pieces, mix_sources, schedule
@@ -210,6 +210,14 @@ def test_mix(spark):
     assert [r.taken for r in mix_sources(df.where("source = 'empty'")).collect()] == [0]
 
 
+def test_mix_with_many_sources(spark, monkeypatch):
+    """The schedule is the same when slots are shuffled to the map of points, as they are beyond FEW_SOURCES."""
+    targets = spark.createDataFrame([(f"s{i}", 40 + i, 1, 40.0 + i) for i in range(30)], "source string, source_size long, weight long, target double")
+    few = sorted(schedule(targets, 3).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    assert sorted(schedule(targets, 3).collect()) == few and len(few) > 500
+
+
 def test_mix_schedule_is_even(spark):
     rows = [(i, "w " * 64, f"s{i % 3}") for i in range(300)]
     _, targets, mixed = mix_pieces(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64)
