@@ -16,9 +16,19 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: documents without a language (no text, or no letter in it) go."""
-    columns = docs.columns
-    return identify(docs, learn_from_training_fold(docs), keep=True).where("lang_pred <> 'und'").select(columns)
+    """Language identification: documents without a language (no text, or no letter in it) go; all others stay.
+
+    Which language a text is in rejects nothing.  Where nothing could be learned (no row of the training fold has a
+    text and a language) letters alone decide.  Rows with a null or repeated id are documents like others; an
+    empty table gives an empty result; extra columns of any name are carried along.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"own_{i}" for i in range(len(names))])
+    text = f"own_{names.index('text')}"
+    model = learn_from_training_fold(docs)
+    if not model.languages:
+        return own.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).toDF(*names)
+    return identify(own, model, text_col=text, keep=True).where("lang_pred <> 'und'").select(own.columns).toDF(*names)
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -39,7 +49,10 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact deduplication: of texts equal but for white space one document stays, whatever ids are null or repeated."""
+    """Exact deduplication: of texts equal but for white space one document stays, whatever ids are null or repeated.
+
+    Null, empty and blank texts are equal; an empty table gives an empty result; extra columns of any name stay.
+    """
     keyed, key = with_row_key(docs)
     kept = exact_dedup(keyed, id_col=key).where("kept").select(key)
     return keyed.join(kept, key, "left_semi").select(docs.columns)
@@ -48,7 +61,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates on five-word shingles at a similarity of 0.8: one document of each component stays.
 
-    Rows with a null or repeated id are documents of their own, compared like all others.
+    Rows with a null or repeated id are documents of their own, compared like all others; texts without words are
+    near nothing and stay; an empty table gives an empty result; extra columns of any name stay.
     """
     keyed, key = with_row_key(docs)
     kept = near_dedup(keyed, id_col=key, shingle=5, percent=80).where("kept").select(key)
@@ -60,15 +74,21 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The part of a document at the end of its source's share counts as one more copy.  Rows with a null or
     repeated id are documents of their own; if there are any, the row numbers shuffle the streams, not the ids.
+    A null source is one of its own; texts without words are never taken; an empty table gives an empty result;
+    extra columns of any name stay.
     """
     keyed, key = with_row_key(docs)
     taken = mix_sources(keyed, id_col=key).where("taken > 0").select(key, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    columns = [keyed[c] for c in docs.columns]
-    return keyed.join(taken, key).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(docs.columns)
+    repeated = taken.select(key, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(key)
+    return keyed.join(repeated, key).select(docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece encoding: doc_id, ids, n_ids, n_byte_ids, round_trip for every row of the mix."""
+    """SentencePiece encoding: doc_id, ids, n_ids, n_byte_ids, round_trip for every row of the mix.
+
+    A null text has null ids; null and repeated ids are kept; an empty table gives an empty result; extra columns
+    of any name are left behind.
+    """
     return encode_texts(docs, load_model(PIECES))
 
 

@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else (tests) a temporary one."""
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is not set, a session in one process (``local[...]``, as in tests) gets a temporary one; a cluster is refused.
+    """
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if found is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoints-"))
         found = context.getCheckpointDir()
     return found
@@ -44,15 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables whose consumers are materialized themselves, and let Spark drop the shuffle files behind them.
-
-    Shuffle files go when the driver's JVM finds their plans unreachable; on a long job that may be much later.
-    """
+    """Delete materialized tables whose consumers are materialized themselves; Spark's cleaner drops the shuffle files behind them."""
     for t in tables:
         jvm, path = t.sparkSession._jvm, t.stored_at
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-    tables[0].sparkSession._jvm.System.gc()
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialize
+from driftline.llm.common import discard, materialize
 
 
 def _stars(pairs: DataFrame, keep_greater: bool) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """Undirected ``edges`` -> (id, component): the smallest id reachable, for every id that has an edge.
 
     Loops and repeated edges are harmless, edges with a null end are ignored, and no edges give no rows.
-    Each round is written to the shared folder; the rounds grow with the logarithm of the longest path.
+    Each round is written to the shared folder and the one before it deleted; the rounds grow with the logarithm of the longest path.
     """
     current = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     current = materialize(current.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _stars(both, True).distinct()
         small = _stars(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False).distinct()
-        current = materialize(small, "components")
-        after = _state(current)
+        grown = materialize(small, "components")
+        discard(current)
+        current, after = grown, _state(grown)
         if after == before:
             break
         before = after

@@ -220,7 +220,7 @@ _identifiers: dict[int, Identifier] = {}
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: ``id_col`` (or with ``keep`` all columns), lang_pred, score, spans.
 
-    lang_pred is a learned language, or ``und`` for a text that is null, empty or without letters (score 0,
+    lang_pred is a learned language, or ``und`` for a text that is null, empty or without letters, and for all where nothing was learned (score 0,
     no spans); score is the share of the text's words in lang_pred; ties go to the first language by name.
     Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored
     (with ``keep`` they must not be named as the new ones); texts are used whole.

@@ -85,3 +85,25 @@ def test_row_key_follows_the_order_of_ids(spark):
     found = [r.doc_id for r in sorted(keyed.collect(), key=lambda r: r[key])]
     assert key not in docs.columns and found == [-1, 2, 2, 5, 5, None, None]
     assert len({r[key] for r in keyed.collect()}) == 7
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """Each stage returns the columns of documents whatever they are called, and nothing for nothing."""
+    extra = ["lang_pred", "score", "spans", "copies", "copy", "id", "row_key", "digest", "kept", "taken", "own_0", "count(1)"]
+    rows = [(i, t, lang, s, 1, *[f"{name}{i}" for name in extra]) for i, (t, lang, s) in enumerate([("one text of words", "en", "a"), ("zwei Texte", "de", None), ("12 34", "en", "a"), (None, None, "b"), ("one text of words", None, "b"), ("", "en", "a")])]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{name}` string" for name in extra)
+    docs = P.materialize(spark.createDataFrame(rows, schema), "t")
+    for name, stage in P.STAGES:
+        out = P.materialize(stage(spark, docs, ""), "t")
+        assert P.materialize(stage(spark, docs.limit(0), ""), "t").count() == 0
+        if name != "encode":
+            assert out.columns == docs.columns
+            assert all(r[f"{x}"] == f"{x}{r.doc_id}" for r in out.collect() for x in extra)
+            docs = out
+    assert docs.count() > 0
+
+
+def test_nothing_to_learn_from(spark):
+    """Without a single labelled text the language stage keeps what has letters."""
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None), (4, "\u0431", None), (5, "", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.known_language(spark, docs, "").collect()} == {1, 4}
