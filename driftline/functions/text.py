@@ -19,9 +19,13 @@ def is_letter_spaced(line: Column) -> Column:
 
 
 def despace(line: Column) -> Column:
-    """A letter-spaced line with its letters joined; two spaces or more stand for one."""
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, " {2,}", "\u0001"), "(?<=\\S) (?=\\S)", ""), "\u0001", " ")
-    return F.when(is_letter_spaced(line), joined).otherwise(line)
+    """A letter-spaced line with its letters joined; two spaces or more stand for one.
+
+    An action word that ran into the ticker behind it is parted from it again.
+    """
+    joined = F.trim(F.replace(F.replace(F.regexp_replace(line, " {2,}", "\u0001"), F.lit(" "), F.lit("")), F.lit("\u0001"), F.lit(" ")))
+    parted = F.regexp_replace(joined, r"(?i)^(Addition|Removal|Deletion|Inclusion|Exclusion)([A-Z0-9]{1,6})\b", "$1 $2")
+    return F.when(is_letter_spaced(line), parted).otherwise(line)
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

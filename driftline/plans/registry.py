@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import more, panel, reports, study
+from driftline.plans import announcements, more, panel, reports, study
 
-_MODULES = [study, panel, more, reports]
+_MODULES = [study, panel, more, reports, announcements]
 
 
 def queries() -> dict:
