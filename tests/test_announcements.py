@@ -47,7 +47,7 @@ def test_dated(spark):
         ("1-asx200-removal.pdf", "Addition", "BIN", "removal-replacement", "2011-10-26", "2011-10-31"),
         ("1-asx200-removal.pdf", "Removal", "FGL", "removal", "2011-10-26", "2011-10-31"),
         ("3-asx200-demerger.pdf", "Addition", "AB", "demerger", "2011-05-03", "None"),
-        ("None", "Addition", "Q", "None", "2011-05-03", "None"),
+        ("None", "Addition", "Q", None, "2011-05-03", "None"),
     ]
 
 
