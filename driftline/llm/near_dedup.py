@@ -5,7 +5,8 @@ several independent trees a representative walks from the root: at a node, the n
 minwise coordinate (and with the branching probability a second one), and the representative goes to the
 child named by its minwise token there.  Similar sets share paths.  Nodes still large after the first levels
 branch on; small nodes are compared exhaustively on the full shingle sets, each pair only in the first node
-that the two share.  Inside a node only pairs not yet connected are compared, so what leaves a node is a
+that the two share; nodes that are still large at the last level are indexed on prefixes of their sets, which
+loses no link.  Inside a node only pairs not yet connected are compared, so what leaves a node is a
 spanning set of its links, never all pairs.  Components of the links, joined over nodes, are exact but for
 pairs that no tree brings together.  All trees draw from the same coordinates, so their misses go together: over
 the binomial spread of a pair's agreement, one at the threshold of 0.85 (0.8) is missed with a chance of about
@@ -141,11 +142,37 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _partners(sets: list[np.ndarray], percent: int):
+    """For each set the others that may be linked with it, by an index on prefixes: a function from place to places.
+
+    With the tokens of every set in one order, rarest first, linked sets share one of the first
+    size - ceil(percent / 100 * size) + 1 tokens of each, so no link is lost.
+    """
+    tokens, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(tokens))
+    ranks = np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])
+    prefixes = [np.sort(r)[: len(r) - -(-percent * len(r) // 100) + 1] for r in ranks]
+    owners = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
+    entries = np.concatenate(prefixes)
+    by_token = np.argsort(entries, kind="stable")
+    owners, entries = owners[by_token], entries[by_token]
+
+    def of(i: int) -> np.ndarray:
+        met = np.zeros(len(sets), dtype=bool)
+        for x, y in zip(np.searchsorted(entries, prefixes[i], "left").tolist(), np.searchsorted(entries, prefixes[i], "right").tolist()):
+            met[owners[x:y]] = True
+        return np.nonzero(met)[0]
+
+    return of
+
+
 def _spanning_links(node, members: list[tuple], k: int, percent: int, first: int, second: int) -> list[tuple[int, int]]:
     """Links that connect the members of a node, found by comparing full sets of pairs that are not yet connected.
 
     members: (id, block, text, size, signature, nodes).  Diagonal groups compare all their pairs, others those
-    across blocks.  Only pairs whose sizes rule a link out are passed over.
+    across blocks.  Only pairs whose sizes rule a link out are passed over, and in a node that stayed large also
+    those that the index on prefixes rules out.
     """
     n = len(members)
     signatures = np.array([m[4] for m in members], dtype=np.int32)
@@ -155,6 +182,10 @@ def _spanning_links(node, members: list[tuple], k: int, percent: int, first: int
     blocks, sizes = np.array([m[1] for m in members]), np.array([m[3] for m in members], dtype=np.int64)
     shared = [frozenset(x for x in m[5] if x < node) for m in members]
     sets: list[np.ndarray | None] = [None] * n
+    partners = None
+    if n > SMALL:
+        sets = [shingle_set(m[2], k) for m in members]
+        partners = _partners(sets, percent)
     group = np.arange(n)
     out = []
     for i in range(n):
@@ -162,6 +193,8 @@ def _spanning_links(node, members: list[tuple], k: int, percent: int, first: int
         rest = rest[(group[rest] != group[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         if first != second:
             rest = rest[blocks[rest] != blocks[i]]
+        if partners is not None and len(rest):
+            rest = np.intersect1d(rest, partners(i), assume_unique=True)
         for j in rest.tolist():
             if group[j] == group[i] or not shared[i].isdisjoint(shared[j]):
                 continue

@@ -79,6 +79,22 @@ def test_near_in_blocks_and_deeper_levels(spark, monkeypatch):
     assert got == brute.near(docs, 3, 85)
 
 
+def test_large_nodes_lose_no_link():
+    """The index on prefixes against all pairs: links found span the same components."""
+    rng = random.Random(12)
+    for percent in (80, 85, 100):
+        base = [f"w{i}" for i in range(120)]
+        texts = [" ".join(w if rng.random() > rng.choice([0.0, 0.01, 0.03, 0.2]) else f"x{rng.randrange(60)}" for w in base[rng.randrange(20) :]) for _ in range(180)]
+        sets = [nd.shingle_set(t, 3) for t in texts]
+        members = [(i, i % 2, t, len(s), nd.minwise(s).tolist(), [5]) for i, (t, s) in enumerate(zip(texts, sets))]
+        links = {(i, j) for i in range(180) for j in range(i) if nd._linked(sets[i], sets[j], percent)}
+        assert brute.components(range(180), nd._spanning_links(5, members, 3, percent, 0, 0)) == brute.components(range(180), links)
+        across = [(i, j) for i, j in links if (i - j) % 2]
+        assert brute.components(range(180), nd._spanning_links(5, members, 3, percent, 0, 1)) == brute.components(range(180), across)
+        of = nd._partners(sets, percent)
+        assert all(j in of(i) for i, j in links)
+
+
 def test_near_edges(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
