@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,13 @@ def wilcoxon_p(w: float, n: int, ties: float) -> float:
     return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread else float("nan")
 
 
+def robust_vote(p_wilcoxon: Column, p_sign: Column, p_placebo: Column, level: float = 0.05) -> Column:
+    """Two of the three tests below the level; where the placebo was run it must be one of them.  A null p is no vote."""
+    vote = lambda p: F.coalesce(p < level, F.lit(False)).cast("int")
+    enough = vote(p_wilcoxon) + vote(p_sign) + vote(p_placebo) >= 2
+    return enough & F.coalesce(p_placebo < level, F.lit(True))
+
+
 def _ranked(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     size = F.abs(x)
     rows = rows.where(F.col(x).isNotNull() & (F.col(x) != 0)).withColumn("_size", size)

@@ -43,6 +43,20 @@ def asof_forward(facts: DataFrame, quotes: DataFrame, keys: list[str], at: str,
     return found.select("_fact.*", keep("at", f"{quote_at}_found"), *[keep(c, c) for c in payload])
 
 
+def asof_lookup(facts: DataFrame, quotes: DataFrame, keys: list[str], at: str, quote_at: str, payload: list[str], forward: bool = False, tolerance_days: int | None = None, strict: bool = False) -> DataFrame:
+    """As-of join for facts that share keys and times: each distinct (keys, ``at``) is looked up once, then joined back by equality.
+
+    The sort of a key holds its quotes and at most one row a time, however many facts a hot key has; the join back
+    can be split by adaptive execution.  Null keys or times match nothing.
+    """
+    marks = facts.select(*keys, at).dropna().distinct()
+    if forward:
+        found = asof_forward(marks, quotes, keys, at, quote_at, payload, tolerance_days)
+    else:
+        found = asof_backward(marks, quotes, keys, at, quote_at, payload, strict)
+    return facts.join(found, [*keys, at], "left").select(*[facts[c] for c in facts.columns], f"{quote_at}_found", *payload)
+
+
 def asof_by_day(facts: DataFrame, quotes: DataFrame, at: str, quote_at: str, payload: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
     """As-of join without a key: each distinct ``at`` is looked up once, then joined back by equality.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.asof import asof_forward
+from driftline.operators.asof import asof_lookup
 
 #: Bars before and after the event bar, calendar days that the event bar may be late, and the windows of cumulation.
 BEFORE, AFTER, TOLERANCE = 5, 30, 7
+FACTS = ["event_id", "action", "off_cycle", "tier"]
 WINDOWS = {"m1_p1": (-1, 1), "p0_p1": (0, 1), "p2_p5": (2, 5), "p2_p10": (2, 10), "p0_p10": (0, 10), "p0_p20": (0, 20)}
 
 
@@ -21,28 +22,47 @@ def event_windows(events: DataFrame, panel: DataFrame, bench: DataFrame, before:
     """event_id, action, off_cycle, tier, off, ar (percent).
 
     The event bar is the first bar at or after the announcement, at most ``tolerance`` days later.  Bars are
-    found by an equi-join on (ticker, bar number), the window being spelled out, never by a range join.
+    found by an equi-join on (ticker, bar number), the window being spelled out, never by a range join, and once for
+    all events of a ticker that start at one bar.
     Returns are taken inside the window, so its first bar has none.
     """
+    starts, windows = _started(events, panel, bench, before, after, tolerance)
+    return starts.join(windows, ["ticker", "b0"]).select(*FACTS, "off", "ar")
+
+
+def event_cars(events: DataFrame, panel: DataFrame, bench: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+    """``cumulated`` of the windows of all events, each distinct (ticker, start bar) cumulated once: work follows the panel, not the events."""
+    starts, windows = _started(events, panel, bench)
+    return starts.join(cumulated(windows, spans, ["ticker", "b0"]), ["ticker", "b0"]).select(*FACTS, *spans)
+
+
+def _started(events: DataFrame, panel: DataFrame, bench: DataFrame, before: int = BEFORE, after: int = AFTER, tolerance: int = TOLERANCE):
+    """(events with ticker and b0, windows of the distinct starts: ticker, b0, off, ar)."""
     bars = numbered_bars(panel.select("ticker", "date", "adjusted_close")).join(bench, "date", "left")
-    started = asof_forward(events.select("event_id", "ticker", "action", "off_cycle", "tier", "ann"), bars.select("ticker", "date", "bar_no"), ["ticker"], "ann", "date", ["bar_no"], tolerance)
-    spelled = started.where("bar_no is not null").select(
-        "event_id", "ticker", "action", "off_cycle", "tier", F.col("bar_no").alias("b0"),
-        F.explode(F.sequence(F.greatest(F.lit(2), F.col("bar_no") - before), F.col("bar_no") + after)).alias("bar_no"),
-    )
+    found = asof_lookup(events.select(*FACTS, "ticker", "ann"), bars.select("ticker", "date", "bar_no"), ["ticker"], "ann", "date", ["bar_no"], forward=True, tolerance_days=tolerance)
+    starts = found.where("bar_no is not null").select(*FACTS, "ticker", F.col("bar_no").alias("b0"))
+    spelled = starts.select("ticker", "b0").distinct().select("ticker", "b0", F.explode(F.sequence(F.greatest(F.lit(2), F.col("b0") - before), F.col("b0") + after)).alias("bar_no"))
     inside = spelled.join(bars, ["ticker", "bar_no"]).withColumn("off", F.col("bar_no") - F.col("b0"))
-    by = Window.partitionBy("event_id").orderBy("off")
+    by = Window.partitionBy("ticker", "b0").orderBy("off")
+    change = lambda c: F.try_divide(F.col(c), F.lag(c).over(by)) - 1
+    return starts, inside.select("ticker", "b0", "off", (100 * (change("adjusted_close") - change("bench"))).alias("ar"))
+
+
+def abnormal_returns(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """ticker, bar_no (from 0), ar (percent; null where either return is missing): over whole series, the benchmark on the ticker's dates."""
+    bars = numbered_bars(panel.select("ticker", "date", "adjusted_close")).join(bench, "date", "left")
+    by = Window.partitionBy("ticker").orderBy("bar_no")
     change = lambda c: F.try_divide(F.col(c), F.lag(c).over(by)) - 1
-    return inside.select("event_id", "action", "off_cycle", "tier", "off", (100 * (change("adjusted_close") - change("bench"))).alias("ar"))
+    return bars.select("ticker", (F.col("bar_no") - 1).alias("bar_no"), (100 * (change("adjusted_close") - change("bench"))).alias("ar"))
 
 
-def cumulated(windows: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
-    """Per event: a column per span with the sum of abnormal returns; null where under 60 percent of its bars have one."""
+def cumulated(windows: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS, by: list[str] = FACTS) -> DataFrame:
+    """Per event (or ``by``): a column per span with the sum of abnormal returns; null where under 60 percent of its bars have one."""
     cols = []
     for name, (a, b) in spans.items():
         inside = F.when(F.col("off").between(a, b), F.col("ar"))
         cols.append(F.when(F.count(inside) >= max(1, int(0.6 * (b - a + 1))), F.sum(inside)).alias(name))
-    return windows.groupBy("event_id", "action", "off_cycle", "tier").agg(*cols)
+    return windows.groupBy(*by).agg(*cols)
 
 
 def car_summary(cars: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:

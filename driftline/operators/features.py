@@ -28,6 +28,13 @@ def with_market_cap(panel: DataFrame, shares: DataFrame, factors: DataFrame) ->
     return floated.withColumn("market_cap", F.col("close") * F.col("shares")).withColumn("float_cap", F.col("market_cap") * F.col("iwf"))
 
 
+def passive_flow(events: DataFrame, money: dict[str, float], index_col: str = "index") -> DataFrame:
+    """events (weight, prior) + money (that follows the index, null for others), weight_change and flow; a null weight is 0."""
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in money.items() for x in pair]), F.col(index_col))
+    change = F.coalesce("weight", F.lit(0.0)) - F.coalesce("prior", F.lit(0.0))
+    return events.withColumns({"money": known, "weight_change": change, "flow": change * known})
+
+
 def returns(panel: DataFrame, price: str = "adjusted_close", key: str = "ticker") -> DataFrame:
     """panel + ret: simple return on the previous known price of the key."""
     known = F.last(price, ignorenulls=True).over(Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow))

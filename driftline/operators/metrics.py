@@ -35,6 +35,15 @@ def performance(series: DataFrame, key: str = "ticker", risk_free: float = 0.025
     )
 
 
+def comparison(series: DataFrame, window_of: str, key: str = "series") -> DataFrame:
+    """Metrics of several series, + total_return, over the known returns from the first to the last day of the series ``window_of``."""
+    known = series.where("ret is not null")
+    span = known.where(F.col(key) == window_of).agg(F.min("date").alias("a"), F.max("date").alias("z"))  # one row
+    inside = known.join(F.broadcast(span), F.col("date").between(F.col("a"), F.col("z"))).select(key, "date", "ret")
+    total = inside.groupBy(key).agg((F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("total_return"))
+    return performance(inside, key).join(total, key)
+
+
 def against_benchmark(series: DataFrame, bench: DataFrame, key: str = "ticker") -> DataFrame:
     """beta, alpha, tracking_error, information_ratio on the days that both have.  bench: date, bench_ret."""
     both = series.join(bench, "date").where("ret is not null and bench_ret is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.calendar import bday_add, weekdays_between
 from driftline.functions.costs import borrow_cost, study_cost_bps, trade_cost
-from driftline.operators.asof import asof_backward, asof_forward
+from driftline.operators.asof import asof_lookup
 
 
 def signals(events: DataFrame, variant: str = "announcement", exit_offset: int = 0) -> DataFrame:
@@ -71,6 +71,17 @@ def backtest(positions: DataFrame, rets: DataFrame, capital: float = 1_000_000.0
 LATE_DAYS, LEAST_VALUE, HISTORY_DAYS = 10, 250_000.0, 3
 
 
+def with_turnover(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """trades + turnover: median value traded from entry to exit.
+
+    Once per distinct holding, of which there are no more than tickers and dates allow, whatever the number of trades.
+    """
+    held = trades.where(F.datediff("exit_date", "entry_date") > 0).select("ticker", "entry_date", "exit_date").distinct()
+    days = held.select("*", F.explode(F.sequence("entry_date", "exit_date")).alias("date"))
+    turnover = days.join(bars.select("ticker", "date", "value"), ["ticker", "date"]).groupBy("ticker", "entry_date", "exit_date").agg(F.median("value").alias("turnover"))
+    return trades.join(turnover, ["ticker", "entry_date", "exit_date"], "left")
+
+
 def trade_ledger(events: DataFrame, panel: DataFrame, exits: tuple[int, ...] = (0, 5, 10), least_value: float = LEAST_VALUE) -> DataFrame:
     """A row per event and exit offset: entry and exit bars, hold_days, raw_ret, sided_ret (percent) and the reason it is (not) valid.
 
@@ -81,17 +92,14 @@ def trade_ledger(events: DataFrame, panel: DataFrame, exits: tuple[int, ...] = (
     bars = panel.select("ticker", "date", F.col("adjusted_close").alias("px"), F.col("volume").alias("vol"), (F.col("close") * F.col("volume")).alias("value"))
     first = bars.groupBy("ticker").agg(F.min("date").alias("first_bar"))
     wanted = events.select("event_id", "ticker", "action", "tier", "ann", "eff", bday_add(F.col("ann"), 1).alias("want_in"))
-    entered = asof_forward(wanted, bars, ["ticker"], "want_in", "date", ["px", "vol"], LATE_DAYS)
+    entered = asof_lookup(wanted, bars, ["ticker"], "want_in", "date", ["px", "vol"], forward=True, tolerance_days=LATE_DAYS)
     entered = entered.withColumnsRenamed({"date_found": "entry_date", "px": "entry_px", "vol": "entry_vol"})
     choices = F.array(*[F.struct(F.lit(n).alias("exit"), bday_add(F.col("eff"), n).alias("want_out")) for n in exits])
     spread = entered.withColumn("x", F.explode(choices)).select("*", "x.*").drop("x")
-    left = asof_forward(spread, bars, ["ticker"], "want_out", "date", ["px", "vol"], LATE_DAYS).withColumnsRenamed({"date_found": "exit_date", "px": "exit_px", "vol": "exit_vol"})
+    left = asof_lookup(spread, bars, ["ticker"], "want_out", "date", ["px", "vol"], forward=True, tolerance_days=LATE_DAYS).withColumnsRenamed({"date_found": "exit_date", "px": "exit_px", "vol": "exit_vol"})
     known = left.join(first, "ticker", "left")
     hold = F.datediff("exit_date", "entry_date")
-    # Once per distinct holding, of which there are no more than tickers and dates allow, whatever the number of events.
-    days = known.where(hold > 0).select("ticker", "entry_date", "exit_date").distinct().select("*", F.explode(F.sequence("entry_date", "exit_date")).alias("date"))
-    turnover = days.join(bars.select("ticker", "date", "value"), ["ticker", "date"]).groupBy("ticker", "entry_date", "exit_date").agg(F.median("value").alias("turnover"))
-    known = known.join(turnover, ["ticker", "entry_date", "exit_date"], "left")
+    known = with_turnover(known, bars)
     reason = (
         F.when(F.col("first_bar").isNull(), "no_price_file")
         .when(F.col("first_bar") > F.date_add("ann", HISTORY_DAYS), "no_history_at_event")
@@ -110,6 +118,39 @@ def trade_ledger(events: DataFrame, panel: DataFrame, exits: tuple[int, ...] = (
     )
 
 
+def entry_gate(events: DataFrame, panel: DataFrame, least_value: float = LEAST_VALUE) -> DataFrame:
+    """events + entry_date and reason by the later, simpler gate: the exit bar is the first from the effective date itself.
+
+    Prices are not tested, and the exit needs no volume.  Reasons in order: no_price_file, no_history_at_event,
+    entry_gap, exit_gap, zero_or_negative_hold, illiquid_or_stale, zero_volume_endpoint, ok.
+    """
+    bars = panel.select("ticker", "date", F.col("volume").alias("vol"), (F.col("close") * F.col("volume")).alias("value"))
+    first = bars.groupBy("ticker").agg(F.min("date").alias("first_bar"))
+    entered = asof_lookup(events.withColumn("want_in", bday_add(F.col("ann"), 1)), bars, ["ticker"], "want_in", "date", ["vol"], forward=True, tolerance_days=LATE_DAYS).withColumnRenamed("date_found", "entry_date")
+    left = asof_lookup(entered, bars, ["ticker"], "eff", "date", [], forward=True, tolerance_days=LATE_DAYS).withColumnRenamed("date_found", "exit_date")
+    known = with_turnover(left.join(first, "ticker", "left"), bars)
+    reason = (
+        F.when(F.col("first_bar").isNull(), "no_price_file")
+        .when(F.col("first_bar") > F.date_add("ann", HISTORY_DAYS), "no_history_at_event")
+        .when(F.col("entry_date").isNull(), "entry_gap")
+        .when(F.col("exit_date").isNull(), "exit_gap")
+        .when(F.datediff("exit_date", "entry_date") <= 0, "zero_or_negative_hold")
+        .when(F.coalesce("turnover", F.lit(0.0)) < least_value, "illiquid_or_stale")
+        .when(F.col("vol") <= 0, "zero_volume_endpoint")
+        .otherwise("ok")
+    )
+    return known.select(*events.columns, "entry_date", reason.alias("reason"))
+
+
+def forecast_from_labels(events: DataFrame, tiers: list[str]) -> DataFrame:
+    """Labels of the given tiers as if they had been forecast: constant score, flow, volatility and conviction."""
+    # Fixed values of the study: score, flow and volatility of every row.
+    return events.where(F.col("tier").isin(tiers)).select(
+        "event_id", "ticker", "tier", F.col("action").alias("predicted_action"), F.lit(0.8).alias("hybrid"), F.lit(0.6).alias("flow_to_adv"), F.lit("high").alias("bucket"),
+        "ann", "eff", F.trunc("ann", "MM").alias("rebalance_month"), F.lit(0.3).alias("volatility"), F.lit("none").alias("quality"),
+    )
+
+
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """tier (or ALL), exit, action: n, mean, median, std and win rate of valid trades, by grouping sets."""
     ok = ledger.where("reason = 'ok'")
@@ -141,7 +182,7 @@ def advs_at_entry(ledger: DataFrame, panel: DataFrame, bars: int = 20) -> DataFr
     """ledger + adv: mean value traded of the last ``bars`` bars up to the entry."""
     frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(bars - 1), Window.currentRow)
     adv = panel.select("ticker", "date", F.avg(F.col("close") * F.col("volume")).over(frame).alias("adv"))
-    return asof_backward(ledger, adv, ["ticker"], "entry_date", "date", ["adv"]).drop("date_found")
+    return asof_lookup(ledger, adv, ["ticker"], "entry_date", "date", ["adv"]).drop("date_found")
 
 
 def net_of_friction(trades: DataFrame, panel: DataFrame, clips: tuple[int, ...]) -> DataFrame:
@@ -153,7 +194,7 @@ def net_of_friction(trades: DataFrame, panel: DataFrame, clips: tuple[int, ...])
 
     frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-59, Window.currentRow)
     vols = returns(panel).where("ret is not null").select("ticker", "date", F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s"))
-    at = asof_backward(advs_at_entry(trades, panel), vols, ["ticker"], "entry_date", "date", ["c", "s"])
+    at = asof_lookup(advs_at_entry(trades, panel), vols, ["ticker"], "entry_date", "date", ["c", "s"])
     known = at.withColumn("vol", F.when((F.col("c") >= 20) & (F.col("s") > 0), F.col("s")).otherwise(F.lit(0.03))).drop("c", "s", "date_found")
     cost = lambda clip: study_cost_bps(F.col("vol"), F.col("adv"), float(clip), F.col("hold_days"), F.col("action") == "Removal")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("clip"), (F.col("sided_ret") - cost(c) / 100).alias("net")) for c in clips])).alias("_c")

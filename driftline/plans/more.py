@@ -9,7 +9,7 @@ from driftline.functions import text as TX
 from driftline.operators import features as X
 from driftline.operators import models as ML
 from driftline.operators import resampling as RS
-from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
+from driftline.operators.asof import asof_backward, asof_by_day, asof_lookup
 from driftline.plans.panel import A0, CAPS, RET, asof_date, bday_sql, feature_table, rounded
 from driftline.plans.study import LEDGER, PNL, WIN, ledger, scored, sized, windows
 from driftline.sources import adapters as A
@@ -130,7 +130,7 @@ def r14(spark, d):
   SELECT action, count(*) AS n, round(avg(gain), 4) AS mean_gain, round(avg(gain) / (stddev_samp(gain) / sqrt(count(*))), 4) AS t FROM x GROUP BY 1""", "px", "ev"))
 def r15(spark, d):
     bars = A.prices(spark, d).select("ticker", "date", "open", "close", "adjusted_close")
-    at = asof_forward(A.events(spark, d).select("event_id", "action", "ticker", "ann"), bars, ["ticker"], "ann", "date", ["open", "close", "adjusted_close"], 7).where("open > 0")
+    at = asof_lookup(A.events(spark, d).select("event_id", "action", "ticker", "ann"), bars, ["ticker"], "ann", "date", ["open", "close", "adjusted_close"], forward=True, tolerance_days=7).where("open > 0")
     gain = at.select("action", (100 * (F.col("adjusted_close") / (F.col("open") * F.col("adjusted_close") / F.col("close")) - 1)).alias("gain"))
     return rounded(gain.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.avg("gain").alias("mean_gain"), (F.avg("gain") / (F.stddev_samp("gain") / F.sqrt(F.count(F.lit(1))))).alias("t")))
 
@@ -178,7 +178,7 @@ def g43(spark, d):
 def w08(spark, d):
     frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-59, Window.currentRow)
     r = X.returns(A.prices(spark, d)).where("ret is not null").select("ticker", "date", F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s"))
-    at = asof_backward(A.events(spark, d).select("event_id", "ticker", "ann"), r, ["ticker"], "ann", "date", ["c", "s"])
+    at = asof_lookup(A.events(spark, d).select("event_id", "ticker", "ann"), r, ["ticker"], "ann", "date", ["c", "s"])
     return rounded(at.select("event_id", F.when((F.col("c") >= 20) & (F.col("s") > 0), F.col("s")).otherwise(F.lit(0.03)).alias("vol")), 6)
 
 

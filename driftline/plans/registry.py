@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import announcements, more, panel, reports, study
+from driftline.plans import announcements, more, panel, reports, study, tables
 
-_MODULES = [study, panel, more, reports, announcements]
+_MODULES = [study, panel, more, reports, announcements, tables]
 
 
 def queries() -> dict:

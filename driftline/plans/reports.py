@@ -11,7 +11,7 @@ from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import rules as R
 from driftline.operators import trading as B
-from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
+from driftline.operators.asof import asof_backward, asof_by_day, asof_lookup
 from driftline.plans.panel import RET, rounded
 from driftline.plans.study import DECIDED, LEDGER, PNL, RULES_IN, WIN, decided, ledger, sized
 from driftline.sources import adapters as A
@@ -128,8 +128,8 @@ def f08(spark, d):
   FROM ev e ASOF LEFT JOIN px i ON e.ticker = i.ticker AND e.ann <= i.date ASOF LEFT JOIN px o ON e.ticker = o.ticker AND e.eff <= o.date""", "px", "ev"))
 def r11(spark, d):
     bars = A.prices(spark, d).select("ticker", "date", F.col("adjusted_close").alias("px"))
-    i = asof_forward(A.events(spark, d), bars, ["ticker"], "ann", "date", ["px"]).withColumnsRenamed({"px": "p0", "date_found": "entry_date"})
-    o = asof_forward(i, bars, ["ticker"], "eff", "date", ["px"]).withColumnRenamed("date_found", "exit_date")
+    i = asof_lookup(A.events(spark, d), bars, ["ticker"], "ann", "date", ["px"], forward=True).withColumnsRenamed({"px": "p0", "date_found": "entry_date"})
+    o = asof_lookup(i, bars, ["ticker"], "eff", "date", ["px"], forward=True).withColumnRenamed("date_found", "exit_date")
     note = F.when(F.col("entry_date").isNull(), "no entry price").when(F.col("exit_date").isNull(), "no exit price").otherwise("")
     return rounded(o.select("event_id", "entry_date", "exit_date", (100 * (F.col("px") / F.col("p0") - 1)).alias("raw_ret"), note.alias("note")))
 
@@ -158,7 +158,7 @@ def h01(spark, d):
 @query("j28_value_asof", sql(""" SELECT event_id, round(p.close * p.volume, 4) AS value FROM ev e ASOF LEFT JOIN px p ON e.ticker = p.ticker AND e.ann >= p.date""", "px", "ev"))
 def j28(spark, d):
     bars = A.prices(spark, d).select("ticker", "date", (F.col("close") * F.col("volume")).alias("value"))
-    return rounded(asof_backward(A.events(spark, d).select("event_id", "ticker", "ann"), bars, ["ticker"], "ann", "date", ["value"]).select("event_id", "value"))
+    return rounded(asof_lookup(A.events(spark, d).select("event_id", "ticker", "ann"), bars, ["ticker"], "ann", "date", ["value"]).select("event_id", "value"))
 
 
 @query("r21_training_panel", sql(""", q AS (SELECT ticker, CAST(CAST(date_trunc('quarter', date) AS DATE) + INTERVAL 3 MONTH AS DATE) AS quarter, sum(volume) AS volume, count(*) AS bars, arg_max(close, date) / arg_min(close, date) - 1 AS ret FROM px GROUP BY 1, 2),

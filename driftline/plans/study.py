@@ -13,7 +13,7 @@ from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import rules as R
 from driftline.operators import trading as B
-from driftline.operators.asof import asof_backward, asof_by_day, asof_forward
+from driftline.operators.asof import asof_by_day, asof_lookup
 from driftline.plans.panel import RET, bday_sql, rounded
 from driftline.sources import adapters as A
 from driftline.sources.adapters import sql
@@ -35,6 +35,10 @@ def windows(spark, d):
     return V.event_windows(A.events(spark, d), A.prices(spark, d), A.benchmark(spark, d))
 
 
+def cars(spark, d):
+    return V.event_cars(A.events(spark, d), A.prices(spark, d), A.benchmark(spark, d))
+
+
 NUMBERED = "bars AS (SELECT ticker, date, adjusted_close, bench, row_number() OVER (PARTITION BY ticker ORDER BY date) AS bar_no FROM px LEFT JOIN bench USING (date))"
 WIN = f"""{NUMBERED}, t0 AS (SELECT e.*, b.bar_no AS b0, b.date AS d0 FROM ev e ASOF JOIN bars b ON e.ticker = b.ticker AND e.ann <= b.date WHERE b.date - e.ann <= 7),
   win AS (SELECT event_id, action, off_cycle, tier, b.bar_no - b0 AS off, 100 * ((adjusted_close / lag(adjusted_close) OVER w - 1) - (bench / lag(bench) OVER w - 1)) AS ar
@@ -47,18 +51,18 @@ VIEWS = ("px", "bench", "ev")
   SELECT action, off_cycle, span, count(*) AS n, round(avg(car), 4) AS mean, round(median(car), 4) AS median, round(CASE WHEN stddev_samp(car) > 0 THEN avg(car) / (stddev_samp(car) / sqrt(count(*))) END, 4) AS t,
   round(avg(CASE WHEN (action = 'Addition' AND car > 0) OR (action <> 'Addition' AND car < 0) THEN 1 ELSE 0 END), 4) AS expected_share FROM l WHERE car IS NOT NULL GROUP BY 1, 2, 3""", *VIEWS))
 def r17(spark, d):
-    return rounded(V.car_summary(V.cumulated(windows(spark, d))))
+    return rounded(V.car_summary(cars(spark, d)))
 
 
 @query("j24_event_bar", sql(""" SELECT event_id, b.date AS bar_date FROM ev e ASOF LEFT JOIN px b ON e.ticker = b.ticker AND e.ann <= b.date WHERE b.date IS NULL OR b.date - e.ann <= 7
   UNION ALL SELECT event_id, NULL FROM ev e ASOF JOIN px b ON e.ticker = b.ticker AND e.ann <= b.date WHERE b.date - e.ann > 7""", "px", "ev"))
 def j24(spark, d):
-    return asof_forward(A.events(spark, d), A.prices(spark, d).select("ticker", "date"), ["ticker"], "ann", "date", [], 7).select("event_id", F.col("date_found").alias("bar_date"))
+    return asof_lookup(A.events(spark, d), A.prices(spark, d).select("ticker", "date"), ["ticker"], "ann", "date", [], forward=True, tolerance_days=7).select("event_id", F.col("date_found").alias("bar_date"))
 
 
 @query("j22_asof_forward", sql(""" SELECT event_id, b.date AS bar_date, b.close AS close FROM ev e ASOF LEFT JOIN px b ON e.ticker = b.ticker AND e.eff <= b.date""", "px", "ev"))
 def j22(spark, d):
-    return asof_forward(A.events(spark, d), A.prices(spark, d).select("ticker", "date", "close"), ["ticker"], "eff", "date", ["close"]).select("event_id", F.col("date_found").alias("bar_date"), "close")
+    return asof_lookup(A.events(spark, d), A.prices(spark, d).select("ticker", "date", "close"), ["ticker"], "eff", "date", ["close"], forward=True).select("event_id", F.col("date_found").alias("bar_date"), "close")
 
 
 @query("j25_event_window", sql(f""", {WIN} SELECT event_id, off, round(ar, 4) AS ar FROM win""", *VIEWS))
@@ -68,7 +72,7 @@ def j25(spark, d):
 
 @query("g33_car", sql(f""", {WIN}, {CARS} SELECT event_id, action, off_cycle, tier, {', '.join(f'round({n}, 4) AS {n}' for n in V.WINDOWS)} FROM cars""", *VIEWS))
 def g33(spark, d):
-    return rounded(V.cumulated(windows(spark, d)))
+    return rounded(cars(spark, d))
 
 
 @query("g34_car_path", sql(f""", {WIN}, m AS (SELECT action, off, avg(ar) AS mean_ar FROM win GROUP BY 1, 2) SELECT action, off, round(mean_ar, 4) AS mean_ar, round(sum(mean_ar) OVER (PARTITION BY action ORDER BY off), 4) AS car FROM m""", *VIEWS))
@@ -80,7 +84,7 @@ def g34(spark, d):
 def j27(spark, d):
     ev = A.events(spark, d)
     last = ev.groupBy("ticker", F.col("ann").alias("at")).agg(F.max_by("action", "event_id").alias("was"))
-    return asof_backward(ev, last, ["ticker"], "ann", "at", ["was"], strict=True).select("event_id", F.coalesce(F.col("was") == "Addition", F.lit(False)).alias("member"))
+    return asof_lookup(ev, last, ["ticker"], "ann", "at", ["was"], strict=True).select("event_id", F.coalesce(F.col("was") == "Addition", F.lit(False)).alias("member"))
 
 
 @query("j30_interval_compound", sql(""", b AS (SELECT date, bench, row_number() OVER (ORDER BY date) AS n FROM bench) SELECT event_id, round(z.bench / a.bench - 1, 6) AS bench_ret FROM ev e ASOF LEFT JOIN b a ON e.ann >= a.date ASOF LEFT JOIN b z ON e.eff >= z.date""", "bench", "ev"))
