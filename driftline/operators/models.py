@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.sources.files import new_folder
+
+
+#: Rounds of the boosted trees, in place of the study's 300 rounds of another library.
+BOOSTS = 100
+
 
 def filled(panel: DataFrame, features: list[str]) -> DataFrame:
     """Missing feature columns and null features are 0."""
@@ -17,10 +23,10 @@ def filled(panel: DataFrame, features: list[str]) -> DataFrame:
 
 
 def balanced(panel: DataFrame, label: str) -> DataFrame:
-    """+ weight: rows over twice the rows of the own class."""
-    counts = panel.groupBy(label).agg(F.count(F.lit(1)).alias("_own"))
-    total = panel.agg(F.count(F.lit(1)).alias("_all"))
-    return panel.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (2.0 * F.col("_own"))).drop("_own", "_all")
+    """+ weight: rows over twice the rows of the own class; labels are 0 or 1."""
+    totals = panel.agg(F.count(label).alias("_all"), F.count_if(F.col(label) == 1).alias("_ones"))  # one row
+    own = F.when(F.col(label) == 1, F.col("_ones")).otherwise(F.col("_all") - F.col("_ones"))
+    return panel.crossJoin(F.broadcast(totals)).withColumn("weight", F.col("_all") / (2.0 * own)).drop("_all", "_ones")
 
 
 def pipeline(features: list[str], label: str, kind: str = "logistic") -> Pipeline:
@@ -29,7 +35,9 @@ def pipeline(features: list[str], label: str, kind: str = "logistic") -> Pipelin
     if kind == "logistic":
         model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=50)
     elif kind == "forest":
-        model = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=50, minInstancesPerNode=5, seed=7)
+        model = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=200, minInstancesPerNode=5, seed=7)
+    elif kind == "boosted":
+        model = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=BOOSTS, maxDepth=4, seed=7)
     else:
         raise ValueError(f"unknown classifier {kind}")
     return Pipeline(stages=[gather, scale, model])
@@ -44,7 +52,9 @@ def folds(panel: DataFrame, time: str, count: int = 5) -> DataFrame:
 
 def out_of_fold(panel: DataFrame, features: list[str], label: str, time: str, kind: str = "logistic", count: int = 5) -> DataFrame:
     """Every row after the first fold scored by a model of all earlier folds: + fold, score.  One-class pasts are passed over."""
-    data = folds(filled(panel, features), time, count).cache()
+    folder = new_folder(panel.sparkSession, "folds")  # read by every fold; a written table survives lost executors
+    folds(filled(panel, features), time, count).write.parquet(folder)
+    data = panel.sparkSession.read.parquet(folder)
     out = None
     for k in range(1, count + 1):
         past = data.where(F.col("fold") < k)
@@ -56,10 +66,43 @@ def out_of_fold(panel: DataFrame, features: list[str], label: str, time: str, ki
     return out if out is not None else data.where("false").withColumn("score", F.lit(None).cast("double"))
 
 
+def _curve(label: str) -> Pipeline:
+    columns = {"probabilityCol": "curve", "rawPredictionCol": "curve_raw", "predictionCol": "curve_class"}
+    return Pipeline(stages=[VectorAssembler(inputCols=["logit"], outputCol="logit_vector"), LogisticRegression(featuresCol="logit_vector", labelCol=label, **columns)])
+
+
 def calibrated(scored: DataFrame, label: str) -> DataFrame:
-    """+ calibrated: a logistic curve of the logit of ``score``, fitted on out-of-fold scores."""
+    """+ calibrated: a logistic curve of the logit of ``score``, fitted on the out-of-fold scores of earlier folds only.
+
+    Rows of the first scored fold, and of folds whose past has one class, have no calibrated score (null).
+    """
     clipped = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = scored.withColumn("logit", F.log(clipped / (1 - clipped)))
-    curve = Pipeline(stages=[VectorAssembler(inputCols=["logit"], outputCol="logit_vector"), LogisticRegression(featuresCol="logit_vector", labelCol=label, probabilityCol="curve", rawPredictionCol="curve_raw", predictionCol="curve_class")])
-    done = curve.fit(logit).transform(logit)
-    return done.withColumn("calibrated", vector_to_array("curve")[1]).drop("logit", "logit_vector", "curve", "curve_raw", "curve_class")
+    out = None
+    for k in sorted(r.fold for r in scored.select("fold").distinct().collect()):  # a handful of folds
+        past, own = logit.where(F.col("fold") < k), logit.where(F.col("fold") == k)
+        if past.select(label).distinct().limit(2).count() < 2:
+            done = own.withColumn("calibrated", F.lit(None).cast("double"))
+        else:
+            done = _curve(label).fit(past).transform(own).withColumn("calibrated", vector_to_array("curve")[1]).drop("logit_vector", "curve", "curve_raw", "curve_class")
+        out = done if out is None else out.unionByName(done)
+    return (out if out is not None else logit.withColumn("calibrated", F.lit(None).cast("double"))).drop("logit")
+
+
+def importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
+    """feature, importance, largest first: a tree model's importances, or the sizes of a linear model's coefficients.
+
+    A row a feature, so the list is as long as the model is wide.
+    """
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -305,12 +305,29 @@ def f29(spark, d):
     return RS.placebo_p(null, with_all(ok).groupBy(*by).agg(F.avg("sided_ret").alias("mean")), by)
 
 
-@query("m03_out_of_fold_scores")
-def m03(spark, d):
-    """Time-ordered out-of-fold scores of a calibrated classifier of order status from order and customer features (no SQL twin)."""
+MODEL_FEATURES = ["price", "balance", "nation", "absent"]
+
+
+def model_rows(spark, d):
     orders = A.read(spark, d, "orders").where("o_orderstatus is not null")
-    rows = orders.join(A.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+    return orders.join(A.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("id"), F.trunc("o_orderdate", "QUARTER").alias("quarter"), (F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"), (F.col("c_acctbal") / 1e4).alias("balance"), (F.col("c_nationkey") / 25).alias("nation")
     )
-    out = ML.calibrated(ML.out_of_fold(rows, ["price", "balance", "nation", "absent"], "y", "quarter"), "y")
+
+
+@query("m03_out_of_fold_scores")
+def m03(spark, d):
+    """Time-ordered out-of-fold scores of a calibrated classifier of order status from order and customer features (no SQL twin)."""
+    rows = model_rows(spark, d)
+    out = ML.calibrated(ML.out_of_fold(rows, MODEL_FEATURES, "y", "quarter"), "y")
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("calibrated").alias("mean_calibrated"), F.avg("y").alias("observed"))
+
+
+@query("m06_t07_importance", "SELECT 'logistic' AS kind, 'absent' AS feature, 0.0e0 AS weight UNION ALL SELECT 'forest', 'absent', 0.0e0 UNION ALL SELECT 'boosted', 'absent', 0.0e0")
+def m06(spark, d):
+    """Importances of three classifiers; of the features that all rows lack, whose importance SQL knows to be nothing."""
+    rows, out = ML.balanced(ML.filled(model_rows(spark, d), MODEL_FEATURES), "y"), None
+    for kind in ("logistic", "forest", "boosted"):
+        table = ML.importance(ML.pipeline(MODEL_FEATURES, "y", kind).fit(rows), MODEL_FEATURES, spark).select(F.lit(kind).alias("kind"), "feature", F.round("importance", 6).alias("weight"))
+        out = table if out is None else out.unionByName(table)
+    return out.where("feature = 'absent'")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.plans import announcements, more, panel, reports, study, tables
+from driftline.plans import announcements, more, panel, reports, stores, study, tables
 
-_MODULES = [study, panel, more, reports, announcements, tables]
+_MODULES = [study, panel, more, reports, announcements, tables, stores]
 
 
 def queries() -> dict:

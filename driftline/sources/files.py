@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,27 @@ SHARES_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField
 ACTIONS = ("Addition", "Removal", "Promotion", "Demotion")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is not set, a session in one process (``local[...]``, as in tests) gets a temporary one; a cluster is refused.
+    """
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
+    if found is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoints-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else writes to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names; globs count if anything matches."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,8 +95,12 @@ def prefer(first: DataFrame, second: DataFrame, key: str = "ticker") -> DataFram
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """JSON of date -> [{ticker, name, ...}] as rows (snapshot, ticker, name, sector)."""
+    return snapshot_rows(spark.read.option("wholetext", True).text(path))
+
+
+def snapshot_rows(text: DataFrame) -> DataFrame:
+    """(value: JSON of date -> [{ticker, name, ...}]) -> snapshot, ticker, name, sector; what is not JSON gives nothing."""
     kind = "map<string,array<struct<ticker:string,name:string,sector:string>>>"
-    text = spark.read.option("wholetext", True).text(path)
     return text.select(F.explode(F.from_json("value", kind)).alias("snapshot", "items")).select(F.to_date("snapshot").alias("snapshot"), F.explode("items").alias("i")).select("snapshot", "i.*")
 
 
@@ -80,9 +110,75 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
 
 
-def write_partitioned(panel: DataFrame, path: str, by: str = "ticker") -> None:
-    """A panel in folders by ``by``, each sorted by date; one shuffle, so that a folder is not written by every task."""
-    panel.repartition(by).sortWithinPartitions(by, "date").write.mode("overwrite").partitionBy(by).parquet(path)
+def write_partitioned(panel: DataFrame, path: str, by: str = "ticker", format: str = "parquet") -> None:
+    """A panel in folders by ``by``, a file a year and key, each sorted by date.
+
+    One shuffle, so that a folder is not written by every task; years part a hot key over several tasks.
+    """
+    dealt = panel.repartition(by, F.year("date")).sortWithinPartitions(by, "date")
+    dealt.write.mode("overwrite").partitionBy(by).option("header", True).format(format).save(path)
+
+
+def write_named_files(panel: DataFrame, folder: str, by: str = "ticker") -> None:
+    """One CSV file per key, named after it, as ``read_price_folder`` reads them; for panels whose keys fit a task each.
+
+    Spark writes the files; the driver only gives them their names.
+    """
+    spark, parts = panel.sparkSession, f"{folder}/_parts"
+    panel.repartition(by).sortWithinPartitions(by, "date").write.partitionBy(by).option("header", True).csv(parts)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(place(f"{parts}/{by}=*/*.csv")):
+        at = status.getPath()
+        fs.rename(at, place(f"{folder}/{at.getParent().getName().split('=', 1)[1]}.csv"))
+    fs.delete(place(parts), True)
+
+
+def read_prices(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A panel of CSV files in folders by ticker: the required columns of some tickers from ``start`` to ``end``, both included.
+
+    Only the folders of those tickers are listed and read.  A folder that is not there gives an empty panel.
+    """
+    full = T.StructType([*PRICE_SCHEMA, T.StructField("ticker", T.StringType())])
+    if not exists(spark, path):
+        return empty(spark, full)
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows if tickers is None else rows.where(F.col("ticker").isin(tickers))
+    return ensure_columns(rows, full).where(F.col("date").between(F.coalesce(F.lit(start).cast("date"), F.col("date")), F.coalesce(F.lit(end).cast("date"), F.col("date"))))
+
+
+def read_first_found(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The panel of the first folder that holds CSV files (reconciled before raw); an empty one if none does."""
+    found = [f for f in folders if exists(spark, f"{f}/*.csv")]
+    return read_price_folder(spark, (found or folders)[0])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+MASTER_SCHEMA = T.StructType(
+    [T.StructField(c, T.DateType() if c.endswith("date") else T.BooleanType() if c.endswith("flag") else T.StringType()) for c in ("canonical_ticker", "company_name", "sector", "first_seen_date", "active_flag", "notes")]
+)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Metrics or settings, a JSON object a row; nulls are written too."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_settings(spark: SparkSession, path: str, kind):
+    """A dataclass from a JSON object in a small file; values that the file lacks keep their defaults, others are refused."""
+    text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    given, known = json.loads(text), {f.name for f in fields(kind)}
+    if not set(given) <= known:
+        raise ValueError(f"unknown settings: {sorted(set(given) - known)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def with_provenance(series: DataFrame, name: str, source: str, note: str) -> DataFrame:
+    """A series + the name it goes by, where it is from and a note."""
+    return series.withColumns({"ticker": F.lit(name), "source": F.lit(source), "note": F.lit(note)})
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

@@ -4,15 +4,19 @@ import datetime
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions.stats import robust_vote
 from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import metrics as M
+from driftline.operators import models as ML
 from driftline.operators import resampling as RS
 from driftline.operators import trading as B
 from driftline.operators.asof import asof_backward, asof_forward, asof_lookup
+from driftline.operators.quality import Thresholds
+from driftline.sources import files as S
 
 D = datetime.date
 
@@ -84,3 +88,40 @@ def test_entry_gate(spark):
     ev = spark.createDataFrame([(1, "A", D(2020, 1, 6), D(2020, 1, 10)), (2, "B", D(2020, 1, 6), D(2020, 1, 10)), (3, "A", D(2019, 1, 6), D(2019, 1, 10)), (4, "A", D(2020, 3, 6), D(2020, 3, 10)), (5, "A", D(2020, 1, 20), D(2020, 1, 24)), (6, "A", D(2020, 1, 6), D(2020, 1, 7)), (7, "C", D(2020, 1, 6), D(2020, 1, 9)), (8, "A", D(2020, 2, 4), D(2020, 3, 10))], "event_id int, ticker string, ann date, eff date")
     got = {r.event_id: r.reason for r in B.entry_gate(ev, bars, 20_000.0).collect()}
     assert got == {1: "ok", 2: "no_price_file", 3: "no_history_at_event", 4: "entry_gap", 5: "zero_volume_endpoint", 6: "zero_or_negative_hold", 7: "illiquid_or_stale", 8: "exit_gap"}
+
+
+def test_calibration_sees_earlier_folds_only(spark):
+    rng = random.Random(2)
+    rows = [(i, i // 40, rng.random(), int(rng.random() < 0.4)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, fold int, score double, y int")
+    got = {r.id: r.calibrated for r in ML.calibrated(df, "y").collect()}
+    changed = df.withColumn("y", F.when(F.col("fold") == 5, 1 - F.col("y")).otherwise(F.col("y")))
+    assert {r.id: r.calibrated for r in ML.calibrated(changed, "y").collect()} == got  # the last fold's labels touch nothing
+    assert all((got[i] is None) == (fold == 0) for i, fold, _, _ in rows)
+    assert ML.calibrated(df.limit(0), "y").count() == 0
+
+
+def test_importance_and_folds(spark):
+    rng = random.Random(4)
+    rows = [(i, i // 30, float(i % 2) + rng.random() / 10, rng.random(), i % 2) for i in range(180)]
+    df = ML.balanced(ML.filled(spark.createDataFrame(rows, "id int, at int, good double, noise double, y int"), ["good", "noise"]), "y")
+    for kind in ("logistic", "boosted"):
+        table = ML.importance(ML.pipeline(["good", "noise"], "y", kind).fit(df), ["good", "noise"], spark).collect()
+        assert [r.feature for r in table] == ["good", "noise"] and table[0].importance > table[1].importance
+    scored = ML.out_of_fold(df.drop("weight"), ["good", "noise"], "y", "at", count=2)
+    assert scored.where("fold > 0").count() == scored.count() > 0 and scored.where("(score > 0.5) <> (y = 1)").count() == 0
+
+
+def test_stores(spark, tmp_path):
+    rows = spark.createDataFrame([("A", D(2020, 1, i), float(i)) for i in (1, 2, 3)] + [("B", D(2021, 5, 1), None)], "ticker string, date date, close double")
+    path = str(tmp_path / "p")
+    S.write_partitioned(rows, path, format="csv")
+    assert [(r.date, r.close) for r in S.read_prices(spark, path, ["A"], "2020-01-02").orderBy("date").collect()] == [(D(2020, 1, 2), 2.0), (D(2020, 1, 3), 3.0)]
+    assert S.read_prices(spark, path).count() == 4 and S.read_prices(spark, path + "-none").count() == 0
+    S.write_named_files(rows, str(tmp_path / "raw"))
+    assert {(r.ticker, r.source) for r in S.read_first_found(spark, [str(tmp_path / "none"), str(tmp_path / "raw")]).collect()} == {("A", "raw"), ("B", "raw")}
+    (tmp_path / "t.json").write_text('{"price": [1, 2, 3], "jump": 9.0}')
+    assert S.load_settings(spark, str(tmp_path / "t.json"), Thresholds) == Thresholds(price=(1, 2, 3), jump=9.0)
+    (tmp_path / "u.json").write_text('{"prise": 1}')
+    with pytest.raises(ValueError):
+        S.load_settings(spark, str(tmp_path / "u.json"), Thresholds)
