@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.sources.files import new_folder
+
 #: ASCII white space and its complement, as the query contracts define words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Where it is not set, a session in one process (``local[...]``, as in tests) gets a temporary one; a cluster is refused.
-    """
-    context = spark.sparkContext
-    found = context.getCheckpointDir()
-    if found is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoints-"))
-        found = context.getCheckpointDir()
-    return found
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,7 +24,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     columnar and compressed.  The folder belongs to the application and goes with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

@@ -139,6 +139,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 """
 
 
+#: Every string of 400 bytes is counted.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), n AS (
+  SELECT r, doc_id, b, octet_length(b) AS n FROM d
+), w AS (
+  SELECT r, i, md5(hex(b[i:i + 399])) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400)
+), t AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1
+), s AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM t
+), p AS (
+  SELECT r, span, min(i) AS a, max(i) + 400 AS z FROM s GROUP BY 1, 2
+), k AS (
+  SELECT r, list({'a': a, 'z': z} ORDER BY a) AS spans, sum(z - a) AS removed, count(*) AS spans_n FROM p GROUP BY 1
+), kept AS (
+  SELECT n.r, doc_id, n, coalesce(removed, 0) AS removed, coalesce(spans_n, 0) AS spans_n, hex(b) AS x, spans FROM n LEFT JOIN k USING (r)
+)
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans_n AS BIGINT) AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN unhex(x) ELSE unhex(x[1:2 * (spans[1].a - 1)] || array_to_string(list_transform(range(1, len(spans) + 1), lambda i: x[2 * spans[i].z - 1:CASE WHEN i < len(spans) THEN 2 * (spans[i + 1].a - 1) ELSE 2 * n END]), '')) END) AS kept_sha256
+FROM kept
+"""
+
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -182,4 +207,4 @@ FROM embeddings d JOIN c ON d.vec_id = c.vec_id LEFT JOIN k ON d.vec_id = k.vec_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_remove_repeats": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
