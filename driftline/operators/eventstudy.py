@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.asof import asof_lookup
+from driftline.operators.ranks import medians
 
 #: Bars before and after the event bar, calendar days that the event bar may be late, and the windows of cumulation.
 BEFORE, AFTER, TOLERANCE = 5, 30, 7
@@ -70,10 +71,12 @@ def car_summary(cars: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) ->
     stacked = cars.select("action", "off_cycle", F.explode(F.array(*[F.struct(F.lit(s).alias("span"), F.col(s).alias("car")) for s in spans])).alias("x")).select("action", "off_cycle", "x.*")
     deviation = F.stddev_samp("car")
     sign = F.when(F.col("action") == "Addition", F.col("car") > 0).otherwise(F.col("car") < 0)
-    return stacked.where("car is not null").groupBy("action", "off_cycle", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("car").alias("mean"), F.median("car").alias("median"),
+    known, by = stacked.where("car is not null"), ["action", "off_cycle", "span"]
+    facts = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("car").alias("mean"),
         F.when(deviation > 0, F.avg("car") / (deviation / F.sqrt(F.count(F.lit(1))))).alias("t"), F.avg(sign.cast("int")).alias("expected_share"),
     )
+    return facts.join(medians(known, by, "car"), by)
 
 
 def car_path(windows: DataFrame) -> DataFrame:
