@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
 A conversation becomes one or more windows of text.  Prefix sums of turn tokens choose spans that start and
-end at turns and fit the budget; every window begins with the conversation's system turn, then repeats as
+end at turns and fit the budget; every window after the conversation's first system turn begins with it, then repeats as
 much history as its allowance holds, then the new turns.  Only assistant turns that are new in a window are
 trained on: repeated ones are masked, so each assistant text is a target exactly once.
 
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,15 +87,12 @@ class _Windows:
                 spans.append((at + len(head), at + len(head) + len(inside)))
             parts.append(f"{head}{inside}{END}")
             at += len(parts[-1])
-        if self.system is None and self.new[0][0] == "system":
-            self.system = self.new[0]
-        # The longest turn-aligned run of latest turns within the history allowance, by prefix sums from the end.
-        turns, room = [t for t in self.past + self.new if t is not self.system], self.budget.history
-        keep = 0
-        while keep < len(turns) and turns[len(turns) - 1 - keep][2] <= room:
-            room -= turns[len(turns) - 1 - keep][2]
-            keep += 1
-        self.past = turns[len(turns) - keep :] if keep else []
+        if self.system is None:
+            self.system = next((t for t in self.new if t[0] == "system"), None)
+        # The longest turn-aligned run of latest turns within the history allowance: the first prefix sum that is near enough to the last.
+        turns = [t for t in self.past + self.new if t is not self.system]
+        sums = list(accumulate((t[2] for t in turns), initial=0))
+        self.past = turns[bisect_left(sums, sums[-1] - self.budget.history) :]
         self.new, self.sums = [], [0]
         return len(repeated), "".join(parts), spans
 

@@ -47,3 +47,22 @@ def test_windows_read_back(spark):
     for r in windows.where("window > 0 and conv_id in (1, 3, 5, 7)").collect():
         assert read_back(r.text)[0][:2] == read_back(first[r.conv_id])[0][:2]
     assert digest_windows(format_chats(df.limit(0))).count() == 0
+
+
+def test_late_system_turn_and_history(spark):
+    """A system turn that is not first is retained from there on; history is the longest run of latest turns that fits."""
+    words = lambda n: " ".join(["w"] * n)
+    turns = [(1, 0, "user", words(10)), (1, 1, "system", "be brief"), (1, 2, "assistant", words(20))] + [(1, t, "user" if t % 2 else "assistant", f"{t} {words(t % 5)}") for t in range(3, 400)]
+    windows = format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), Budget(window=60, history=20)).orderBy("window").collect()
+    assert len(windows) > 30
+    told = [[t[:2] for t in read_back(w.text)] for w in windows]
+    at = 0
+    for w, said in zip(windows, told):
+        new = said[w.repeated :]
+        assert new == [(r, x) for _, _, r, x in turns[at : at + len(new)]]
+        if at > 2:
+            past = [(r, x) for _, _, r, x in turns[:at] if r != "system"]
+            keep = next(k for k in range(len(past) + 1) if sum(len(x.split()) + 3 for _, x in past[k:]) <= 20)
+            assert said[: w.repeated] == [("system", "be brief"), *past[keep:]]
+        at += len(new)
+    assert at == len(turns)
