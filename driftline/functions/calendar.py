@@ -39,6 +39,21 @@ def nth_weekday(month: Column, name: str, n: int) -> Column:
     return F.date_add(F.next_day(F.date_sub(F.trunc(month, "MM"), 1), name), 7 * (n - 1))
 
 
+def rebalance_months(frequency: str) -> tuple[int, ...]:
+    """Months of the calendar: all of MONTHS, its first and third, or its second."""
+    known = {"quarterly": MONTHS, "semi-annual": (MONTHS[0], MONTHS[2]), "annual": (MONTHS[1],)}
+    if frequency not in known:
+        raise ValueError(f"unknown rebalance frequency {frequency}")
+    return known[frequency]
+
+
+def index_windows(spark: SparkSession, index: str, frequencies: dict[str, str], start: str, end: str) -> DataFrame:
+    """``rebalance_calendar`` of one of the indices that ``frequencies`` names; others are refused."""
+    if index not in frequencies:
+        raise ValueError(f"{index} is not one of {sorted(frequencies)}")
+    return rebalance_calendar(spark, start, end, rebalance_months(frequencies[index]))
+
+
 def rebalance_calendar(spark: SparkSession, start: str, end: str, months: tuple[int, ...] = MONTHS) -> DataFrame:
     """month, announcement, effective, reference for every rebalance month whose effective date is in [start, end]."""
     bounds = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))

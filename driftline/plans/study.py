@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from driftline.functions import stats as S
 from driftline.functions import text as T
-from driftline.functions.calendar import bday_add
 from driftline.operators import events as E
 from driftline.operators import eventstudy as V
 from driftline.operators import features as X

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.calendar import bday_add
+from driftline.functions.calendar import index_windows
 from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import metrics as M
@@ -15,7 +15,7 @@ from driftline.operators import trading as B
 from driftline.functions import stats as S
 from driftline.operators.asof import latest_per_key
 from driftline.plans import panel as P
-from driftline.plans.more import N_BOOT, N_PLACEBO, LEAST_TRADES, LEAST_BOOKS, with_all
+from driftline.plans.more import LEAST_BOOKS, LEAST_TRADES, N_BOOT, f29, with_all
 from driftline.plans.panel import A0, CAPS, RET, SMALL, asof_date, bday_sql, feature_table, rounded
 from driftline.plans.study import LEDGER, ledger
 from driftline.sources import adapters as A
@@ -274,7 +274,20 @@ def r27(spark, d):
     ok = with_all(ledger(spark, d).where("reason = 'ok'").select(*by, "event_id", "sided_ret"))
     tests = S.significance(ok, by, "sided_ret").where(F.col("n") >= LEAST_TRADES)
     interval = RS.bootstrap_interval(RS.blocked_bootstrap_means(ok, by, "sided_ret", "event_id", N_BOOT, LEAST_TRADES), by)
-    from driftline.plans.more import f29
-
     whole = tests.join(interval, by, "left").join(f29(spark, d).select(*by, F.col("p").alias("p_placebo")), by, "left")
     return whole.withColumn("robust", S.robust_vote(F.col("wilcoxon_p"), F.col("sign_p"), F.col("p_placebo"))).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+#: Frequencies of the calendar query, by name.
+FREQUENCIES = {"T200": "quarterly", "T300": "semi-annual", "ALL": "annual"}
+
+
+@query("f06_r06_index_windows", """WITH m AS (SELECT CAST(x AS DATE) AS month FROM generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) AS g(x) WHERE month(x) IN (3, 6, 9, 12)),
+  f AS (SELECT month, month + CAST((5 - isodow(month) + 7) % 7 AS INTEGER) AS ff FROM m), i(index, months) AS (VALUES ('T200', [3, 6, 9, 12]), ('T300', [3, 9]), ('ALL', [6]))
+  SELECT index, month, ff AS announcement, ff + 14 AS effective FROM f, i WHERE list_contains(months, month(month)) AND ff + 14 <= DATE '1998-12-31'""")
+def f06(spark, d):
+    out = None
+    for index in FREQUENCIES:
+        rows = index_windows(spark, index, FREQUENCIES, "1992-01-01", "1998-12-31").select(F.lit(index).alias("index"), "month", "announcement", "effective")
+        out = rows if out is None else out.unionByName(rows)
+    return out

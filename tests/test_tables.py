@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions.calendar import index_windows, rebalance_months
 from driftline.functions.stats import robust_vote
 from driftline.operators import eventstudy as V
 from driftline.operators import features as X
@@ -125,3 +126,11 @@ def test_stores(spark, tmp_path):
     (tmp_path / "u.json").write_text('{"prise": 1}')
     with pytest.raises(ValueError):
         S.load_settings(spark, str(tmp_path / "u.json"), Thresholds)
+
+
+def test_calendar_guards(spark):
+    with pytest.raises(ValueError):
+        index_windows(spark, "T20", {"T200": "quarterly"}, "2020-01-01", "2020-12-31")
+    with pytest.raises(ValueError):
+        rebalance_months("weekly")
+    assert index_windows(spark, "X", {"X": "semi-annual"}, "2020-01-01", "2020-12-31").count() == 2
