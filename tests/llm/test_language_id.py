@@ -1,8 +1,12 @@
 import itertools
+import math
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
+from driftline.llm import language_id as L
 from driftline.llm.language_id import Identifier, best_path, held_out, identify, learn, learn_from_training_fold, words_of
 
 SF = "/root/testdata/sf0.01"
@@ -57,3 +61,85 @@ def test_edges(spark):
     assert identify(docs.limit(0), model).count() == 0
     none = learn(docs.limit(0))
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
+
+
+def plain_buckets(word):
+    points, out = [1, *map(ord, word), 1], []
+    for n in range(1, L.LONGEST + 1):
+        for at in range(len(points) - n + 1):
+            if n == 1 and points[at] == 1:
+                continue
+            h = 0
+            for k in range(n):
+                h = (h * 0x100000001B3 + points[at + k] + k + 1) % 2**64
+            out.append((h * 0x9E3779B97F4A7C15 % 2**64 >> 48) % L.BUCKETS)
+    return out
+
+
+def plain_script(word):
+    return [name for start, name in L.SCRIPTS if start <= ord(word[0])][-1]
+
+
+def plain_identify(rows):
+    """{doc_id: (language, score)} of (doc_id, text, lang) rows: counts, scores and the whole trellis in loops."""
+    counts, letters, words = defaultdict(Counter), defaultdict(Counter), {i: words_of(t) for i, t, _ in rows}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 3 != 1:
+            for w in words[i]:
+                counts[lang].update(plain_buckets(w))
+                letters[lang][plain_script(w)] += len(w)
+    langs = sorted(x for x in counts if counts[x])
+    total = {x: sum(counts[x].values()) for x in langs}
+    log = lambda x, b: math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * L.BUCKETS))
+    own = lambda x, s: letters[x][s] >= L.SCRIPT_SHARE * max(1, sum(letters[x].values()))
+
+    def score(word):
+        every = [[log(x, b) for x in langs] for b in plain_buckets(word)]
+        sums = [sum(row[k] - sum(row) / len(row) for row in every) for k in range(len(langs))]
+        script = plain_script(word)
+        fits = [own(x, script) for x in langs]
+        return [v if ok or not any(fits) else min(sums) - 50 for v, ok in zip(sums, fits)]
+
+    known, out = {}, {}
+    for i, _, _ in rows:
+        if not words[i]:
+            out[i] = "und", 0.0
+            continue
+        now, back = None, []
+        for w in words[i]:
+            row = known.setdefault(w, score(w))
+            if now is None:
+                now = row
+                continue
+            best = max(range(len(langs)), key=now.__getitem__)
+            step = [k if now[k] >= now[best] - L.SWITCH else best for k in range(len(langs))]
+            now = [max(now[k], now[best] - L.SWITCH) + row[k] for k in range(len(langs))]
+            back.append(step)
+        path = [max(range(len(langs)), key=now.__getitem__)]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        many = Counter(path)
+        top = min(many, key=lambda k: (-many[k], k))
+        out[i] = langs[top], many[top] / len(path)
+    return out
+
+
+def test_whole_query_against_loops(spark):
+    """Every document of the smallest table, with mixed, foreign, tied and very long texts added."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    texts = {lang: next(t for _, t, x in rows if x == lang and t and len(t) > 400) for lang in {r[2] for r in rows if r[2]}}
+    some = sorted(texts)
+    rows += [(-1, texts[some[0]] + " " + texts[some[1]], None), (-2, "кот и пёс", None), (-3, "q", None), (-4, (texts[some[2]] + " ") * 60, None), (-5, None, some[0]), (-6, "12 ²", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_identify(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(df, learn_from_training_fold(df)).collect()}
+    assert set(got) == set(want)
+    assert [i for i in want if got[i][0] != want[i][0]] == []
+    assert all(abs(got[i][1] - want[i][1]) < 0.01 for i in want)
+    assert got[-5] == got[-6] == ("und", 0.0)
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(2, "same words here", "b"), (3, "same words here", "a"), (5, "same words here", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identify(docs, learn(docs)).collect()} == {"a"}
