@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.ranks import with_before
+from driftline.operators.ranks import moments, value_counts, with_before
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -63,24 +63,25 @@ def robust_vote(p_wilcoxon: Column, p_sign: Column, p_placebo: Column, level: fl
     return enough & F.coalesce(p_placebo < level, F.lit(True))
 
 
-def _ranked(rows: DataFrame, by: list[str], x: str) -> DataFrame:
+def _ranked(values: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, size (distinct sizes of the values that are not zero), how many of them are positive and negative, tied, and their average rank."""
-    sizes = rows.where(F.col(x) != 0).groupBy(*by, F.abs(x).alias("_size")).agg(F.count(F.lit(1)).alias("_tied"), F.count_if(F.col(x) > 0).alias("_pos"), F.count_if(F.col(x) < 0).alias("_neg"))
+    count = lambda keep: F.sum(F.when(keep, F.col("n")).otherwise(0))
+    sizes = values.where(F.col(x) != 0).groupBy(*by, F.abs(x).alias("_size")).agg(F.sum("n").alias("_tied"), count(F.col(x) > 0).alias("_pos"), count(F.col(x) < 0).alias("_neg"))
     return with_before(sizes, by, "_size", "_tied").withColumn("_rank", F.col("before") + (F.col("_tied") + 1) / 2.0)
 
 
 def signed_ranks(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, n (non-zero values), w_plus, w_minus with average ranks (null where no value has the sign)."""
     total = lambda count: F.sum(F.when(F.col(count) > 0, F.col("_rank") * F.col(count)))
-    return _ranked(rows, by, x).groupBy(*by).agg(F.sum("_tied").alias("n"), total("_pos").alias("w_plus"), total("_neg").alias("w_minus"))
+    return _ranked(value_counts(rows, by, x), by, x).groupBy(*by).agg(F.sum("_tied").alias("n"), total("_pos").alias("w_plus"), total("_neg").alias("w_minus"))
 
 
 def significance(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """Per group: n, mean, t, t_p, wilcoxon_p, sign_p.  Only one row per group reaches the p-value functions."""
-    basic = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count_if(F.col(x) > 0).alias("pos"), F.count_if(F.col(x) < 0).alias("neg"))
+    values = value_counts(rows, by, x)
     ties = F.col("_tied") * (F.col("_tied") * F.col("_tied") - 1)
-    ranks = _ranked(rows, by, x).groupBy(*by).agg(F.sum("_tied").alias("m"), F.sum(F.col("_rank") * F.col("_pos")).alias("w"), F.sum(ties.cast("double")).alias("ties"))
-    joined = basic.join(ranks, by, "left").withColumn("t", F.when((F.col("sd") > 0) & (F.col("n") > 1), F.col("mean") / (F.col("sd") / F.sqrt("n"))))
+    ranks = _ranked(values, by, x).groupBy(*by).agg(F.sum("_tied").alias("m"), F.sum(F.col("_rank") * F.col("_pos")).alias("w"), F.sum(ties.cast("double")).alias("ties"))
+    joined = moments(values, by, x).join(ranks, by, "left").withColumn("t", F.when((F.col("sd") > 0) & (F.col("n") > 1), F.col("mean") / (F.col("sd") / F.sqrt("n"))))
 
     @F.pandas_udf("double")
     def by_t(t: pd.Series, n: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.asof import asof_lookup
-from driftline.operators.ranks import medians
+from driftline.operators.ranks import medians, moments, value_counts
 
 #: Bars before and after the event bar, calendar days that the event bar may be late, and the windows of cumulation.
 BEFORE, AFTER, TOLERANCE = 5, 30, 7
@@ -69,14 +69,11 @@ def cumulated(windows: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS, b
 def car_summary(cars: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
     """action, off_cycle, span, n, mean, median, t, expected_share (of the sign that the action leads to expect)."""
     stacked = cars.select("action", "off_cycle", F.explode(F.array(*[F.struct(F.lit(s).alias("span"), F.col(s).alias("car")) for s in spans])).alias("x")).select("action", "off_cycle", "x.*")
-    deviation = F.stddev_samp("car")
-    sign = F.when(F.col("action") == "Addition", F.col("car") > 0).otherwise(F.col("car") < 0)
-    known, by = stacked.where("car is not null"), ["action", "off_cycle", "span"]
-    facts = known.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("car").alias("mean"),
-        F.when(deviation > 0, F.avg("car") / (deviation / F.sqrt(F.count(F.lit(1))))).alias("t"), F.avg(sign.cast("int")).alias("expected_share"),
-    )
-    return facts.join(medians(known, by, "car"), by)
+    by = ["action", "off_cycle", "span"]
+    values = value_counts(stacked, by, "car")
+    as_expected = F.when(F.col("action") == "Addition", F.col("pos")).otherwise(F.col("neg")) / F.col("n")
+    t = F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))
+    return moments(values, by, "car").join(medians(values, by, "car"), by).select(*by, "n", "mean", "median", t.alias("t"), as_expected.alias("expected_share"))
 
 
 def car_path(windows: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from driftline.functions.calendar import bday_add, weekdays_between
 from driftline.functions.costs import borrow_cost, study_cost_bps, trade_cost
 from driftline.operators.asof import asof_lookup
-from driftline.operators.ranks import middle, with_before
+from driftline.operators.ranks import medians, moments
+from driftline.sources.files import written
 
 
 def signals(events: DataFrame, variant: str = "announcement", exit_offset: int = 0) -> DataFrame:
@@ -154,16 +155,14 @@ def forecast_from_labels(events: DataFrame, tiers: list[str]) -> DataFrame:
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """tier (or ALL), exit, action: n, mean, median, std and win rate of valid trades, by grouping sets."""
-    # Distinct values of the finest sets with counts: the larger sets and the medians are built from these.
+    # Distinct values of the finest sets with counts: the larger sets, medians and moments are built from these.
     ok = ledger.where("reason = 'ok'").groupBy("tier", "exit", "action", F.col("sided_ret").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t") if t else F.col("tier").alias("t"), F.lit(a).alias("a") if a else F.col("action").alias("a")) for t, a in ((None, None), ("ALL", None), ("ALL", "ALL"))])).alias("set")
-    by, x, n = ["tier", "exit", "action"], F.col("x"), F.col("n")
-    spread = ok.select("exit", "x", "n", each).select(F.col("set.t").alias("tier"), "exit", F.col("set.a").alias("action"), "x", "n")
-    values = spread.groupBy(*by, "x").agg(F.sum("n").alias("n"))
-    mean = values.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(x * n) / F.sum(n)).alias("mean"), (F.sum(F.when(x > 0, n).otherwise(0)) / F.sum(n)).alias("win_rate"))
-    placed = with_before(values, by, "x").join(mean.select(*by, "mean"), by)
-    spread_of = placed.groupBy(*by).agg(middle("x").alias("median"), F.sqrt(F.sum(n * F.pow(x - F.col("mean"), 2)) / F.nullif(F.sum(n) - 1, F.lit(0))).alias("std"))
-    return mean.join(spread_of, by).select(*by, "n", "mean", "median", "std", "win_rate")
+    tier, action, everything = F.col("tier"), F.col("action"), F.lit("ALL")
+    sets = F.explode(F.array(*[F.struct(t.alias("tier"), a.alias("action")) for t, a in ((tier, action), (everything, action), (everything, everything))]))
+    by = ["tier", "exit", "action"]
+    values = written(ok.select("exit", "x", "n", sets.alias("set")).groupBy("set.tier", "exit", "set.action", "x").agg(F.sum("n").alias("n")), "values")
+    found = moments(values, by, "x").join(medians(values, by, "x"), by)
+    return found.select(*by, "n", "mean", "median", F.col("sd").alias("std"), (F.col("pos") / F.col("n")).alias("win_rate"))
 
 
 def daily_book(ledger: DataFrame, panel: DataFrame, exit: int = 5, clip: float = 0.12, cash: float = 0.025) -> DataFrame:
