@@ -74,7 +74,7 @@ def _curve(label: str) -> Pipeline:
 def calibrated(scored: DataFrame, label: str) -> DataFrame:
     """+ calibrated: a logistic curve of the logit of ``score``, fitted on the out-of-fold scores of earlier folds only.
 
-    Rows of the first scored fold, and of folds whose past has one class, have no calibrated score (null).
+    Rows of the first scored fold, and of folds whose past has one class, keep their score as it is.
     """
     clipped = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = scored.withColumn("logit", F.log(clipped / (1 - clipped)))
@@ -82,7 +82,7 @@ def calibrated(scored: DataFrame, label: str) -> DataFrame:
     for k in sorted(r.fold for r in scored.select("fold").distinct().collect()):  # a handful of folds
         past, own = logit.where(F.col("fold") < k), logit.where(F.col("fold") == k)
         if past.select(label).distinct().limit(2).count() < 2:
-            done = own.withColumn("calibrated", F.lit(None).cast("double"))
+            done = own.withColumn("calibrated", F.col("score"))
         else:
             done = _curve(label).fit(past).transform(own).withColumn("calibrated", vector_to_array("curve")[1]).drop("logit_vector", "curve", "curve_raw", "curve_class")
         out = done if out is None else out.unionByName(done)

@@ -98,7 +98,7 @@ def test_calibration_sees_earlier_folds_only(spark):
     got = {r.id: r.calibrated for r in ML.calibrated(df, "y").collect()}
     changed = df.withColumn("y", F.when(F.col("fold") == 5, 1 - F.col("y")).otherwise(F.col("y")))
     assert {r.id: r.calibrated for r in ML.calibrated(changed, "y").collect()} == got  # the last fold's labels touch nothing
-    assert all((got[i] is None) == (fold == 0) for i, fold, _, _ in rows)
+    assert all((got[i] == score) == (fold == 0) for i, fold, score, _ in rows)  # no fold before the first
     assert ML.calibrated(df.limit(0), "y").count() == 0
 
 
