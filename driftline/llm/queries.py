@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.chat_format import digest_windows, format_chats
+from driftline.llm.collocations import collocations
 from driftline.llm.common import table
 from driftline.llm.exact_dedup import exact_dedup
+from driftline.llm.fill_in_middle import fill_in_middle, restored
 from driftline.llm.html_text import extract_main_text
 from driftline.llm.language_id import held_out, identify, learn_from_training_fold
 from driftline.llm.metric_join import near_vectors
@@ -17,10 +19,14 @@ from driftline.llm.mixing import mix_sources
 from driftline.llm.near_dedup import near_dedup
 from driftline.llm.pieces import encode_texts, load_model
 from driftline.llm.substring_dedup import remove_repeats
+from driftline.llm.token_counts import load_vocabulary, longest_prefix, prefix_counts
 from driftline.llm.url_filter import Rule, filter_urls
 
 #: The public vocabulary that the queries encode with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+#: Tokens above which a text is over the limit.
+TOKEN_LIMIT = 512
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).alias("doc"), "text")
+    counts = prefix_counts(sized, load_vocabulary(BYTE_BPE), id_col="doc")
+    n = F.element_at("counts", -1).cast("long")
+    fits = F.when(n > TOKEN_LIMIT, longest_prefix(F.col("counts"), TOKEN_LIMIT)).otherwise(F.size("counts") - 1)
+    return counts.select("doc.*", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), fits.cast("long").alias("fitting_chars"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -84,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_token_counts": op11_token_counts,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -206,5 +233,60 @@ FROM embeddings d JOIN c ON d.vec_id = c.vec_id LEFT JOIN k ON d.vec_id = k.vec_
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
+), g AS (
+  SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS g FROM d
+), f AS (
+  SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), l AS (
+  SELECT doc_id, t, n, form, CAST(coalesce(list_sum(list_transform(u[1:a], lambda x: length(x))), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(list_transform(u[a + 1:b], lambda x: length(x))), 0) AS BIGINT) AS m FROM f
+), x AS (
+  SELECT *, t[1:p] AS prefix, t[p + 1:p + m] AS middle, t[p + m + 1:] AS suffix FROM l
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM x
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t
+), p AS (
+  SELECT piece, lang, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, w, w || ' ' || lead(w, 1) OVER o AS w2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS w3,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS w5
+  FROM p WINDOW o AS (PARTITION BY piece ORDER BY i)
+), f AS (
+  SELECT lang, 1 AS size, w AS phrase, count(*) AS f FROM g GROUP BY 1, 3 UNION ALL SELECT lang, 2, w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT lang, 3, w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT lang, 4, w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT lang, 5, w5, count(*) FROM g WHERE w5 IS NOT NULL GROUP BY 1, 3
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, size, f AS a FROM f WHERE size > 1 AND f >= 100
+), k AS (
+  SELECT c.*, z.k AS k, array_to_string(string_split(phrase, ' ')[1:z.k], ' ') AS head, array_to_string(string_split(phrase, ' ')[z.k + 1:], ' ') AS tail FROM c, range(1, 5) AS z(k) WHERE z.k < size
+), s AS (
+  SELECT k.lang, k.phrase, k.size, a, k, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON k.lang = x.lang AND k.head = x.phrase JOIN f y ON k.lang = y.lang AND k.tail = y.phrase JOIN n ON k.lang = n.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_remove_repeats": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_remove_repeats": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_near_vectors": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_fill_in_middle": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -30,5 +30,5 @@ def test_matches_sql(spark, duck, name):
 def test_all_numbers_are_registered():
     import __spark_entry__ as e
 
-    assert {n.split("_")[0] for n in q.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in q.queries()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in e.queries() and set(q.queries()) <= set(e.queries())
