@@ -70,9 +70,17 @@ class _Windows:
         cost = tokens(text)
         if self.new and self._cost() + self.sums[-1] + cost > self.budget.window:
             yield self._emit()
+        if not self.new:
+            self._choose_history(cost)
         self.new.append((role, text, cost))
         self.sums.append(self.sums[-1] + cost)
 
+    def _choose_history(self, cost: int) -> None:
+        """The longest turn-aligned run of latest turns that fits its allowance and what system turn and first new turn leave: the first prefix sum near enough to the last."""
+        room = max(0, min(self.budget.history, self.budget.window - (self.system[2] if self.system else 0) - cost))
+        sums = list(accumulate((t[2] for t in self.past), initial=0))
+        self.past = self.past[bisect_left(sums, sums[-1] - room) :]
+
     def close(self) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
         if self.new:
             yield self._emit()
@@ -89,10 +97,8 @@ class _Windows:
             at += len(parts[-1])
         if self.system is None:
             self.system = next((t for t in self.new if t[0] == "system"), None)
-        # The longest turn-aligned run of latest turns within the history allowance: the first prefix sum that is near enough to the last.
-        turns = [t for t in self.past + self.new if t is not self.system]
-        sums = list(accumulate((t[2] for t in turns), initial=0))
-        self.past = turns[bisect_left(sums, sums[-1] - self.budget.history) :]
+        # What may be history of the next window: how much of it fits is known when its first new turn is.
+        self.past = [t for t in self.past + self.new if t is not self.system]
         self.new, self.sums = [], [0]
         return len(repeated), "".join(parts), spans
 
@@ -118,8 +124,8 @@ def format_chats(turns: DataFrame, budget: Budget = Budget(), conv_col: str = "c
     """Windows: conv_id, window, repeated (turns it repeats), text, loss_spans (code point spans that are targets).
 
     Edge cases: null roles and texts are empty; a null conversation id is a conversation of its own; rows that
-    repeat a turn number are all kept, in order of role and text, null turns first; a turn longer than the
-    budget has a window with its system turn and history, whole; a conversation without assistant turns has
+    repeat a turn number are all kept, in order of role and text, null turns first; a window exceeds the budget
+    only where a turn and the system turn alone do: then it holds these two, whole; a conversation without assistant turns has
     no loss spans; an empty table gives no windows; other columns are ignored.
     """
     ordered = _ordered(turns, conv_col, turn_col, role_col, text_col)
