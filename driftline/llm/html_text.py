@@ -41,7 +41,10 @@ NOISE = set(
 SOFT = {"social", "related", "recommended", "notice", "notices", "alert", "search", "share", "sharing", "reply", "form", "skip", "banner", "promotion"}
 PLAIN = set("site page main global top bottom left right box block list area section container wrapper wrap inner outer bar row col item items link links post posts text message panel slot inline unit icons buttons button field body group".split())
 COMMENTS = {"comment", "comments", "disqus", "respond", "replies", "reply"}
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+#: Attributes worth parsing, one attribute with its value, and the declarations that hide an element.
+HIDES = re.compile("hidden|display|visibility", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDING = {("display", "none"), ("visibility", "hidden")}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -145,7 +148,7 @@ def parse(html: str) -> tuple[_Element, list[_Element]]:
         if tag in VOID or tag in ("html", "body"):
             continue
         names = _names(attributes) if attributes else []
-        noise = tag in DROPPED or bool(attributes and HIDDEN.search(attributes))
+        noise = tag in DROPPED or bool(attributes and HIDES.search(attributes) and _hidden(attributes))
         if tag in DOUBTFUL or (tag == "header" and not inside_article):
             names.append({"footer"})  # as a name of boilerplate, so that length and what it holds count
         new = _Element(tag, now, noise, names)
@@ -157,6 +160,17 @@ def parse(html: str) -> tuple[_Element, list[_Element]]:
     return root, order
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes hide it: ``hidden`` (but for until-found, which a reader can reach), ``aria-hidden`` or its style."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true"):
+            return True
+        if name == "style" and any((d.partition(":")[0].strip(), d.partition(":")[2].partition("!")[0].strip()) in HIDING for d in value.split(";")):
+            return True
+    return False
+
+
 def _kept(root: _Element, order: list[_Element]) -> None:
     """Totals from the leaves up, and which elements are boilerplate by their names."""
     for e in reversed(order):

@@ -135,3 +135,15 @@ def test_generated_pages(spark):
         if body:
             blocks = [" ".join(h.unescape(re.sub(r"<(?:b|/b|br)>", lambda m: " " if m[0] == "<br>" else "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body[1])]
             assert main_text(r.html) == " ".join(b for b in blocks if b), r.page_id
+
+
+def test_only_parsed_attributes_hide():
+    words = "The committee met on Tuesday, and after a long debate, it adopted the plan for the harbour. "
+    page = lambda attributes: f"<html><body><article {attributes}><p>{words * 3}</p></article></body></html>"
+    shown = ['data-headline="The hidden history"', 'title="hidden"', "data-x='aria-hidden=true'", 'hidden="until-found"', 'style="display:nonesuch"', 'data-style="display:none"', 'aria-hidden="false"', "data-hidden"]
+    for attributes in shown:
+        assert main_text(page(attributes)) == (words * 3).strip(), attributes
+    for attributes in ["hidden", "HIDDEN=''", 'aria-hidden="true"', "style='color:red; Display : none !important'", 'class="a" hidden id="b"', 'style="visibility:hidden"']:
+        assert main_text(page(attributes)) == "", attributes
+    alt = f'<html><body><article><p>{words * 3}</p><p><img alt="hidden display:none"/>{words}</p></article></body></html>'
+    assert main_text(alt) == (words * 4).strip()
