@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.asof import asof_lookup
-from driftline.operators.ranks import medians, moments, value_counts
+from driftline.operators.ranks import summaries
+from driftline.operators.scans import numbered
+from driftline.sources.files import written
 
 #: Bars before and after the event bar, calendar days that the event bar may be late, and the windows of cumulation.
 BEFORE, AFTER, TOLERANCE = 5, 30, 7
@@ -31,10 +33,52 @@ def event_windows(events: DataFrame, panel: DataFrame, bench: DataFrame, before:
     return starts.join(windows, ["ticker", "b0"]).select(*FACTS, "off", "ar")
 
 
-def event_cars(events: DataFrame, panel: DataFrame, bench: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
-    """``cumulated`` of the windows of all events, each distinct (ticker, start bar) cumulated once: work follows the panel, not the events."""
-    starts, windows = _started(events, panel, bench)
-    return starts.join(cumulated(windows, spans, ["ticker", "b0"]), ["ticker", "b0"]).select(*FACTS, *spans)
+#: Bars of a block of running sums: a span of up to as many ends in its own block or the next one.
+BLOCK = 64
+
+
+def bar_sums(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """ticker, date, bar_no, last_no, block, and running sums of abnormal returns inside blocks of bars: done, left (sum and count c; up to the bar, after it).
+
+    The first return of a series is left out, as windows begin at its second bar.  Sums start anew with each block, so
+    a difference of two is as exact as the sum of the window, and a hot ticker's bars are many blocks.
+    """
+    series = written(panel.select("ticker", "date", "adjusted_close").join(bench, "date", "left"), "series")  # read twice below
+    bars = numbered(series, ["ticker"], "date", ["adjusted_close", "bench"])
+    change = lambda c: F.try_divide(F.col(c), F.col(f"prev_{c}")) - 1
+    ar = F.when(F.col("bar_no") >= 3, 100 * (change("adjusted_close") - change("bench")))
+    bars = bars.select("ticker", "date", "bar_no", "last_no", F.expr(f"bar_no div {BLOCK}").alias("block"), ar.alias("ar"))
+    whole = Window.partitionBy("ticker", "block")
+    so_far = whole.orderBy("bar_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = whole.orderBy("bar_no").rowsBetween(1, Window.unboundedFollowing)
+    value = F.coalesce("ar", F.lit(0.0))
+    sums = lambda w: F.struct(F.coalesce(F.sum(value).over(w), F.lit(0.0)).alias("s"), F.count("ar").over(w).alias("c"))
+    return bars.select("ticker", "date", "bar_no", "last_no", "block", sums(so_far).alias("done"), sums(after).alias("left"))
+
+
+def event_cars(events: DataFrame, panel: DataFrame, bench: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS, tolerance: int = TOLERANCE) -> DataFrame:
+    """``cumulated`` of the windows of all events by prefix sums: a span is the difference of two bars found by equality.
+
+    Each distinct (ticker, start bar) is looked up once for each distinct end of a span: work follows the panel, not
+    events times bars.  Spans have at most BLOCK bars and lie inside the window of ``event_windows``.
+    """
+    if any(b - a >= BLOCK or a <= -BEFORE or b > AFTER for a, b in spans.values()):
+        raise ValueError("a span must lie inside the window of bars")
+    bars = written(bar_sums(panel, bench), "bars")
+    found = asof_lookup(events.select(*FACTS, "ticker", "ann"), bars.select("ticker", "date", "bar_no", "last_no"), ["ticker"], "ann", "date", ["bar_no", "last_no"], forward=True, tolerance_days=tolerance)
+    starts = found.where("bar_no is not null").select(*FACTS, "ticker", F.col("bar_no").alias("b0"), "last_no")
+    ends = sorted({o for a, b in spans.values() for o in (a - 1, b)})
+    wanted = starts.select("ticker", "b0", "last_no").distinct().select("ticker", "b0", F.explode(F.array(*[F.struct(F.lit(o).alias("off"), F.least(F.col("b0") + o, "last_no").alias("bar_no")) for o in ends])).alias("e"))
+    at = wanted.select("ticker", "b0", "e.*").join(bars.select("ticker", "bar_no", F.struct("block", "done", "left").alias("bar")), ["ticker", "bar_no"])
+    side_by_side = at.groupBy("ticker", "b0").agg(*[F.first(F.when(F.col("off") == o, F.col("bar")), ignorenulls=True).alias(f"at_{i}") for i, o in enumerate(ends)])
+    cols = []
+    for name, (a, b) in spans.items():
+        low, high = f"at_{ends.index(a - 1)}", f"at_{ends.index(b)}"
+        same = F.coalesce(F.col(f"{low}.block"), F.lit(0)) == F.col(f"{high}.block")
+        # Before the series there is no bar: nothing is subtracted.
+        part = lambda f: F.col(f"{high}.done.{f}") + F.when(same, -F.coalesce(F.col(f"{low}.done.{f}"), F.lit(0))).otherwise(F.col(f"{low}.left.{f}"))  # noqa: B023, E731
+        cols.append(F.when(part("c") >= max(1, int(0.6 * (b - a + 1))), part("s")).alias(name))
+    return starts.join(side_by_side.select("ticker", "b0", *cols), ["ticker", "b0"]).select(*FACTS, *spans)
 
 
 def _started(events: DataFrame, panel: DataFrame, bench: DataFrame, before: int = BEFORE, after: int = AFTER, tolerance: int = TOLERANCE):
@@ -70,10 +114,9 @@ def car_summary(cars: DataFrame, spans: dict[str, tuple[int, int]] = WINDOWS) ->
     """action, off_cycle, span, n, mean, median, t, expected_share (of the sign that the action leads to expect)."""
     stacked = cars.select("action", "off_cycle", F.explode(F.array(*[F.struct(F.lit(s).alias("span"), F.col(s).alias("car")) for s in spans])).alias("x")).select("action", "off_cycle", "x.*")
     by = ["action", "off_cycle", "span"]
-    values = value_counts(stacked, by, "car")
     as_expected = F.when(F.col("action") == "Addition", F.col("pos")).otherwise(F.col("neg")) / F.col("n")
     t = F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))
-    return moments(values, by, "car").join(medians(values, by, "car"), by).select(*by, "n", "mean", "median", t.alias("t"), as_expected.alias("expected_share"))
+    return summaries(stacked, by, "car").select(*by, "n", "mean", "median", t.alias("t"), as_expected.alias("expected_share"))
 
 
 def car_path(windows: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from driftline.functions.calendar import bday_add, weekdays_between
 from driftline.functions.costs import borrow_cost, study_cost_bps, trade_cost
 from driftline.operators.asof import asof_lookup
-from driftline.operators.ranks import medians, moments
+from driftline.operators.ranks import summaries
+from driftline.operators.scans import running_sums
 from driftline.sources.files import written
 
 
@@ -51,21 +52,32 @@ def daily_positions(weights: DataFrame) -> DataFrame:
     return weights.withColumn("date", F.explode(weekdays_between(F.col("entry_date"), F.col("exit_date"))))
 
 
-def backtest(positions: DataFrame, rets: DataFrame, capital: float = 1_000_000.0) -> tuple[DataFrame, DataFrame]:
-    """(ledger, daily).  positions: event_id, ticker, side, weight, entry_date, exit_date, date; rets: ticker, date, ret.
+def backtest(weights: DataFrame, rets: DataFrame, capital: float = 1_000_000.0) -> tuple[DataFrame, DataFrame]:
+    """(ledger, daily).  weights: event_id, ticker, side, weight, entry_date, exit_date; rets: ticker, date, ret.
 
-    The ledger has a row per event with gross pnl and cost; half of the cost falls on each end.
+    A position is held on each weekday from entry to exit.  The ledger has a row per event with gross pnl and cost; half
+    of the cost falls on each end.  Positions are never spelled out in days: what is open on a day comes from a sweep, and a
+    position's return from the difference of two running sums.  Weights and returns are summed as decimals, so that a
+    book that is closed holds nothing.
     """
-    pnl = positions.join(rets.select("ticker", "date", "ret"), ["ticker", "date"], "left").withColumn("pnl", F.col("weight") * F.coalesce("ret", F.lit(0.0)) * capital)
-    ledger = pnl.groupBy("event_id").agg(
-        F.first("ticker").alias("ticker"), F.first("side").alias("side"), F.first("entry_date").alias("entry_date"), F.first("exit_date").alias("exit_date"),
-        F.avg("weight").alias("weight"), F.sum("pnl").alias("gross_pnl"),
-    )
+    own = weights.select("event_id", "ticker", "side", "weight", "entry_date", "exit_date")
+    held = written(own.where((F.datediff("exit_date", "entry_date") >= 2) | (F.weekday("entry_date") < 5) | (F.weekday("exit_date") < 5)), "held")
+    days = written(rets.where(F.weekday("date") < 5).select("ticker", "date", F.coalesce("ret", F.lit(0.0)).alias("ret")), "returns")
+    holdings = held.select("ticker", F.col("entry_date").alias("first"), F.col("exit_date").alias("last"), F.col("weight").cast("decimal(20,18)").alias("weight"), F.lit(1).cast("long").alias("n"))
+    pnl = open_counts(holdings, days, ["ticker"], ["weight", "n"]).where("open_n > 0").select("date", (F.col("open_weight").cast("double") * F.col("ret") * capital).alias("pnl"))
+    span = holdings.agg(F.min("first").alias("a"), F.max("last").alias("z")).where("a is not null")
+    calendar = span.select(F.explode(weekdays_between(F.col("a"), F.col("z"))).alias("date"))
+    quiet = open_counts(holdings, calendar, [], ["n"]).where("open_n > 0").select("date", F.lit(0.0).alias("pnl"))
+    sums = running_sums(days.withColumn("x", F.col("ret").cast("decimal(28,15)")), ["ticker"], "date", ["x"]).select("ticker", "date", F.col("run_x").alias("total"))
+    sums = written(sums, "sums")
+    ended = asof_lookup(held, sums, ["ticker"], "exit_date", "date", ["total"]).withColumnsRenamed({"total": "up_to"}).drop("date_found")
+    both = asof_lookup(ended, sums, ["ticker"], "entry_date", "date", ["total"], strict=True)
     value = F.col("weight") * capital
+    gained = F.coalesce(F.col("up_to"), F.lit(0)) - F.coalesce(F.col("total"), F.lit(0))
     borrow = F.when(F.col("side") == "short", borrow_cost(value, F.datediff("exit_date", "entry_date"))).otherwise(F.lit(0.0))
-    ledger = ledger.withColumn("cost", 2 * trade_cost(value, F.lit(None).cast("double")) + borrow)
+    ledger = both.select(*own.columns, (value * gained.cast("double")).alias("gross_pnl"), (2 * trade_cost(value, F.lit(None).cast("double")) + borrow).alias("cost"))
     ends = ledger.select(F.explode(F.array("entry_date", "exit_date")).alias("date"), (-F.col("cost") / 2).alias("pnl"))
-    daily = pnl.select("date", "pnl").unionByName(ends).groupBy("date").agg(F.sum("pnl").alias("pnl"))
+    daily = pnl.unionByName(quiet).unionByName(ends).groupBy("date").agg(F.sum("pnl").alias("pnl"))
     return ledger, daily.withColumn("ret", F.col("pnl") / capital)
 
 
@@ -155,30 +167,41 @@ def forecast_from_labels(events: DataFrame, tiers: list[str]) -> DataFrame:
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """tier (or ALL), exit, action: n, mean, median, std and win rate of valid trades, by grouping sets."""
-    # Distinct values of the finest sets with counts: the larger sets, medians and moments are built from these.
-    ok = ledger.where("reason = 'ok'").groupBy("tier", "exit", "action", F.col("sided_ret").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     tier, action, everything = F.col("tier"), F.col("action"), F.lit("ALL")
     sets = F.explode(F.array(*[F.struct(t.alias("tier"), a.alias("action")) for t, a in ((tier, action), (everything, action), (everything, everything))]))
     by = ["tier", "exit", "action"]
-    values = written(ok.select("exit", "x", "n", sets.alias("set")).groupBy("set.tier", "exit", "set.action", "x").agg(F.sum("n").alias("n")), "values")
-    found = moments(values, by, "x").join(medians(values, by, "x"), by)
-    return found.select(*by, "n", "mean", "median", F.col("sd").alias("std"), (F.col("pos") / F.col("n")).alias("win_rate"))
+    rows = ledger.where("reason = 'ok'").select("exit", "sided_ret", sets.alias("set")).select("exit", "set.*", "sided_ret")
+    return summaries(rows, by, "sided_ret").select(*by, "n", "mean", "median", F.col("sd").alias("std"), (F.col("pos") / F.col("n")).alias("win_rate"))
+
+
+def open_counts(holdings: DataFrame, days: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """days (by, date, ...) + for each column c of ``sums`` open_c: its sum over the holdings (by, first, last, c) with first <= date <= last.
+
+    A sweep: a holding adds at its first day and takes away on the day after its last one, and a running sum is what is open.
+    Work follows changes and days, however long holdings are and however many are open on a day.  Sums are exact where
+    the columns are whole or decimal numbers.
+    """
+    change = F.explode(F.array(F.struct(F.col("first").alias("date"), F.lit(1).alias("sign")), F.struct(F.date_add("last", 1).alias("date"), F.lit(-1).alias("sign")))).alias("_e")
+    changes = holdings.where("first <= last").select(*by, *sums, change).groupBy(*by, F.col("_e.date").alias("date")).agg(*[F.sum(F.col(c) * F.col("_e.sign")).alias(c) for c in sums])
+    marked = days.select(*by, "date", F.struct(*days.columns).alias("_day"))
+    swept = running_sums(written(marked.unionByName(changes, allowMissingColumns=True), "changes"), by, "date", sums)
+    return swept.where("_day is not null").select("_day.*", *[F.col(f"run_{c}").alias(f"open_{c}") for c in sums])
 
 
 def daily_book(ledger: DataFrame, panel: DataFrame, exit: int = 5, clip: float = 0.12, cash: float = 0.025) -> DataFrame:
     """date, long, short, ls, open_trades: mean clipped return of open trades (entry < date <= exit) per side, else cash."""
     from driftline.operators.features import returns
 
-    trades = ledger.where((F.col("reason") == "ok") & (F.col("exit") == exit)).select("ticker", "action", F.explode(weekdays_between(F.date_add("entry_date", 1), F.col("exit_date"))).alias("date"))
+    side = lambda name: (F.col("action") == name).cast("long").alias(name)
+    trades = ledger.where((F.col("reason") == "ok") & (F.col("exit") == exit)).select("ticker", F.date_add("entry_date", 1).alias("first"), F.col("exit_date").alias("last"), side("Addition"), side("Removal"), F.lit(1).cast("long").alias("all"))
     rets = returns(panel.select("ticker", "date", "adjusted_close")).select("ticker", "date", F.greatest(F.least("ret", F.lit(clip)), F.lit(-clip)).alias("ret"))
-    held = trades.join(rets, ["ticker", "date"])
-    by_day = held.groupBy("date").agg(
-        F.avg(F.when(F.col("action") == "Addition", F.col("ret"))).alias("l"), F.avg(F.when(F.col("action") == "Removal", -F.col("ret"))).alias("s"), F.count(F.lit(1)).alias("open_trades")
-    )
+    held = open_counts(trades, rets, ["ticker"], ["Addition", "Removal", "all"])
+    known = lambda c: F.when(F.col("ret").isNotNull(), F.col(f"open_{c}"))
+    mean = lambda c: F.try_divide(F.sum(F.col("ret") * known(c)), F.sum(known(c)))
+    by_day = held.groupBy("date").agg(mean("Addition").alias("l"), (-mean("Removal")).alias("s"), F.sum("open_all").alias("open_trades"))
     rf = F.lit(cash / 252)
-    days = panel.select("date").distinct()
     both = F.when(F.col("l").isNull() & F.col("s").isNull(), rf).otherwise(F.coalesce("l", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)))
-    return days.join(by_day, "date", "left").select("date", F.coalesce("l", rf).alias("long"), F.coalesce("s", rf).alias("short"), both.alias("ls"), F.coalesce("open_trades", F.lit(0)).alias("open_trades"))
+    return by_day.select("date", F.coalesce("l", rf).alias("long"), F.coalesce("s", rf).alias("short"), both.alias("ls"), "open_trades")
 
 
 def advs_at_entry(ledger: DataFrame, panel: DataFrame, bars: int = 20) -> DataFrame:
@@ -206,8 +229,7 @@ def net_of_friction(trades: DataFrame, panel: DataFrame, clips: tuple[int, ...])
 
 def friction_summary(net: DataFrame, least: int = 8) -> DataFrame:
     """Gross and net figures per (tier or ALL, action, clip) of ``least`` trades or more."""
-    sets = net.groupingSets([["tier", "action", "clip"], ["action", "clip"]], "tier", "action", "clip")
-    out = sets.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("sided_ret").alias("gross_mean"), F.avg("net").alias("net_mean"), F.median("net").alias("net_median"), F.avg((F.col("net") > 0).cast("int")).alias("net_win")
-    )
-    return out.where(F.col("n") >= least).fillna("ALL", ["tier"])
+    tiers = F.explode(F.array("tier", F.lit("ALL"))).alias("tier")
+    rows, by = net.select(tiers, "action", "clip", "net", "sided_ret"), ["tier", "action", "clip"]
+    figures = summaries(rows, by, "net", also={"gross_mean": F.avg("sided_ret")}, of=("sided_ret",)).where(F.col("n") >= least)
+    return figures.select(*by, "n", "gross_mean", F.col("mean").alias("net_mean"), F.col("median").alias("net_median"), (F.col("pos") / F.col("n")).alias("net_win"))

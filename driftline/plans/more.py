@@ -10,6 +10,7 @@ from driftline.operators import features as X
 from driftline.operators import models as ML
 from driftline.operators import resampling as RS
 from driftline.operators.asof import asof_backward, asof_by_day, asof_lookup
+from driftline.operators.ranks import summaries
 from driftline.plans.panel import A0, CAPS, RET, asof_date, bday_sql, feature_table, rounded
 from driftline.plans.study import LEDGER, PNL, WIN, ledger, scored, sized, windows
 from driftline.sources import adapters as A
@@ -54,7 +55,7 @@ def j33(spark, d):
 def g09(spark, d):
     from driftline.operators import trading as B
 
-    led, _ = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    led, _ = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     return rounded(led.select(F.explode(F.array("entry_date", "exit_date")).alias("date"), (-F.col("cost") / 2).alias("c")).groupBy("date").agg(F.sum("c").alias("cost")), 3)
 
 
@@ -157,7 +158,9 @@ def r19(spark, d):
 @query("g30_horizon_summary", sql(f""", {LEDGER} SELECT tier, action, "exit", count(*) AS n, round(avg(raw_ret), 4) AS mean, round(median(raw_ret), 4) AS median, round(avg(CASE WHEN sided_ret > 0 THEN 1 ELSE 0 END), 4) AS win FROM led WHERE reason = 'ok' GROUP BY 1, 2, 3 HAVING count(*) >= 8""", "px", "ev"))
 def g30(spark, d):
     ok = ledger(spark, d).where("reason = 'ok'")
-    return rounded(ok.groupBy("tier", "action", "exit").agg(F.count(F.lit(1)).alias("n"), F.avg("raw_ret").alias("mean"), F.median("raw_ret").alias("median"), F.avg((F.col("sided_ret") > 0).cast("int")).alias("win")).where("n >= 8"))
+    by = ["tier", "action", "exit"]
+    figures = summaries(ok, by, "raw_ret", also={"win": F.avg((F.col("sided_ret") > 0).cast("int"))}, of=("sided_ret",))
+    return rounded(figures.where("n >= 8").select(*by, "n", "mean", "median", "win"))
 
 
 @query("g39_pivot_mean", sql(f""", {LEDGER} SELECT tier, round(avg(sided_ret) FILTER (WHERE "exit" = 0), 4) AS e0, round(avg(sided_ret) FILTER (WHERE "exit" = 5), 4) AS e5, round(avg(sided_ret) FILTER (WHERE "exit" = 10), 4) AS e10 FROM led WHERE reason = 'ok' GROUP BY 1""", "px", "ev"))

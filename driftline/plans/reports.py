@@ -40,13 +40,13 @@ def r04(spark, d):
 
 @query("g21_monthly_pnl", sql(f""", {PNL}, al AS (SELECT date, pnl FROM pnl UNION ALL SELECT entry_date, -cost / 2 FROM bc UNION ALL SELECT exit_date, -cost / 2 FROM bc) SELECT CAST(date_trunc('month', date) AS DATE) AS month, round(sum(pnl), 2) AS pnl FROM al GROUP BY 1""", "px", "ev"))
 def g21(spark, d):
-    _, daily = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    _, daily = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     return rounded(daily.groupBy(F.trunc("date", "MM").alias("month")).agg(F.sum("pnl").alias("pnl")), 2)
 
 
 @query("g41_f32_cost_share", sql(f""", {PNL}, n AS (SELECT side, cost, gross_pnl, nullif(abs(weight) * 1000000, 0) AS notional FROM bc) SELECT side, count(*) AS n, round(avg(cost / notional * 100), 6) AS cost_pct, round(avg(gross_pnl / notional * 100), 4) AS gross_pct FROM n GROUP BY 1""", "px", "ev"))
 def g41(spark, d):
-    led, _ = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    led, _ = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     notional = F.nullif(F.abs("weight") * 1_000_000, F.lit(0.0))
     shares = led.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("cost") / notional * 100).alias("cost_pct"), F.avg(F.col("gross_pnl") / notional * 100).alias("gross_pct"))
     return shares.select("side", "n", F.round("cost_pct", 6).alias("cost_pct"), F.round("gross_pct", 4).alias("gross_pct"))
@@ -54,7 +54,7 @@ def g41(spark, d):
 
 @query("g45_leg_audit", sql(f""", {PNL} SELECT side, count(*) AS n, round(avg(weight), 6) AS mean_weight, round(sum(gross_pnl), 2) AS total, round(avg(gross_pnl), 2) AS mean FROM bc GROUP BY 1""", "px", "ev"))
 def g45(spark, d):
-    led, _ = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    led, _ = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     legs = led.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean_weight"), F.sum("gross_pnl").alias("total"), F.avg("gross_pnl").alias("mean"))
     return legs.select("side", "n", F.round("mean_weight", 6).alias("mean_weight"), F.round("total", 2).alias("total"), F.round("mean", 2).alias("mean"))
 

@@ -191,13 +191,13 @@ PNL = f"""{SIZED}, {RET}, pos AS (SELECT *, CAST(unnest(generate_series(entry_da
 
 @query("g07_backtest_ledger", sql(f""", {PNL} SELECT event_id, side, round(gross_pnl, 2) AS gross_pnl, round(cost, 3) AS cost FROM bc""", "px", "ev"))
 def g07(spark, d):
-    led, _ = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    led, _ = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     return led.select("event_id", "side", F.round("gross_pnl", 2).alias("gross_pnl") + 0.0, F.round("cost", 3).alias("cost")).toDF("event_id", "side", "gross_pnl", "cost")
 
 
 @query("r08_backtest_daily", sql(f""", {PNL}, al AS (SELECT date, pnl FROM pnl UNION ALL SELECT entry_date, -cost / 2 FROM bc UNION ALL SELECT exit_date, -cost / 2 FROM bc) SELECT date, round(sum(pnl), 2) AS pnl FROM al GROUP BY 1""", "px", "ev"))
 def r08(spark, d):
-    _, daily = B.backtest(B.daily_positions(sized(spark, d)), X.returns(A.prices(spark, d)))
+    _, daily = B.backtest(sized(spark, d), X.returns(A.prices(spark, d)))
     return rounded(daily.select("date", "pnl"), 2)
 
 

@@ -1,11 +1,15 @@
 """Ranks and medians by ranges against plain Python."""
 
+import math
 import random
 import statistics
 
+import pytest
+
 from driftline.functions.stats import signed_ranks
 from driftline.operators import trading as B
-from driftline.operators.ranks import medians, value_counts, with_before
+from driftline.operators import ranks
+from driftline.operators.ranks import summaries, value_counts, with_before
 
 
 def rows_of(rng, groups=("a", "b", "c"), n=900):
@@ -21,8 +25,29 @@ def test_before_and_medians(spark):
             known.setdefault(g, []).append(x)
     for r in with_before(value_counts(df, ["g"], "x"), ["g"], "x").collect():
         assert (r.before, r.total, r.n) == (sum(y < r.x for y in known[r.g]), len(known[r.g]), sum(y == r.x for y in known[r.g]))
-    assert {r.g: r.median for r in medians(value_counts(df, ["g"], "x"), ["g"], "x").collect()} == {g: statistics.median(xs) for g, xs in known.items()}
-    assert medians(value_counts(df.limit(0), ["g"], "x"), ["g"], "x").count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 3])
+def test_quantiles_by_narrowing(spark, monkeypatch, accuracy):
+    """Exact whatever the sketch: with an accuracy of 3 its cuts are far off."""
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rows = rows_of(random.Random(7)) + [("d", 1.5), ("e", None), ("f", 2.0), ("f", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = {"low": 0.0, "p10": 0.1, "median": 0.5, "p75": 0.75, "top": 1.0}
+    got = {r.g: r for r in summaries(df, ["g"], "x", at).collect()}
+    known = {}
+    for g, x in rows:
+        if x is not None:
+            known.setdefault(g, []).append(x)
+    assert set(got) == set(known)
+    for g, xs in known.items():
+        r, xs = got[g], sorted(xs)
+        assert (r.n, r.pos, r.neg, r.low, r.top) == (len(xs), sum(x > 0 for x in xs), sum(x < 0 for x in xs), xs[0], xs[-1])
+        assert math.isclose(r.mean, statistics.fmean(xs), abs_tol=1e-9) and math.isclose(r.median, statistics.median(xs), abs_tol=1e-12)
+        for name, q in at.items():
+            k = q * (len(xs) - 1)
+            assert math.isclose(r[name], xs[math.floor(k)] + (xs[math.ceil(k)] - xs[math.floor(k)]) * (k - math.floor(k)), abs_tol=1e-12)
+    assert summaries(df.limit(0), ["g"], "x").count() == 0
 
 
 def test_signed_ranks(spark):
