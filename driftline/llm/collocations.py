@@ -4,10 +4,11 @@ A shard is a few megabytes of text of one language as word ids, with breaks betw
 built by prefix doubling in numpy, ordered by as many words as the longest phrase has; intervals of common prefixes are
 its n-grams with their counts.  Spark merges the counts of all shards by language and phrase.
 
-A phrase cannot be more frequent than its parts.  So there are three rounds over the written shards: words; pairs of
-frequent words; longer phrases all of whose pairs are frequent.  What is frequent reaches the shards as a bit
-filter of at most ``MOST_BITS``, whatever the data: it never loses a frequent key, and what it lets through in excess is
-dropped by the merged counts, so every count is exact and a full filter costs shuffle only.
+A phrase cannot be more frequent than its parts.  So there are four rounds over the written shards: words are
+counted by hash; then pairs of words with frequent hashes and triples of such pairs, by hash; then all phrases whose parts
+of up to three words have frequent hashes, by the phrases themselves.  Hashes reach the shards as a bit filter of at most ``MOST_BITS``, whatever the data: it
+never loses a frequent key, and what it lets through in excess is dropped by the merged counts of the last round, so
+every count is exact and a full filter costs shuffle only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
 #: Bytes of text in a shard, bits of a filter at least and at most (32 MB), and filter bits for each key.
-SHARD_BYTES, LEAST_BITS, MOST_BITS, BITS_PER_KEY = 5_000_000, 1 << 16, 1 << 28, 16
+SHARD_BYTES, LEAST_BITS, MOST_BITS, BITS_PER_KEY = 4_000_000, 1 << 16, 1 << 28, 16
+#: Keys are the upper 40 bits of hashes.
+KEY_SHIFT = np.uint64(24)
+#: Words of the longest parts that are counted by hash first.
+KNOWN = 3
 #: Parts into which the candidates of a language are dealt.
 SALTS = 64
 
@@ -126,132 +131,144 @@ def interval_counts(order: np.ndarray, common: np.ndarray, room: np.ndarray, len
     return order[starts[whole]], counts[whole]
 
 
-def room_in_pieces(ids: np.ndarray, joined: np.ndarray, depth: int) -> np.ndarray:
-    """Words from each position to the end of its run, at most ``depth``; ``joined`` tells if a word goes on with the next."""
-    room = np.where(ids >= 0, 1, 0).astype(np.int8)
+def reaching(room: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
+    """Words from each position that phrases may have, at most ``depth``: one more than the next position's where a known part begins."""
     for _ in range(depth - 1):
-        after = np.append(room[1:], 0)
-        room = np.where(joined & (ids >= 0), np.minimum(1 + after, depth), room).astype(np.int8)
+        room = np.where(begins, np.minimum(1 + np.append(room[1:], 0), depth), room).astype(np.int8)
     return room
 
 
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    digest, start = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode())
+    return np.fromiter((digest(w, start) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def gram_hashes(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the phrases at some positions, from those of their words."""
+    out = hashes[ids[at]]
+    for k in range(1, length):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[ids[at + k]]
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return out
+
+
 @dataclass
 class KeyFilter:
-    """Bits of hashed keys; absent for certain where a bit is missing."""
+    """Bits of hashed keys; a key is absent for certain where one of its two bits is missing."""
 
     bits: np.ndarray
 
     @staticmethod
-    def hashed(langs: list[str], phrases: list[bytes]) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        starts = {lang: digest(lang.encode()) for lang in set(langs)}
-        return np.fromiter((digest(p, starts[lang]) for lang, p in zip(langs, phrases)), np.uint64, len(phrases))
-
-    @staticmethod
-    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes % np.uint64(size)).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size)).astype(np.int64)
+    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = keys.astype(np.uint64)
+        other = keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+        return (keys % np.uint64(size)).astype(np.int64), (other % np.uint64(size)).astype(np.int64)
 
-    def has(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        one, two = self.places(self.hashed([lang] * len(phrases), phrases), len(self.bits) * 8)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        one, two = self.places(hashes >> KEY_SHIFT, len(self.bits) * 8)
         bit = lambda at: (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         return (bit(one) & bit(two)).astype(bool)
 
 
-def key_filter(frequent: DataFrame) -> KeyFilter:
-    """The filter of all (lang, phrase); its bytes are set in Spark and collected, at most ``MOST_BITS`` / 8 of them."""
-    wanted = frequent.count() * BITS_PER_KEY
-    size = LEAST_BITS
+def key_filter(counts: DataFrame, least: int) -> KeyFilter:
+    """The filter of all keys whose counts (key, f) sum to ``least``; its bits are set in Spark and collected, at most ``MOST_BITS``."""
+    frequent = materialize(counts.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key"), "keys")
+    wanted, size = frequent.count() * BITS_PER_KEY, LEAST_BITS
     while size < min(wanted, MOST_BITS):
         size *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size // 64, np.uint64)
         for batch in batches:
-            hashes = KeyFilter.hashed(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
-            for at in KeyFilter.places(hashes, size):
+            for at in KeyFilter.places(batch.column(0).to_numpy(), size):
                 np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         at = np.flatnonzero(own)
         yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(own[at].view(np.int64))], names=["at", "bits"])
 
-    rows = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = frequent.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return KeyFilter(bits.view(np.uint8))
 
 
-def _phrases(words: pa.Array, ids: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
-    parts = [words.take(pa.array(ids[at + k])) for k in range(length)]
-    return parts[0] if length == 1 else pc.binary_join_element_wise(*parts, " ")
+def grams(ids: np.ndarray, hashes: np.ndarray, filters: list[KeyFilter], longest: int, shortest: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(word ids, first positions, counts, length) of a shard's phrases of ``shortest`` to ``longest`` words whose parts are all known.
 
-
-def shard_counts(ids: np.ndarray, words: pa.Array, lang: str, known_words: KeyFilter, known_pairs: KeyFilter | None, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of a shard: pairs of known words, or with known pairs the phrases of 3 to ``longest`` words made of them."""
-    known = np.append(known_words.has(lang, words.cast(pa.binary()).to_pylist()), False)
-    ids = np.where(known[ids], ids, -1).astype(np.int32)
-    joined = np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False) if len(ids) else np.zeros(0, bool)
-    room = room_in_pieces(ids, joined, 2)
-    order, common = suffix_order(ids, room, 2)
-    at, counts = interval_counts(order, common, room, 2)
-    pairs = _phrases(words, ids, at, 2)
-    if known_pairs is None:
-        yield pairs, counts
-        return
-    # Every suffix that begins with a known pair goes on; all others end after their word.
-    good = known_pairs.has(lang, pairs.cast(pa.binary()).to_pylist())
-    begins = np.zeros(len(ids), bool)
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    for first, n in zip(place[at[good]].tolist(), counts[good].tolist()):
-        begins[order[first : first + n]] = True
-    room = room_in_pieces(ids, begins, longest)
-    held = np.flatnonzero(room >= 3)
-    if not len(held):
-        return
-    # Only positions in runs of three words or more stay; runs stay apart by the room that each has.
-    stay = np.zeros(len(ids), bool)
-    for k in range(longest):
-        stay[held[room[held] > k] + k] = True
-    at = np.flatnonzero(stay)
-    ids, room = ids[at], room[at]
+    Filter i knows the parts of i + 1 words.
+    """
+    known = np.append(filters[0].has(hashes), False)[ids]
+    begins = np.append(known[:-1] & known[1:], False) if len(ids) else np.zeros(0, bool)
+    # Only known words stay; where the next one is no neighbour, ``begins`` says so.
+    ids, begins = ids[known], begins[known]
+    room = np.ones(len(ids), np.int8)
+    for k, known_parts in enumerate(filters[1:], 2):
+        room = reaching(room, begins, k)
+        order, common = suffix_order(ids, room, k)
+        at, counts = interval_counts(order, common, room, k)
+        good = known_parts.has(gram_hashes(ids, hashes, at, k))
+        # Suffixes that begin with a known part are intervals of the suffix array.
+        place, edges = np.empty(len(ids), np.int64), np.zeros(len(ids) + 1, np.int64)
+        place[order] = np.arange(len(ids))
+        np.add.at(edges, place[at[good]], 1)
+        np.add.at(edges, place[at[good]] + counts[good], -1)
+        begins = np.zeros(len(ids), bool)
+        begins[order] = np.cumsum(edges[:-1]) > 0
+        room = np.minimum(room, k - 1)
+    room = reaching(room, begins, longest)
     order, common = suffix_order(ids, room, longest)
-    for length in range(3, longest + 1):
-        first, counts = interval_counts(order, common, room, length)
-        if len(first):
-            yield _phrases(words, ids, first, length), counts
+    for length in range(shortest, longest + 1):
+        yield ids, *interval_counts(order, common, room, length), length
 
 
-def _round(shards: DataFrame, known_words: KeyFilter, known_pairs: KeyFilter | None, longest: int) -> DataFrame:
-    shared = shards.sparkSession.sparkContext.broadcast((known_words, known_pairs))
+def _phrases(words: pa.Array, ids: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+    parts = [words.take(pa.array(ids[at + k])) for k in range(length)]
+    return parts[0] if length == 1 else pc.binary_join_element_wise(*parts, " ")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_filter, pairs_filter = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang = batch.column(0)[i].as_py()
-                ids, words = batch.column(1)[i].values.to_numpy(zero_copy_only=False), batch.column(2)[i].values
-                for phrases, counts in shard_counts(ids, words, lang, words_filter, pairs_filter, longest):
-                    for start in range(0, len(phrases), 65_536):
-                        part = phrases.slice(start, 65_536)
-                        yield pa.record_batch([pa.array([lang] * len(part)), part, pa.array(counts[start : start + len(part)].astype(np.int64))], names=["lang", "phrase", "f"])
 
-    return shards.select("lang", "ids", "words").mapInArrow(run, "lang string, phrase string, f long")
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy(zero_copy_only=False), batch.column(2)[i].values, batch.column(3)[i].values.to_numpy(zero_copy_only=False)
 
 
-def _frequent(counts: DataFrame, least: int, name: str) -> DataFrame:
-    return materialize(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), name)
+def _keys(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(hashes), 65_536):
+        keys = (hashes[i : i + 65_536] >> KEY_SHIFT).astype(np.int64)
+        yield pa.record_batch([pa.array(keys), pa.array(counts[i : i + 65_536].astype(np.int64))], names=["key", "f"])
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to ``longest`` words with f >= ``least``, and (lang, n) of all words."""
     shards = materialize(word_shards(docs, lang_col, text_col), "shards")
+    send = shards.sparkSession.sparkContext.broadcast
+
+    def words_by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, words, counts in _shards_of(batches):
+            yield from _keys(word_hashes(lang, words), counts)
+
+    filters = [key_filter(shards.mapInArrow(words_by_hash, "key long, f long"), least)]
+    for k in range(2, min(KNOWN, longest) + 1):
+        known = send(filters)
+
+        def by_hash(batches: Iterator[pa.RecordBatch], k: int = k, known=known) -> Iterator[pa.RecordBatch]:
+            for lang, ids, words, _ in _shards_of(batches):
+                hashes = word_hashes(lang, words)
+                for own, first, counts, length in grams(ids, hashes, known.value, k, k):
+                    yield from _keys(gram_hashes(own, hashes, first, length), counts)
+
+        filters = [*filters, key_filter(shards.mapInArrow(by_hash, "key long, f long"), least)]
+    known = send(filters)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, words, _ in _shards_of(batches):
+            for own, first, counts, length in grams(ids, word_hashes(lang, words), known.value, longest):
+                for i in range(0, len(first), 65_536):
+                    part = _phrases(words, own, first[i : i + 65_536], length)
+                    yield pa.record_batch([pa.array([lang] * len(part)), part, pa.array(counts[i : i + 65_536].astype(np.int64))], names=["lang", "phrase", "f"])
+
+    merged = shards.mapInArrow(phrases, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
-    words = _frequent(shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("f")), least, "words")
-    known_words = key_filter(words)
-    pairs = _frequent(_round(shards, known_words, None, longest), least, "pairs")
-    found = words.unionByName(pairs)
-    if longest > 2:
-        found = found.unionByName(_frequent(_round(shards, known_words, key_filter(pairs), longest), least, "phrases"))
-    return found, totals
+    return materialize(merged.where(F.col("f") >= least), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

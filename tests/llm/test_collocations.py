@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftline.llm import collocations as c
@@ -61,7 +62,7 @@ def test_suffix_order_is_the_order_of_words():
     rng = np.random.default_rng(4)
     for _ in range(30):
         ids = rng.integers(-1, 4, rng.integers(0, 80)).astype(np.int32)
-        room = c.room_in_pieces(ids, np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False) if len(ids) else np.zeros(0, bool), 5)
+        room = c.reaching((ids >= 0).astype(np.int8), np.append((ids[:-1] >= 0) & (ids[1:] >= 0), False) if len(ids) else np.zeros(0, bool), 5)
         order, common = c.suffix_order(ids, room, 5)
         cut = [tuple(ids[i : i + room[i]].tolist()) for i in order]
         assert cut == sorted(cut) and len(set(order.tolist())) == len(ids)
@@ -72,10 +73,12 @@ def test_suffix_order_is_the_order_of_words():
 
 
 def test_filter_never_loses_a_key(spark):
-    rows = [("en", f"w{i}") for i in range(3000)] + [("de", f"w{i}") for i in range(0, 3000, 7)]
-    known = c.key_filter(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert known.has("en", [f"w{i}".encode() for i in range(3000)]).all() and known.has("de", [f"w{i}".encode() for i in range(0, 3000, 7)]).all()
-    assert known.has("fr", [f"w{i}".encode() for i in range(3000)]).mean() < 0.1
+    hashes = c.word_hashes("en", pa.array([f"w{i}" for i in range(4000)]))
+    keys = (hashes[:3000] >> c.KEY_SHIFT).astype(np.int64).tolist()
+    rows = [(k, 1 + i % 2) for i, k in enumerate(keys)] + [(k, 1) for k in keys[::2]]
+    known = c.key_filter(spark.createDataFrame(rows, "key long, f long"), 2)
+    assert known.has(hashes[:3000]).all() and known.has(hashes[3000:]).mean() < 0.1
+    assert c.key_filter(spark.createDataFrame(rows, "key long, f long"), 3).has(hashes).mean() == 0
 
 
 def test_long_texts_are_cut_where_pieces_end(monkeypatch):
