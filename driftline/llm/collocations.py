@@ -30,7 +30,7 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
 #: Bytes of text in a shard, bits of a filter at least and at most (32 MB), and filter bits for each key.
-SHARD_BYTES, LEAST_BITS, MOST_BITS, BITS_PER_KEY = 4_000_000, 1 << 16, 1 << 28, 16
+SHARD_BYTES, LEAST_BITS, MOST_BITS, BITS_PER_KEY = 2_000_000, 1 << 16, 1 << 28, 16
 #: Keys are the upper 40 bits of hashes.
 KEY_SHIFT = np.uint64(24)
 #: Words of the longest parts that are counted by hash first.
