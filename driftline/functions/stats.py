@@ -12,7 +12,7 @@ from driftline.operators.ranks import moments, value_counts, with_before
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
+    """Regularised incomplete beta function by its continued fraction: about the root of max(a, b) steps."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
     if x > (a + 1) / (a + b + 2):
@@ -20,7 +20,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
     f = d
-    for m in range(1, 300):
+    for m in range(1, 1000 + int(20 * math.sqrt(max(a, b)))):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 / (1 + term * d), 1 + term / c
             f *= c * d
@@ -35,10 +35,9 @@ def t_p(t: float, df: float) -> float:
 
 
 def sign_p(k: int, n: int) -> float:
-    """Exact two-sided binomial p at one half."""
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
+    """Exact two-sided binomial p at one half: a tail of the binomial is an incomplete beta function."""
     tail = min(k, n - k)
-    return min(1.0, 2 * sum(math.exp(log(i)) for i in range(tail + 1))) if n else float("nan")
+    return min(1.0, 2 * incomplete_beta(n - tail, tail + 1, 0.5)) if n else float("nan")
 
 
 def wilcoxon_p(w: float, n: int, ties: float) -> float:

@@ -333,10 +333,21 @@ def f27(spark, d):
     return ledger(spark, d).where("reason = 'ok'").groupBy("action", "exit").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sided_ret") > 0).alias("positive"))
 
 
-@query("r27_significance")
+#: p-values by other ways than the library's: beta and error functions as series of positive terms, the sign test as a sum over its tail.
+P_VALUES = """s AS (SELECT action, "exit", count(*) AS n, avg(sided_ret) AS mean, avg(sided_ret) / (stddev_samp(sided_ret) / sqrt(count(*))) AS t, count(*) FILTER (WHERE sided_ret > 0) AS pos, count(*) FILTER (WHERE sided_ret < 0) AS neg
+   FROM led WHERE reason = 'ok' GROUP BY 1, 2),
+  rk AS (SELECT action, "exit", sided_ret AS x, rank() OVER (PARTITION BY action, "exit" ORDER BY abs(sided_ret)) AS r, count(*) OVER (PARTITION BY action, "exit", abs(sided_ret)) AS c FROM led WHERE reason = 'ok' AND sided_ret <> 0),
+  w AS (SELECT action, "exit", CAST(count(*) AS DOUBLE) AS m, sum(CASE WHEN x > 0 THEN r + (c - 1) / 2.0e0 ELSE 0 END) AS w, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM rk GROUP BY 1, 2),
+  z AS (SELECT s.*, abs(w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) / sqrt(2.0e0) AS z, t * t / (n - 1 + t * t) AS x, (n - 1) / 2.0e0 AS b, least(pos, neg) AS tail, pos + neg AS signs FROM s JOIN w USING (action, "exit"))
+  SELECT action, "exit", n, round(mean, 6) AS mean, round(t, 6) AS t,
+   round(CASE WHEN abs(t) > 40 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 3000), lambda i: exp(lgamma(0.5e0 + b + i) - lgamma(b) - lgamma(1.5e0 + i) + (0.5e0 + i) * ln(x) + b * ln(1 - x)))) END, 6) AS t_p,
+   round(CASE WHEN z > 8 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 400), lambda i: exp(-z * z + (2 * i + 1) * ln(z) - lgamma(i + 1.5e0)))) END, 6) AS wilcoxon_p,
+   round(least(1.0e0, 2 * list_sum(list_transform(range(0, tail + 1), lambda i: exp(lgamma(signs + 1) - lgamma(i + 1) - lgamma(signs - i + 1) - signs * ln(2.0e0))))), 6) AS sign_p FROM z"""
+
+
+@query("r27_significance", sql(f""", {LEDGER}, {P_VALUES}""", "px", "ev"))
 def r27(spark, d):
-    """Statistics with p-values (no SQL twin for these; the statistics alone have one)."""
-    return S.significance(ledger(spark, d).where("reason = 'ok'").select("action", "exit", "sided_ret"), ["action", "exit"], "sided_ret")
+    return rounded(S.significance(ledger(spark, d).where("reason = 'ok'").select("action", "exit", "sided_ret"), ["action", "exit"], "sided_ret"), 6)
 
 
 RAW = "t AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN ' bhp.ax ' WHEN 1 THEN 'Bhp AU Equity' WHEN 2 THEN 'r i o.AU' WHEN 3 THEN 'x/y' WHEN 4 THEN 'BAD-TICKER!!!' ELSE 'ab' || p_size END AS raw FROM part)"

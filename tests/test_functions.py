@@ -44,3 +44,15 @@ def test_p_values():
     assert math.isclose(S.sign_p(1, 5), 0.375) and S.sign_p(5, 10) == 1.0
     assert math.isclose(S.wilcoxon_p(0, 6, 0), 0.03125)
     assert math.isclose(S.wilcoxon_p(1275 - 400, 50, 0), S.wilcoxon_p(400, 50, 0))
+
+
+def test_sign_test_of_any_size():
+    """The tail as a sum, and a tail of half a billion without one; the normal approximation is good there."""
+    tail = lambda k, n: 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n
+    for n in (1, 2, 7, 40, 333):
+        for k in range(0, n + 1, max(1, n // 9)):
+            assert math.isclose(S.sign_p(k, n), min(1.0, tail(k, n)), rel_tol=1e-9)
+    n = 10**9
+    k = n // 2 - 20_000
+    assert math.isclose(S.sign_p(k, n), math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 4) / math.sqrt(2)), rel_tol=1e-3)
+    assert math.isnan(S.sign_p(0, 0))
