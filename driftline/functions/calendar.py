@@ -56,7 +56,11 @@ def index_windows(spark: SparkSession, index: str, frequencies: dict[str, str],
 
 def rebalance_calendar(spark: SparkSession, start: str, end: str, months: tuple[int, ...] = MONTHS) -> DataFrame:
     """month, announcement, effective, reference for every rebalance month whose effective date is in [start, end]."""
-    bounds = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))
+    return calendar_between(spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b")), months)
+
+
+def calendar_between(bounds: DataFrame, months: tuple[int, ...] = MONTHS) -> DataFrame:
+    """``rebalance_calendar`` between the dates a and b of each row, as a table's own first and last days; null dates give nothing."""
     every = bounds.select("a", "b", F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))).alias("month"))
     return (
         every.where(F.month("month").isin(*months))

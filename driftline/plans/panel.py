@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.functions.calendar import bday_add, nth_weekday, rebalance_calendar
+from driftline.functions.calendar import bday_add, calendar_between, nth_weekday
 from driftline.functions.costs import impact_bps, study_cost_bps
 from driftline.operators import features as X
 from driftline.operators import metrics as M
@@ -325,10 +325,13 @@ def f04(spark, d):
     return months.select("month", nth_weekday(F.col("month"), "FRI", 3).alias("third_friday"))
 
 
-@query("f07_calendar", """WITH m AS (SELECT CAST(x AS DATE) AS month FROM generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) AS g(x) WHERE month(x) IN (3, 6, 9, 12)), f AS (SELECT month, month + CAST((5 - isodow(month) + 7) % 7 AS INTEGER) AS ff FROM m)
-  SELECT month, ff AS announcement, ff + 14 AS effective, ff - 14 AS reference FROM f WHERE ff + 14 BETWEEN DATE '1992-01-01' AND DATE '1998-12-31'""")
+@query("f07_calendar", """WITH o AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
+  m AS (SELECT a, b, CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE) AS month FROM o), f AS (SELECT *, month + CAST((5 - isodow(month) + 7) % 7 AS INTEGER) AS ff FROM m WHERE month(month) IN (3, 6, 9, 12))
+  SELECT month, ff AS announcement, ff + 14 AS effective, ff - 14 AS reference FROM f WHERE ff + 14 BETWEEN a AND b""")
 def f07(spark, d):
-    return rebalance_calendar(spark, "1992-01-01", "1998-12-31")
+    """The calendar of the days that the orders cover."""
+    day = F.to_date("o_orderdate")
+    return calendar_between(A.read(spark, d, "orders").agg(F.min(day).alias("a"), F.max(day).alias("b")))
 
 
 @query("f09_bday", f"""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT d, {bday_sql('d', 1)} AS p1, {bday_sql('d', 10)} AS p10, {bday_sql('d', 0)} AS p0, {bday_sql('d', -1)} AS m1, {bday_sql('d', -63)} AS m63 FROM e""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import metrics as M
 from driftline.operators import models as ML
-from driftline.operators.quality import Thresholds
+from driftline.operators.quality import Thresholds, severity
 from driftline.plans.panel import CUM, RET, SMALL, rounded, small_returns
 from driftline.sources import adapters as A
 from driftline.sources import files as S
@@ -107,13 +107,16 @@ def h04(spark, d):
     return rounded(spark.read.schema("date date, bench double, ticker string, source string, note string").option("header", True).csv(folder), 6)
 
 
-@query("h08_thresholds", "SELECT 0.5e0 AS low, 2.0e0 AS medium, 7.5e0 AS high, 3 AS stale, 25.0e0 AS jump")
+@query("h08_thresholds", """WITH x AS (SELECT CAST(round(l_discount * 100) AS INTEGER) AS p FROM lineitem), t AS (SELECT min(p) + 1 AS low, (min(p) + max(p)) // 2 AS medium, max(p) - 1 AS high FROM x)
+  SELECT CASE WHEN p >= high THEN 'high' WHEN p >= medium THEN 'medium' WHEN p >= low THEN 'low' ELSE 'none' END AS severity, count(*) AS n, 25.0e0 AS jump FROM x, t GROUP BY 1""")
 def h08(spark, d):
-    """Settings from a file; what it does not name keeps its default."""
+    """Settings that a job has written to a file, from the table's own range, applied to the table; what the file does not name keeps its default."""
     folder = S.new_folder(spark, "settings")
-    S.write_json(spark.range(1).select(F.array(F.lit(0.5), F.lit(2.0), F.lit(7.5)).alias("price"), F.lit(3).alias("stale")), folder)
+    discounts = A.read(spark, d, "lineitem").select(F.round(F.col("l_discount") * 100).cast("int").alias("p"))
+    low, high = F.min("p"), F.max("p")
+    S.write_json(discounts.agg(F.array(low + 1, F.floor((low + high) / 2).cast("int"), high - 1).alias("price")), folder)
     t = S.load_settings(spark, folder, Thresholds)
-    return spark.range(1).select(*[F.lit(x).alias(n) for x, n in zip(t.price, ("low", "medium", "high"))], F.lit(t.stale).alias("stale"), F.lit(t.jump).alias("jump"))
+    return discounts.groupBy(severity(F.col("p"), t.price).alias("severity")).agg(F.count(F.lit(1)).alias("n")).withColumn("jump", F.lit(t.jump))
 
 
 def _classified(spark, d):

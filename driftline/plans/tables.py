@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.calendar import index_windows
+from driftline.functions.calendar import calendar_between, rebalance_months
 from driftline.operators import eventstudy as V
 from driftline.operators import features as X
 from driftline.operators import metrics as M
@@ -153,9 +153,13 @@ def tier_table(spark):
 TIER_SQL = "tiers(tier, target, add_buffer, del_buffer, parent) AS (VALUES ('T50', 50, NULL, NULL, 'T100'), ('T100', 100, NULL, NULL, 'T200'), ('T200', 200, 179, 221, 'T300'))"
 
 
-@query("r01_tier_parameters", f"WITH {TIER_SQL} SELECT tier, target, add_buffer, del_buffer, parent FROM tiers")
+@query("r01_tier_parameters", sql(f""", {TIER_SQL}, c AS (SELECT tier, count(*) AS events, count(DISTINCT ticker) AS tickers FROM ev GROUP BY 1)
+  SELECT tier, target, coalesce(add_buffer, target) AS enters_to, coalesce(del_buffer, target) AS leaves_from, parent, events, tickers FROM c JOIN tiers USING (tier)""", "ev"))
 def r01(spark, d):
-    return tier_table(spark)
+    """Parameters of the tiers that events name, with the events and tickers that they apply to."""
+    used = A.events(spark, d).groupBy("tier").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("ticker").alias("tickers"))
+    limit = lambda c: F.coalesce(F.col(c), F.col("target"))
+    return used.join(F.broadcast(tier_table(spark)), "tier").select("tier", "target", limit("add_buffer").alias("enters_to"), limit("del_buffer").alias("leaves_from"), "parent", "events", "tickers")
 
 
 FIRMS = """sup AS (SELECT c_custkey AS s, c_acctbal AS size FROM customer), rk AS (SELECT 'C' || lpad(CAST(s AS VARCHAR), 9, '0') AS ticker, CAST(row_number() OVER (ORDER BY size DESC NULLS LAST, s) AS INTEGER) AS fmc_rank, s % 7 <> 0 AS liquidity_pass, s FROM sup)"""
@@ -279,15 +283,19 @@ def r27(spark, d):
 
 
 #: Frequencies of the calendar query, by name.
-FREQUENCIES = {"T200": "quarterly", "T300": "semi-annual", "ALL": "annual"}
+FREQUENCIES = {"T50": "annual", "T100": "semi-annual", "T200": "quarterly"}
 
 
-@query("f06_r06_index_windows", """WITH m AS (SELECT CAST(x AS DATE) AS month FROM generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) AS g(x) WHERE month(x) IN (3, 6, 9, 12)),
-  f AS (SELECT month, month + CAST((5 - isodow(month) + 7) % 7 AS INTEGER) AS ff FROM m), i(index, months) AS (VALUES ('T200', [3, 6, 9, 12]), ('T300', [3, 9]), ('ALL', [6]))
-  SELECT index, month, ff AS announcement, ff + 14 AS effective FROM f, i WHERE list_contains(months, month(month)) AND ff + 14 <= DATE '1998-12-31'""")
+@query("f06_r06_index_windows", sql(""", o AS (SELECT tier, min(ann) AS a, max(eff) AS b FROM ev GROUP BY 1), m AS (SELECT tier, a, b, CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE) AS month FROM o),
+  f AS (SELECT *, month + CAST((5 - isodow(month) + 7) % 7 AS INTEGER) AS ff FROM m), i(tier, months) AS (VALUES ('T200', [3, 6, 9, 12]), ('T100', [3, 9]), ('T50', [6])),
+  w AS (SELECT tier, month, ff AS announcement, ff + 14 AS effective FROM f JOIN i USING (tier) WHERE list_contains(months, month(month)) AND ff + 14 BETWEEN a AND b)
+  SELECT w.tier AS index, month, announcement, effective, count(event_id) AS events FROM w LEFT JOIN ev ON ev.tier = w.tier AND ev.ann >= announcement AND ev.ann < effective GROUP BY 1, 2, 3, 4""", "ev"))
 def f06(spark, d):
-    out = None
-    for index in FREQUENCIES:
-        rows = index_windows(spark, index, FREQUENCIES, "1992-01-01", "1998-12-31").select(F.lit(index).alias("index"), "month", "announcement", "effective")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Windows of each tier over the days that its own events cover, with the events announced inside each window."""
+    ev, out = A.events(spark, d).select("event_id", "tier", "ann", "eff"), None
+    for index, frequency in FREQUENCIES.items():
+        own = calendar_between(ev.where(F.col("tier") == index).agg(F.min("ann").alias("a"), F.max("eff").alias("b")), rebalance_months(frequency)).select(F.lit(index).alias("index"), "month", "announcement", "effective")
+        out = own if out is None else out.unionByName(own)
+    days = out.select("*", F.explode(F.sequence("announcement", F.date_sub("effective", 1))).alias("ann"))
+    told = ev.groupBy(F.col("tier").alias("index"), "ann").agg(F.count(F.lit(1)).alias("n"))
+    return days.join(told, ["index", "ann"], "left").groupBy("index", "month", "announcement", "effective").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
