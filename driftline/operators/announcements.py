@@ -20,6 +20,8 @@ DATED_EFFECTIVE = r"(?i)effective\s+(?:prior to the open(?:\s+of trading)?\s+on|
 HEADER = r"S&P/ASX\s*(300|200|100|50|20|All\s+Australian\s+200|All\s+Australian\s+50|All\s+Technology|All\s+Ordinaries)\b\s*Index\s*[^\w\s]\s*([^\n]*)"
 ONE_DATE = r"(?i)S&P/ASX\s*200(?:\s*Index)?\s*[–—\-]\s*[A-Za-z ]*?\s*" + DATE
 ONE_START, ONE_NEXT = r"S&P/ASX\s*200(?:\s*Index)?\s*[–—\-]\s*Effective", r"S&P/ASX\s*(?:50|100|300|All Ordinaries)\s*(?:Index)?\s*[–—\-]\s*Effective"
+ONE_EFFECTIVE = r"(?i)effective[^,]*(?:on\s+(?:\w+,\s*)?|after\s+the\s+close\s+of\s+trading\s+on\s+)" + DATE
+ONE_ACTION = r"(?i)^\s*(?:S&P/ASX\s*200\s+)?(Addition|Removal|Deletion|Inclusion|Exclusion)\s+([A-Z0-9]{1,6})\s+(.+?)\s*$"
 ANY_SECTION = r"S&P/ASX\s*\d{2,3}\s*Index|All\s+Ordinaries|All\s+Australian\s*\d*|All\s+Technology|MidCap"
 ACTION = r"(?i)^\s*(?:S&P/ASX\s*(?:20|50|100|200|300)\s+)?(Addition|Removal|Deletion|Inclusion|Exclusion)\s+([A-Z0-9]{1,6})\s+(.+?)\s*$"
 ROW = r"(?i)^\s*(Addition|Removal|Deletion|Inclusion)\s+([A-Z0-9]{1,4})\s+(.+?)\s*$"
@@ -111,14 +113,16 @@ def one_index_events(files: DataFrame) -> DataFrame:
     """(file, text) -> file, announcement_date, effective_date, action, ticker, company_name of the 200 alone.
 
     Its section runs from a header that says Effective to the next such header of another tier; a file without one
-    is that section as a whole.  Files without an announcement date or any effective date give nothing.
+    is that section as a whole.  A line may name the 200 in front of its action, no other index.  This older layout
+    has no letter-spaced lines: they are read as they stand and match nothing.  Files without an announcement date or any
+    effective date give nothing; of several effective dates before the first comma the last counts.
     """
     text = F.coalesce("text", F.lit(""))
-    dated = files.select("file", first_date(text, ANNOUNCED).alias("announcement_date"), F.coalesce(first_date(text, EFFECTIVE), first_date(text, ONE_DATE)).alias("effective_date"), text.alias("text"))
+    dated = files.select("file", first_date(text, ANNOUNCED).alias("announcement_date"), F.coalesce(first_date(text, ONE_EFFECTIVE), first_date(text, ONE_DATE)).alias("effective_date"), text.alias("text"))
     after = F.regexp_extract("text", f"(?is)({ONE_START}.*)$", 1)
     body = F.when(after != "", F.regexp_replace(after, f"(?is){ONE_NEXT}.*$", "")).otherwise(F.col("text"))
     known = dated.where("announcement_date is not null and effective_date is not null").select("file", "announcement_date", "effective_date", body.alias("body"))
-    return action_lines(known, "body", ACTION).drop("body", "line_no")
+    return action_lines(known, "body", ONE_ACTION).drop("body", "line_no")
 
 
 def section_of_200(text: Column) -> Column:

@@ -85,8 +85,8 @@ def x07(spark, d):
   SELECT file, fann AS announcement_date, eff200 AS effective_date, action, ticker, company_name FROM o WHERE no % 11 <> 0 AND no % 5 <> 0 AND eff200 IS NOT NULL
   AND (no % 7 = 0 OR (no + 1) % 4 > 1 OR tier = 'T200' OR (tier = 'T50' AND (no + 2) % 4 > 1))""", "ev"))
 def x02(spark, d):
-    """Letter-spaced files are left out: this older layout has none."""
-    return N.one_index_events(releases(spark, d).where(F.regexp_extract("file", "([0-9]+)$", 1).cast("long") % 5 != 0))
+    """Over all files; letter-spaced ones, which this older layout does not have, give nothing."""
+    return N.one_index_events(releases(spark, d))
 
 
 def dated_files(spark, d) -> DataFrame:

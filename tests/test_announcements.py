@@ -55,3 +55,10 @@ def test_despace(spark):
     lines = ["S y d n e y ,  M a y  5 ,  2 0 1 4", "R e m o v a l A G O  A t l a s  I r o n", "a b c d", "Addition ABC Plain line of words", "", None]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").orderBy("i").select(despace(F.col("line"))).collect()]
     assert got == ["Sydney, May 5, 2014", "Removal AGO Atlas Iron", "a b c d", "Addition ABC Plain line of words", "", None]
+
+
+def test_one_index_has_patterns_of_its_own(spark):
+    """A line of the 300 is an event of the later layout only; of two dates without a comma between them the last counts."""
+    text = "SYDNEY, Jun 4, 2010\neffective on June 11 2010 and on June 18, 2010\nS&P/ASX 200 Addition AAA A Ltd\nS&P/ASX 300 Removal BBB B Ltd\nRemoval CCC C Ltd"
+    assert sorted((r.ticker, r.effective_date) for r in N.one_index_events(files(spark, text)).collect()) == [("AAA", datetime.date(2010, 6, 18)), ("CCC", datetime.date(2010, 6, 18))]
+    assert sorted((r.ticker, r.effective_date) for r in N.multi_index_events(files(spark, text)).collect()) == [(t, datetime.date(2010, 6, 11)) for t in ("AAA", "BBB", "CCC")]
