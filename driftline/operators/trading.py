@@ -103,15 +103,16 @@ def trade_ledger(events: DataFrame, panel: DataFrame, exits: tuple[int, ...] = (
     effective date.  Turnover is the median value traded from entry to exit.  Reasons in order: no_price_file, no_history_at_event, entry_gap, exit_gap,
     zero_or_negative_hold, illiquid_or_stale, zero_volume_endpoint, bad_price, ok.
     """
-    bars = panel.select("ticker", "date", F.col("adjusted_close").alias("px"), F.col("volume").alias("vol"), (F.col("close") * F.col("volume")).alias("value"))
+    # Bars feed two look-ups, the turnover and the first bars, and each look-up reads its facts twice: written once each.
+    bars = written(panel.select("ticker", "date", F.col("adjusted_close").alias("px"), F.col("volume").alias("vol"), (F.col("close") * F.col("volume")).alias("value")), "bars")
     first = bars.groupBy("ticker").agg(F.min("date").alias("first_bar"))
     wanted = events.select("event_id", "ticker", "action", "tier", "ann", "eff", bday_add(F.col("ann"), 1).alias("want_in"))
     entered = asof_lookup(wanted, bars, ["ticker"], "want_in", "date", ["px", "vol"], forward=True, tolerance_days=LATE_DAYS)
     entered = entered.withColumnsRenamed({"date_found": "entry_date", "px": "entry_px", "vol": "entry_vol"})
     choices = F.array(*[F.struct(F.lit(n).alias("exit"), bday_add(F.col("eff"), n).alias("want_out")) for n in exits])
-    spread = entered.withColumn("x", F.explode(choices)).select("*", "x.*").drop("x")
+    spread = written(entered.withColumn("x", F.explode(choices)).select("*", "x.*").drop("x"), "entered")
     left = asof_lookup(spread, bars, ["ticker"], "want_out", "date", ["px", "vol"], forward=True, tolerance_days=LATE_DAYS).withColumnsRenamed({"date_found": "exit_date", "px": "exit_px", "vol": "exit_vol"})
-    known = left.join(first, "ticker", "left")
+    known = written(left.join(first, "ticker", "left"), "left")
     hold = F.datediff("exit_date", "entry_date")
     known = with_turnover(known, bars)
     reason = (
