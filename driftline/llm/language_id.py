@@ -9,6 +9,8 @@ learned from a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +37,21 @@ SCRIPTS = (
 _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _KIND = np.array([_NAMES.index(n) for _, n in SCRIPTS])
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Combining marks and joiners as the inside of a character class: they continue a word and begin none."""
+    joins = lambda p: unicodedata.category(chr(p)) in ("Mn", "Mc") or p in (0x200C, 0x200D)
+    edges = [p for p in range(0x300, sys.maxunicode + 2) if (p <= sys.maxunicode and joins(p)) != joins(p - 1)]
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2]))
+
+
+_WORDS = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 _EDGE = 1  # code point that stands for the beginning and end of a word
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; a text with no letter has none."""
+    """Runs of letters with the marks and joiners that follow them, lower-cased; a text with no letter has none."""
     found = _WORDS.findall(text.lower()) if text else []
     if text and text.isascii():
         return found

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,6 +64,44 @@ def test_edges(spark):
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
 
 
+def plain_words(text):
+    """Walks the code points: a letter opens a word, letters, marks and joiners continue it."""
+    out, now = [], ""
+    for c in text.lower() + " ":
+        letter = c.isalnum() and not c.isdecimal() and not c.isdigit() or c.isdigit() and not c.isdecimal()
+        if letter or now and (unicodedata.category(c) in ("Mn", "Mc") or c in "\u200c\u200d"):
+            now += c
+        else:
+            out += [now] if any(x.isalpha() for x in now) else []
+            now = ""
+    return out
+
+
+def test_marks_stay_in_words():
+    """Devanagari, Bengali, Tamil, Thai, vowelled Arabic and Hebrew, decomposed Latin, a joiner, a mark without a letter."""
+    assert words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    assert words_of("বাংলা") == ["বাংলা"]
+    assert words_of("தமிழ் மொழி") == ["தமிழ்", "மொழி"]
+    assert words_of("ภาษาไทยที่ดี") == ["ภาษาไทยที่ดี"]
+    assert words_of("مُحَمَّد שָׁלוֹם") == ["مُحَمَّد", "שָׁלוֹם"]
+    assert words_of("Cafe\u0301s noir") == ["cafe\u0301s", "noir"]
+    assert words_of("می\u200cخواهم") == ["می\u200cخواهم"]
+    assert words_of("\u0301 1\u0301 \u200d") == []
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("aB é1_-\u0301\u093f\u0e34\u200dकதชע٣²") for _ in range(30))
+        assert words_of(text) == plain_words(text)
+
+
+def test_scripts_with_marks(spark):
+    """Hindi against Marathi and Tamil: words of one script are told apart by their whole n-grams; a very long text as well."""
+    hi, mr, ta = "यह हिन्दी में लिखा हुआ एक वाक्य है और इसमें शब्द हैं", "हे मराठीत लिहिलेले एक वाक्य आहे आणि त्यात शब्द आहेत", "இது தமிழில் எழுதப்பட்ட ஒரு வாக்கியம்"
+    rows = [(2, hi, "hi"), (3, mr, "mr"), (5, ta, "ta"), (20, "हिन्दी में शब्द हैं", None), (21, "मराठीत शब्द आहेत", None), (22, "ஒரு வாக்கியம்", None), (23, (mr + " ") * 20_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, learn(docs)).collect()}
+    assert [got[i] for i in (20, 21, 22, 23)] == ["hi", "mr", "ta", "mr"]
+
+
 def plain_buckets(word):
     points, out = [1, *map(ord, word), 1], []
     for n in range(1, L.LONGEST + 1):
