@@ -9,7 +9,6 @@ learned from a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,9 +39,9 @@ _KIND = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
 def _marks() -> str:
-    """Combining marks and joiners as the inside of a character class: they continue a word and begin none."""
-    joins = lambda p: unicodedata.category(chr(p)) in ("Mn", "Mc") or p in (0x200C, 0x200D)
-    edges = [p for p in range(0x300, sys.maxunicode + 2) if (p <= sys.maxunicode and joins(p)) != joins(p - 1)]
+    """Combining marks and joiners below 0x20000 (no script has its own above) as the inside of a character class: they continue a word and begin none."""
+    joins = [unicodedata.category(chr(p)) in ("Mn", "Mc") or p in (0x200C, 0x200D) for p in range(0x20000)]
+    edges = [p for p in range(1, len(joins)) if joins[p] != joins[p - 1]]
     return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2]))
 
 

@@ -6,6 +6,10 @@ names) or by spread (many rare siblings) become wildcards.  A branch is merged w
 be told from the rest of them: what follows it has the same distribution, and so has its bad share where both
 are labelled.  So labels reach pages without any through the wildcard they share.
 
+A rule that names path segments speaks for that branch alone: its author left the siblings out.  So those segments
+keep their names and merge with nothing, and the label counts from the last of them down, not above, where it
+would condemn or clear what the rule does not name.
+
 A page's template is rejected when its smoothed labelled purity reaches the threshold.  Purity is
 (bad + strength * prior) / (labelled + strength), where the prior of a node is the purity of its parent without
 the node's own labels, from the host (whose prior is a setting) down: a template without labels is judged by the
@@ -69,11 +73,11 @@ def path_of(url: Column) -> Column:
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Struct of the longest rule that fits (name, verdict), or null.  ``rules`` is a short list."""
-    out = F.lit(None).cast("struct<name:string,verdict:string>")
+    """Struct of the longest rule that fits (name, verdict, scope: path segments it names), or null.  ``rules`` is a short list."""
+    out = F.lit(None).cast("struct<name:string,verdict:string,scope:int>")
     for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        out = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(named_segments(r.path)).alias("scope"))).otherwise(out)
     return out
 
 
@@ -85,10 +89,15 @@ def shape(segment: Column) -> Column:
     return F.concat(F.when(variable, F.lit("*")).otherwise(stem), ending)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Shapes of the non-empty segments; those past ``depth`` are one tail ``**``."""
+def named_segments(path: str) -> int:
+    """How many segments of a rule's path stand in it, whole or begun."""
+    return sum(1 for s in path.split("/") if s)
+
+
+def segments(path: Column, depth: int, scope: Column | int = 0) -> Column:
+    """Shapes of the non-empty segments, the first ``scope`` as they are; those past ``depth`` are one tail ``**``."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, depth), shape)
+    head = F.transform(F.slice(parts, 1, depth), lambda s, i: F.when(i < scope, s).otherwise(shape(s)))
     return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
@@ -113,10 +122,16 @@ def _looks(here: DataFrame, level: int) -> DataFrame:
 def _grow(keys: DataFrame, level: int, s: TreeSettings) -> DataFrame:
     """One level of the tree: the segment at ``level`` is added to the prefix, and the node's counts and prior replace its parent's.
 
-    keys: host, shapes, prefix, n, labelled, bad (of the key), node_labelled, node_bad, prior (of the node at prefix).
+    keys: host, shapes, scope, prefix, n, labelled, bad (of the key), node_labelled, node_bad, prior (of the node at prefix).
+    Labels count in a node from the level that is their scope; those that begin to count here did not count in the parent.
     """
     here = keys.withColumn("segment", F.when(F.size("shapes") >= level, F.expr(f"element_at(shapes, {level})"))).where("segment is not null")
-    branches = here.groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    of_scope = lambda c, fits: F.sum(F.when(fits, F.col(c)).otherwise(0))
+    above, upto = F.col("scope") < level, F.col("scope") <= level
+    branches = here.groupBy("host", "prefix", "segment").agg(
+        F.sum("n").alias("n"), of_scope("labelled", above).alias("labelled"), of_scope("bad", above).alias("bad"),
+        of_scope("labelled", upto).alias("now_labelled"), of_scope("bad", upto).alias("now_bad"), (F.max("scope") >= level).alias("named"),
+    )
     parents = branches.groupBy("host", "prefix").agg(
         F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
     )
@@ -127,43 +142,46 @@ def _grow(keys: DataFrame, level: int, s: TreeSettings) -> DataFrame:
     same_share = F.when((F.col("labelled") > 0) & (rest > 0), z < s.z_bad).otherwise(F.lit(True))
     alike = (F.col("kids") > 1) & same_share & (F.coalesce("look", F.lit(0.0)) < s.z_look)
     variable = (F.col("kids") > s.siblings) & (F.col("n") < F.col("all_n") * s.rare)
-    named = F.when(variable | alike, F.lit("*")).otherwise(F.col("segment"))
+    grown = F.when(~F.col("named") & (variable | alike), F.lit("*")).otherwise(F.col("segment"))
     nodes = branches.join(parents, ["host", "prefix"]).join(_looks(here, level), ["host", "prefix", "segment"], "left").select(
-        "host", "prefix", "segment", F.concat("prefix", F.lit("/"), named).alias("grown"), "labelled", "bad"
+        "host", "prefix", "segment", F.concat("prefix", F.lit("/"), grown).alias("grown"), "labelled", "bad", "now_labelled", "now_bad"
     )
     nodes = materialize(nodes, "url-nodes")
-    counts = nodes.groupBy("host", "prefix", "grown").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    counts = nodes.groupBy("host", "prefix", "grown").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.sum("now_labelled").alias("now_l"), F.sum("now_bad").alias("now_b"))
     left = keys.withColumn("segment", F.when(F.size("shapes") >= level, F.expr(f"element_at(shapes, {level})")))
     joined = left.join(nodes.select("host", "prefix", "segment", "grown"), ["host", "prefix", "segment"], "left").join(counts, ["host", "prefix", "grown"], "left")
     inherited = (F.col("node_bad") - F.col("b") + s.strength * F.col("prior")) / (F.col("node_labelled") - F.col("l") + s.strength)
     deeper = F.col("grown").isNotNull()
     pick = lambda new, old: F.when(deeper, new).otherwise(F.col(old)).alias(old)
     return joined.select(
-        "host", "shapes", pick(F.col("grown"), "prefix"), "n", "labelled", "bad",
-        pick(F.col("l"), "node_labelled"), pick(F.col("b"), "node_bad"), pick(inherited, "prior"),
+        "host", "shapes", "scope", pick(F.col("grown"), "prefix"), "n", "labelled", "bad",
+        pick(F.col("now_l"), "node_labelled"), pick(F.col("now_b"), "node_bad"), pick(inherited, "prior"),
     )
 
 
 def template_purity(pages: DataFrame, settings: TreeSettings) -> DataFrame:
-    """pages: host, shapes, bad (1, 0 or null where unlabelled) -> host, shapes, template, labelled, bad, purity.
+    """pages: host, shapes, scope, bad (1, 0 or null where unlabelled) -> host, shapes, scope, template, labelled, bad, purity.
 
-    labelled and bad count all pages at or below the template, so /de is judged with /de/1 and /de/2.
+    labelled and bad count the pages at or below the template whose label counts there, so /de is judged with /de/1 and
+    /de/2; ``scope`` is the number of segments that a page's rule names (0: none, or no rule).
     """
-    keys = pages.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    keys = pages.groupBy("host", "shapes", "scope").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     keys = materialize(keys, "url-keys")
-    hosts = keys.groupBy("host").agg(F.sum("labelled").alias("node_labelled"), F.sum("bad").alias("node_bad"))
-    keys = keys.join(hosts, "host").select("host", "shapes", F.lit("").alias("prefix"), "n", "labelled", "bad", "node_labelled", "node_bad", F.lit(settings.prior).alias("prior"))
+    whole = lambda c: F.sum(F.when(F.col("scope") == 0, F.col(c)).otherwise(0))
+    hosts = keys.groupBy("host").agg(whole("labelled").alias("node_labelled"), whole("bad").alias("node_bad"))
+    keys = keys.join(hosts, "host").select("host", "shapes", "scope", F.lit("").alias("prefix"), "n", "labelled", "bad", "node_labelled", "node_bad", F.lit(settings.prior).alias("prior"))
     deepest = keys.agg(F.max(F.size("shapes"))).first()[0] or 0  # depth + 1 at most
     for level in range(1, deepest + 1):
         keys = materialize(_grow(keys, level, settings), "url-templates")
     purity = (F.col("node_bad") + settings.strength * F.col("prior")) / (F.col("node_labelled") + settings.strength)
-    return keys.select("host", "shapes", F.col("prefix").alias("template"), F.col("node_labelled").alias("labelled"), F.col("node_bad").alias("bad"), purity.alias("purity"))
+    return keys.select("host", "shapes", "scope", F.col("prefix").alias("template"), F.col("node_labelled").alias("labelled"), F.col("node_bad").alias("bad"), purity.alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, settings: TreeSettings = TreeSettings(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: ``id_col``, host, path, rule (name or null), verdict, template, purity.
 
-    ``labels`` (id, bad 0/1) adds labels to those of the rules; a page with a rule is labelled by its rule.
+    ``labels`` (id, bad 0/1) adds labels to those of the rules, which count from the host down; a page with a rule is
+    labelled by its rule.  The tree is at least as deep as the longest rule's path.
 
     Edge cases: a null url, or one without ``://``, has empty host and path and is judged like any page of
     the empty host; repeated rows and null ids are kept, and each counts; a host without labels
@@ -171,15 +189,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None =
     """
     source = own_columns(pages, id_col, url_col).toDF("id", "url")
     parsed = source.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = parsed.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("shapes", segments(F.col("path"), settings.depth))
+    ruled = parsed.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    depth = max([settings.depth, *[named_segments(r.path) for r in rules]])
+    ruled = ruled.withColumn("scope", F.coalesce("rule.scope", F.lit(0))).withColumn("shapes", segments(F.col("path"), depth, F.col("scope")))
     bad = F.when(F.col("rule").isNotNull(), (F.col("rule.verdict") == "block").cast("int"))
     if labels is not None:
         given = labels.toDF("label_id", "given").groupBy("label_id").agg(F.max("given").cast("int").alias("given"))
         ruled = ruled.join(given, F.col("id") == F.col("label_id"), "left").withColumn("bad", F.coalesce(bad, "given"))
     else:
         ruled = ruled.withColumn("bad", bad)
-    judged = template_purity(ruled.select("host", "shapes", "bad"), settings)
+    judged = template_purity(ruled.select("host", "shapes", "scope", "bad"), settings)
     found = F.when(F.col("purity") >= settings.reject, F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.join(judged.select("host", "shapes", "template", "purity"), ["host", "shapes"]).select(
+    return ruled.join(judged.select("host", "shapes", "scope", "template", "purity"), ["host", "shapes", "scope"]).select(
         F.col("id").alias(id_col), "host", "path", F.col("rule.name").alias("rule"), F.coalesce(F.col("rule.verdict"), found).alias("verdict"), "template", "purity"
     )
