@@ -11,6 +11,7 @@ from driftline.operators.quality import Thresholds, severity
 from driftline.plans.panel import CUM, RET, SMALL, rounded, small_returns
 from driftline.sources import adapters as A
 from driftline.sources import files as S
+from driftline.sources import versions as V
 from driftline.sources.adapters import sql
 
 QUERIES, ORACLES = {}, {}
@@ -93,6 +94,20 @@ def s17(spark, d):
     return spark.read.text(folder).transform(S.snapshot_rows)
 
 
+@query("k08_versioned_upsert", """WITH o AS (SELECT *, year(o_orderdate) >= 1996 AS late FROM orders) SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM o
+  WHERE late OR NOT EXISTS (SELECT 1 FROM o AS n WHERE n.late AND n.o_custkey = o.o_custkey)""")
+def k08(spark, d):
+    """Customers' orders in a versioned table: late orders replace all of their customers' earlier ones, twice over; a stage that is never published stays unseen."""
+    path = S.new_folder(spark, "versions")
+    orders = A.read(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.year("o_orderdate") >= 1996).alias("late"))
+    early, late = orders.where("not late").drop("late"), orders.where("late").drop("late")
+    V.upsert(spark, path, early, ["o_custkey"])
+    V.upsert(spark, path, late, ["o_custkey"])
+    V.stage(spark, path, early.withColumn("price", F.lit(0.0)), ["o_custkey"])
+    V.upsert(spark, path, late, ["o_custkey"])
+    return V.read(spark, path)
+
+
 @query("k06_metrics_json", sql(f""", {RET}, {SMALL}, {CUM}, f AS (SELECT ticker, count(*) AS n, stddev_samp(ret) * sqrt(252) AS vol, min(drawdown) AS mdd FROM dd GROUP BY 1) SELECT ticker, n, round(vol, 6) AS vol, round(mdd, 6) AS max_drawdown FROM f""", "px"))
 def k06(spark, d):
     folder = S.new_folder(spark, "metrics")
