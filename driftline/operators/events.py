@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.sources.files import written
+
 
 def by_priority(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``."""
@@ -12,19 +14,32 @@ def by_priority(rows: DataFrame, key: list[str], order: list[Column]) -> DataFra
 
 
 def suppress_repeats(events: DataFrame, days: int = 7) -> DataFrame:
-    """Per (ticker, action): drop an event within ``days`` of the last one kept.
+    """Per (ticker, action): drop an event within ``days`` of the last one kept; null keys and dates are left out.
 
-    What is kept depends on what was kept before, so the dates of a key are folded in order; a key's dates
-    are distinct days, which bounds the array by the length of the calendar.
+    What is kept depends on what was kept before, so a year of a key is summed up as a function: from the day until which
+    events are barred when it begins to the day until which they are when it ends.  Only the first ``days`` days of
+    the year can be barred from before, so the function is a table of ``days`` + 1 values.  A key's functions, one
+    a year, are composed in order, and each year then keeps its own days.  No task holds more than a year of a key's days.
     """
-    dates = events.groupBy("ticker", "action").agg(F.array_sort(F.collect_set("ann")).alias("dates"))
-    start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<date>").alias("kept"))
-
-    def step(state, d):
-        near = state["last"].isNotNull() & (F.datediff(d, state["last"]) <= days)
-        return F.when(near, state).otherwise(F.struct(d.alias("last"), F.concat(state["kept"], F.array(d)).alias("kept")))
-
-    kept = dates.select("ticker", "action", F.explode(F.aggregate("dates", start, step)["kept"]).alias("ann"))
+    key = ["ticker", "action", "first"]
+    first = F.unix_date(F.trunc("ann", "YEAR").cast("date"))
+    years = events.dropna(subset=["ticker", "action", "ann"]).withColumn("first", first).groupBy(*key).agg(F.array_sort(F.collect_set(F.unix_date("ann"))).alias("found"))
+    years = written(years, "event-years")
+    bar = lambda until, d: F.when(d > until, d + days).otherwise(until)
+    table = F.transform(F.sequence(F.lit(0), F.lit(days)), lambda j: F.aggregate("found", F.col("first") - 1 + j, bar))
+    keys = years.select(*key, table.alias("table")).groupBy("ticker", "action").agg(F.array_sort(F.collect_list(F.struct("first", "table"))).alias("years"))
+    start = F.struct(F.lit(-(1 << 30)).alias("until"), F.array().cast("array<struct<first:int,until:int>>").alias("entries"))
+
+    def step(state, year):
+        barred = F.greatest(F.lit(0), state["until"] - year["first"] + 1)
+        entry = F.struct(year["first"].alias("first"), (year["first"] - 1 + barred).alias("until"))
+        return F.struct(F.get(year["table"], barred).alias("until"), F.concat(state["entries"], F.array(entry)).alias("entries"))
+
+    entries = keys.select("ticker", "action", F.inline(F.aggregate("years", start, step)["entries"]))
+    none = F.array().cast("array<int>")
+    fold = lambda s, d: F.when(d > s["until"], F.struct((d + days).alias("until"), F.concat(s["kept"], F.array(d)).alias("kept"))).otherwise(s)
+    inside = F.aggregate("found", F.struct("until", none.alias("kept")), fold)["kept"]
+    kept = years.join(entries, key).select("ticker", "action", F.explode(inside).alias("ann")).withColumn("ann", F.date_from_unix_date("ann"))
     best = by_priority(events, ["ticker", "action", "ann"], [F.col("event_id")])
     return best.join(kept, ["ticker", "action", "ann"])
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,30 @@ def test_greedy_suppression(spark):
     assert kept == [("Addition", D(1)), ("Addition", D(9)), ("Addition", D(20)), ("Removal", D(2))]
 
 
+def test_suppression_across_years(spark):
+    """Sparse, dense and gappy keys over many years, windows from none to over a year, against a plain walk."""
+    rng = random.Random(8)
+    days = {"dense": range(2000), "sparse": sorted(rng.sample(range(9000), 60)), "mixed": sorted(rng.sample(range(3000), 700)), "new year": [0, 363, 364, 365, 366, 371, 372, 373, 730]}
+    rows = [(i, k, "Addition", dt.date(2001, 1, 1) + dt.timedelta(days=d)) for k, ds in days.items() for i, d in enumerate(ds)]
+    ev = spark.createDataFrame(rows + [(0, None, "Addition", D(1)), (1, "dense", "Addition", None)], "event_id int, ticker string, action string, ann date")
+    for window in (0, 1, 7, 400):
+        want = []
+        for k in days:
+            last = None
+            for _, t, _, d in rows:
+                if t == k and (last is None or (d - last).days > window):
+                    want.append((k, d))
+                    last = d
+        assert sorted((r.ticker, r.ann) for r in E.suppress_repeats(ev, window).collect()) == sorted(want)
+    assert E.suppress_repeats(ev.limit(0)).count() == 0
+
+
+def test_suppression_of_a_million_days_of_one_key(spark):
+    ev = spark.range(1_000_000).select("id", F.lit("A").alias("ticker"), F.lit("Addition").alias("action"), F.date_add(F.lit("1000-01-01").cast("date"), F.col("id").cast("int")).alias("ann")).withColumnRenamed("id", "event_id")
+    found = E.suppress_repeats(ev).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count_if(F.col("event_id") % 8 != 0).alias("off")).first()
+    assert tuple(found) == (125_000, 0, 999_992, 0)
+
+
 def test_exposure_limits(spark):
     rows = [(i, "long" if i < 8 else "short", D(0)) for i in range(10)]
     sized = B.enforce_exposure(B.size_positions(spark.createDataFrame(rows, "event_id int, side string, entry_date date")))
