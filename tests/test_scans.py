@@ -4,9 +4,11 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import eventstudy as V
 from driftline.operators import trading as B
+from driftline.operators.asof import asof_backward, asof_forward
 from driftline.operators.scans import numbered, running_sums
 
 
@@ -102,3 +104,47 @@ def test_backtest_against_days_spelled_out(spark):
             want[x] = want.get(x, 0.0) - r.cost / 2
     got = {r.date: r.pnl for r in daily.collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+@pytest.mark.parametrize("part", ["year", "month", "day"])
+def test_asof_over_ranges_is_the_asof_join_of_a_whole_series(spark, part):
+    """A hot key's quotes in many ranges, facts in ranges without quotes, at both ends, on the edges of years, without a key or time."""
+    rng, day = random.Random(11), datetime.date(2001, 12, 25)
+    at = lambda n: day + datetime.timedelta(days=n)
+    quotes = [(k, at(n), n) for k, step in (("hot", 2), ("rare", 500), (None, 300)) for n in range(0, 1500, step)] + [("hot", None, -1)]
+    edges = [datetime.date(y, m, d) for y in range(2000, 2009) for m, d in ((1, 1), (12, 31))]
+    facts = [(i, k, t) for i, (k, t) in enumerate((k, t) for k in ("hot", "rare", "none", None) for t in [*edges, *[at(rng.randint(-900, 2200)) for _ in range(60)], None])]
+    q = spark.createDataFrame(quotes, "k string, d date, v int").repartition(3)
+    f = spark.createDataFrame(facts, "id int, k string, at date").repartition(3)
+
+    def want(forward, strict=False, tolerance=None):
+        out = {}
+        for i, k, t in facts:
+            fits = [(d, v) for key, d, v in quotes if key == k and None not in (t, d) and (d >= t if forward else d < t if strict else d <= t)]
+            best = (min if forward else max)(fits, default=(None, None))
+            late = tolerance is not None and best[0] is not None and (best[0] - t).days > tolerance
+            out[i] = (None, None) if late else best
+        return out
+
+    got = lambda df: {r.id: (r.d_found, r.v) for r in df.collect()}
+    assert got(asof_backward(f, q, ["k"], "at", "d", ["v"], part=part)) == want(False)
+    assert got(asof_backward(f, q, ["k"], "at", "d", ["v"], strict=True, part=part)) == want(False, strict=True)
+    assert got(asof_forward(f, q, ["k"], "at", "d", ["v"], part=part)) == want(True)
+    assert got(asof_forward(f, q, ["k"], "at", "d", ["v"], 1, part=part)) == want(True, tolerance=1)
+
+
+def test_asof_of_a_hot_key_is_sorted_in_parts(spark):
+    """A million quotes of one key by the minute: no task sorts more than the rows of a day; numbers as times have one range."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        q = spark.range(1_000_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 60).alias("d"), F.col("id").alias("v"))
+        f = spark.range(1000).select("id", F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(1_000_000_030) + F.col("id") * 59_940).alias("at"))
+        found = asof_backward(f, q, ["k"], "at", "d", ["v"], part="day").withColumn("task", F.spark_partition_id()).persist()
+        assert found.where(F.col("v") != F.floor(F.col("id") * 999)).count() == 0 and found.count() == 1000
+        assert found.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    n = spark.createDataFrame([("a", 1, 10), ("a", 5, 50)], "k string, d int, v int")
+    m = spark.createDataFrame([(0, "a", 4), (1, "a", 5), (2, "a", 0)], "id int, k string, at int")
+    assert {r.id: r.v for r in asof_backward(m, n, ["k"], "at", "d", ["v"]).collect()} == {0: 10, 1: 50, 2: None}
