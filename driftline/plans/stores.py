@@ -11,6 +11,7 @@ from driftline.operators.quality import Thresholds, severity
 from driftline.plans.panel import CUM, RET, SMALL, rounded, small_returns
 from driftline.sources import adapters as A
 from driftline.sources import files as S
+from driftline.sources import responses as R
 from driftline.sources import versions as V
 from driftline.sources.adapters import sql
 
@@ -148,3 +149,30 @@ def k07(spark, d):
     score = lambda m, name: m.transform(rows).select("id", vector_to_array("probability")[1].alias(name))
     both = score(model, "before").join(score(ML.load(folder), "after"), "id")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("after")).cast("int").alias("different"))
+
+
+def _asked(spark, panel, path, **options):
+    """The panel's keys and years read through requests to ``path``."""
+    span = panel.agg(F.min(F.year("date")).alias("a"), F.max(F.year("date")).alias("b"), F.sort_array(F.collect_set("ticker")).alias("keys")).first()  # tickers are as few as nations
+    return R.read_responses(spark, path, span.keys, (span.a, span.b), backoff=0, **options)
+
+
+@query("s06_responses", sql(" SELECT ticker, date, round(close, 6) AS close, round(adjusted_close, 6) AS adjusted_close, volume, NULL::DOUBLE AS vwap, source FROM px, (VALUES ('vendor'), ('cache')) AS t(source)", "px"))
+def s06(spark, d):
+    """Prices by requests of which the first two fail, kept in a cache as they arrive; then once more from the cache, where requests get nothing."""
+    base, panel = S.new_folder(spark, "responses"), S.written(priced(spark, d), "priced")
+    R.record_responses(panel, f"{base}/recorded", failures=2)
+    first = S.written(_asked(spark, panel, f"{base}/recorded", cache=f"{base}/cache", source="vendor"), "asked")
+    again = _asked(spark, panel, f"{base}/nowhere", cache=f"{base}/cache", source="cache")
+    return rounded(first.unionByName(again).select("ticker", "date", "close", "adjusted_close", "volume", "vwap", "source"), 6)
+
+
+@query("s09_s10_fallback_chain", sql(" SELECT date, round(bench, 6) AS close, round(bench, 6) AS adjusted_close, 'second' AS source FROM bench", "bench"))
+def s10(spark, d):
+    """A benchmark from the first of three places that has it: a folder that is not there, a vendor that gives up too early, one whose close stands for the adjusted one."""
+    base = S.new_folder(spark, "chain")
+    series = S.written(A.benchmark(spark, d).select(F.lit("ALL").alias("ticker"), "date", F.col("bench").alias("close")), "series")
+    R.record_responses(series, f"{base}/recorded", failures=1)
+    vendor = lambda name, tries: _asked(spark, series, f"{base}/recorded", source=name, retries=tries, fill_adjusted=True)
+    found = R.first_with_rows([S.read_price_folder(spark, f"{base}/absent"), vendor("first", 1), vendor("second", 2)])
+    return rounded(found.select("date", "close", "adjusted_close", "source"), 6)
