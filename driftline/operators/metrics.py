@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from driftline.operators.scans import compounded, trailing
+
 YEAR = 252.0
 
 
-def with_drawdown(series: DataFrame, key: str = "ticker") -> DataFrame:
-    """+ cum (compounded value) and drawdown (below the running peak)."""
-    so_far = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = series.withColumn("cum", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(so_far))
-    return cum.withColumn("drawdown", F.col("cum") / F.max("cum").over(so_far) - 1)
+def with_drawdown(series: DataFrame, key: str = "ticker", part: str = "year") -> DataFrame:
+    """+ cum (compounded value) and drawdown (below the running peak; null where that is 0), scanned by ranges ``part`` long.
+
+    Rows without a key or date are left out; a missing return is a day without change.
+    """
+    scanned = compounded(series, [key], "date", 1 + F.col("ret"), part)
+    return scanned.withColumn("drawdown", F.try_divide("cum", "peak") - 1).drop("peak")
 
 
 def performance(series: DataFrame, key: str = "ticker", risk_free: float = 0.025) -> DataFrame:
@@ -67,11 +71,12 @@ def monthly(series: DataFrame, key: str = "ticker") -> DataFrame:
 
 def rolling(series: DataFrame, bars: int, key: str = "ticker") -> DataFrame:
     """+ roll_ret (compounded) and roll_sharpe over the last ``bars`` rows; null until there are as many."""
-    frame = Window.partitionBy(key).orderBy("date").rowsBetween(-(bars - 1), Window.currentRow)
-    full = F.count("ret").over(frame) == bars
-    spread = F.stddev_samp("ret").over(frame)
-    return series.select(
-        "*",
-        F.when(full, F.product(1 + F.col("ret")).over(frame) - 1).alias("roll_ret"),
-        F.when(full & (spread > 0), F.avg("ret").over(frame) / spread * F.sqrt(F.lit(YEAR))).alias("roll_sharpe"),
-    )
+
+    def over(frame: WindowSpec) -> list[Column]:
+        full, spread = F.count("ret").over(frame) == bars, F.stddev_samp("ret").over(frame)
+        return [
+            F.when(full, F.product(1 + F.col("ret")).over(frame) - 1).alias("roll_ret"),
+            F.when(full & (spread > 0), F.avg("ret").over(frame) / spread * F.sqrt(F.lit(YEAR))).alias("roll_sharpe"),
+        ]
+
+    return trailing(series, [key], "date", bars, over)

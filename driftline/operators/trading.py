@@ -9,7 +9,7 @@ from driftline.functions.calendar import bday_add, weekdays_between
 from driftline.functions.costs import borrow_cost, study_cost_bps, trade_cost
 from driftline.operators.asof import asof_lookup
 from driftline.operators.ranks import summaries
-from driftline.operators.scans import running_sums
+from driftline.operators.scans import running_sums, trailing
 from driftline.sources.files import written
 
 
@@ -207,8 +207,8 @@ def daily_book(ledger: DataFrame, panel: DataFrame, exit: int = 5, clip: float =
 
 def advs_at_entry(ledger: DataFrame, panel: DataFrame, bars: int = 20) -> DataFrame:
     """ledger + adv: mean value traded of the last ``bars`` bars up to the entry."""
-    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(bars - 1), Window.currentRow)
-    adv = panel.select("ticker", "date", F.avg(F.col("close") * F.col("volume")).over(frame).alias("adv"))
+    values = panel.select("ticker", "date", (F.col("close") * F.col("volume")).alias("value"))
+    adv = trailing(values, ["ticker"], "date", bars, lambda frame: [F.avg("value").over(frame).alias("adv")]).drop("value")
     return asof_lookup(ledger, adv, ["ticker"], "entry_date", "date", ["adv"]).drop("date_found")
 
 
@@ -219,8 +219,8 @@ def net_of_friction(trades: DataFrame, panel: DataFrame, clips: tuple[int, ...])
     """
     from driftline.operators.features import returns
 
-    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-59, Window.currentRow)
-    vols = returns(panel).where("ret is not null").select("ticker", "date", F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s"))
+    known_returns = returns(panel).where("ret is not null").select("ticker", "date", "ret")
+    vols = trailing(known_returns, ["ticker"], "date", 60, lambda frame: [F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s")])
     at = asof_lookup(advs_at_entry(trades, panel), vols, ["ticker"], "entry_date", "date", ["c", "s"])
     known = at.withColumn("vol", F.when((F.col("c") >= 20) & (F.col("s") > 0), F.col("s")).otherwise(F.lit(0.03))).drop("c", "s", "date_found")
     cost = lambda clip: study_cost_bps(F.col("vol"), F.col("adv"), float(clip), F.col("hold_days"), F.col("action") == "Removal")

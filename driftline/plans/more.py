@@ -11,6 +11,7 @@ from driftline.operators import models as ML
 from driftline.operators import resampling as RS
 from driftline.operators.asof import asof_backward, asof_by_day, asof_lookup
 from driftline.operators.ranks import summaries
+from driftline.operators.scans import trailing
 from driftline.plans.panel import A0, CAPS, RET, asof_date, bday_sql, feature_table, rounded
 from driftline.plans.study import LEDGER, PNL, WIN, ledger, scored, sized, windows
 from driftline.sources import adapters as A
@@ -179,8 +180,8 @@ def g43(spark, d):
 @query("w08_entry_vol", sql(f""", {RET}, v AS (SELECT ticker, date, count(ret) OVER w AS c, stddev_samp(ret) OVER w AS s FROM ret WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
   SELECT event_id, round(CASE WHEN c >= 20 AND s > 0 THEN s ELSE 0.03e0 END, 6) AS vol FROM ev e ASOF LEFT JOIN v ON e.ticker = v.ticker AND e.ann >= v.date""", "px", "ev"))
 def w08(spark, d):
-    frame = Window.partitionBy("ticker").orderBy("date").rowsBetween(-59, Window.currentRow)
-    r = X.returns(A.prices(spark, d)).where("ret is not null").select("ticker", "date", F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s"))
+    known = X.returns(A.prices(spark, d)).where("ret is not null").select("ticker", "date", "ret")
+    r = trailing(known, ["ticker"], "date", 60, lambda frame: [F.count("ret").over(frame).alias("c"), F.stddev_samp("ret").over(frame).alias("s")])
     at = asof_lookup(A.events(spark, d).select("event_id", "ticker", "ann"), r, ["ticker"], "ann", "date", ["c", "s"])
     return rounded(at.select("event_id", F.when((F.col("c") >= 20) & (F.col("s") > 0), F.col("s")).otherwise(F.lit(0.03)).alias("vol")), 6)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from driftline.operators import eventstudy as V
 from driftline.operators import trading as B
 from driftline.operators.asof import asof_backward, asof_forward
-from driftline.operators.scans import numbered, running_sums
+from driftline.operators import metrics as M
+from driftline.operators.scans import numbered, running_sums, trailing
 
 
 def series(rng, key, n, sparse):
@@ -148,3 +149,34 @@ def test_asof_of_a_hot_key_is_sorted_in_parts(spark):
     n = spark.createDataFrame([("a", 1, 10), ("a", 5, 50)], "k string, d int, v int")
     m = spark.createDataFrame([(0, "a", 4), (1, "a", 5), (2, "a", 0)], "id int, k string, at int")
     assert {r.id: r.v for r in asof_backward(m, n, ["k"], "at", "d", ["v"]).collect()} == {0: 10, 1: 50, 2: None}
+
+
+@pytest.mark.parametrize("part", ["year", "quarter", "week"])
+def test_drawdown_by_ranges(spark, part):
+    """Two, seven and over fifty ranges: peaks and falls that reach over ranges, missing returns, total losses, returns below -1."""
+    rng, day = random.Random(3), datetime.date(2003, 6, 2)
+    ret = {"up": lambda: rng.gauss(0.01, 0.05), "down": lambda: rng.gauss(-0.01, 0.05), "odd": lambda: rng.choice([0.5, -0.4, -1.8, None])}
+    rows = [(k, day + datetime.timedelta(days=n), f()) for k, f in ret.items() for n in range(0, 560, 3)] + [("zero", day, -1.0), ("zero", day + datetime.timedelta(days=400), 0.5), (None, day, 0.1), ("up", None, 0.1)]
+    got = {(r.ticker, r.date): r for r in M.with_drawdown(spark.createDataFrame(rows, "ticker string, date date, ret double").repartition(3), part=part).collect()}
+    assert len(got) == len(rows) - 2
+    for k in (*ret, "zero"):
+        cum, peak = 1.0, None
+        for _, d, x in sorted(r for r in rows if r[0] == k and r[1] is not None):
+            cum *= 1 + (x or 0.0)
+            peak = cum if peak is None else max(peak, cum)
+            assert got[k, d].cum == pytest.approx(cum, rel=1e-9)
+            assert got[k, d].drawdown == (None if peak == 0 else pytest.approx(cum / peak - 1, rel=1e-9, abs=1e-12))
+
+
+@pytest.mark.parametrize(("bars", "block"), [(1, 10), (7, 10), (10, 10), (30, 10), (60, 4096), (500, 64)])
+def test_trailing_windows_with_borders(spark, bars, block):
+    """Windows shorter and longer than blocks and series give what a window over the whole series gives."""
+    rows, df = table(spark, 4)
+    got = {(r.k, r.date): (r.n, r.s) for r in trailing(df, ["k"], "date", bars, lambda w: [F.count(F.lit(1)).over(w).alias("n"), F.sum("x").over(w).alias("s")], block).collect()}
+    want = {}
+    for k in ("hot", "rare", "one"):
+        own = sorted((d, x) for key, d, x in rows if key == k and d is not None)
+        for i, (d, _) in enumerate(own):
+            seen = [x for _, x in own[max(0, i - bars + 1) : i + 1]]
+            want[k, d] = (len(seen), sum(x for x in seen if x is not None) if any(x is not None for x in seen) else None)
+    assert got == want
