@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.calendar import bday_add
 from driftline.operators.asof import asof_backward
+from driftline.sources.files import written
 
 
 def lookback(panel: DataFrame, asof: Column, weekdays: int) -> DataFrame:
@@ -70,6 +71,17 @@ def gap_to_cutoff(ranked: DataFrame, by: list[str], target: int, size: str = "av
     return ranked.withColumn("gap", F.col(size) - cutoff)
 
 
+def terciles(rows: DataFrame, x: str) -> DataFrame:
+    """+ bucket: low up to the first third of x, mid up to the second, else high.
+
+    Rows are written once: cuts fall on values themselves, and a sum of floats that is taken a second time may differ in its last bit.
+    """
+    known = written(rows, "terciles")
+    cuts = known.agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))  # one row
+    bucket = F.when(F.col(x) <= F.col("_cuts")[0], "low").when(F.col(x) <= F.col("_cuts")[1], "mid").otherwise("high")
+    return known.crossJoin(F.broadcast(cuts)).withColumn("bucket", bucket).drop("_cuts")
+
+
 def min_max(column: str, by: list[str]) -> Column:
     """Scaled to [0, 1] within ``by``; nulls take the median; 0.5 where all are equal."""
     whole = Window.partitionBy(*by)
