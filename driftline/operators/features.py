@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.calendar import bday_add
 from driftline.operators.asof import asof_backward
+from driftline.operators.ranks import row_numbers
 from driftline.sources.files import written
 
 
@@ -59,9 +60,9 @@ def trailing_volatility(panel: DataFrame, asof: Column, bars: int) -> DataFrame:
 
 
 def rank_universe(features: DataFrame, by: list[str], size: str = "avg_fmc", tie: str = "mdvt") -> DataFrame:
-    """+ fmc_rank within ``by``: size, then tie descending (nulls last), then ticker."""
-    order = Window.partitionBy(*by).orderBy(F.col(size).desc_nulls_last(), F.col(tie).desc_nulls_last(), "ticker")
-    return features.withColumn("fmc_rank", F.row_number().over(order))
+    """+ fmc_rank within ``by``: size, then tie descending (nulls last), then ticker (one row each), by ranges of the whole order."""
+    order = [F.col(size).desc_nulls_last(), F.col(tie).desc_nulls_last(), F.col("ticker").asc()]
+    return row_numbers(features, by, order, "fmc_rank").withColumn("fmc_rank", F.col("fmc_rank").cast("int"))
 
 
 def gap_to_cutoff(ranked: DataFrame, by: list[str], target: int, size: str = "avg_fmc") -> DataFrame:

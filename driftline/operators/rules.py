@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.features import min_max
+from driftline.operators.ranks import beside, row_numbers
 
 
 def decide(ranked: DataFrame, add_buffer: int, del_buffer: int) -> DataFrame:
@@ -30,15 +31,18 @@ def decide(ranked: DataFrame, add_buffer: int, del_buffer: int) -> DataFrame:
 
 
 def pair(decided: DataFrame, by: list[str]) -> DataFrame:
-    """Balance additions and removals within ``by``: backfill forced removals with the best liquid outsiders, then trim both sides to the shorter."""
-    whole = Window.partitionBy(*by)
-    count = lambda c: F.sum(c.cast("int")).over(whole)
+    """Balance additions and removals within ``by``: backfill forced removals with the best liquid outsiders, then trim both sides to the shorter.
+
+    Counts are a row a group, and places come from ranges, so no group meets in one task.
+    """
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
     forced = (F.col("action") == "Removal") & ~F.coalesce("liquidity_pass", F.lit(False))
     spare = (F.col("action") == "no change") & ~F.coalesce("member", F.lit(False)) & F.coalesce("liquidity_pass", F.lit(False))
     marked = decided.withColumns({"forced": forced, "spare": spare})
-    place = F.row_number().over(Window.partitionBy(*by, "spare").orderBy("fmc_rank", "ticker"))
+    placed = row_numbers(marked, [*by, "spare"], [F.col("fmc_rank").asc(), F.col("ticker").asc()], "_place")
     needed = F.greatest(F.lit(0), count(F.col("forced")) - count(F.col("action") == "Addition"))
-    filled = marked.withColumn("fill", F.col("spare") & (place <= needed)).withColumns(
+    told = beside(placed, placed.groupBy(*by).agg(needed.alias("_needed")), by)
+    filled = told.withColumn("fill", F.col("spare") & (F.col("_place") <= F.col("_needed"))).withColumns(
         {
             "action": F.when(F.col("fill"), "Addition").otherwise(F.col("action")),
             "confidence": F.when(F.col("fill"), "medium").otherwise(F.col("confidence")),
@@ -49,15 +53,16 @@ def pair(decided: DataFrame, by: list[str]) -> DataFrame:
     sided = filled.withColumn("side", side)
     order = F.when(F.col("side") == "drop", -F.col("fmc_rank")).otherwise(F.col("fmc_rank"))
     pairs = F.least(count(F.col("side") == "add"), count(F.col("side") == "drop"))
-    at = F.row_number().over(Window.partitionBy(*by, "side").orderBy(order, "ticker"))
-    trimmed = sided.withColumn("trim", (F.col("side") != "rest") & (pairs > 0) & (at > pairs))
+    numbered = row_numbers(sided, [*by, "side"], [order.asc(), F.col("ticker").asc()], "_at")
+    counted = beside(numbered, numbered.groupBy(*by).agg(pairs.alias("_pairs")), by)
+    trimmed = counted.withColumn("trim", (F.col("side") != "rest") & (F.col("_pairs") > 0) & (F.col("_at") > F.col("_pairs")))
     return trimmed.withColumns(
         {
             "action": F.when(F.col("trim"), "no change").otherwise(F.col("action")),
             "confidence": F.when(F.col("trim"), "borderline").otherwise(F.col("confidence")),
             "reason": F.when(F.col("trim"), F.concat("reason", F.lit("; trimmed to balance index count"))).otherwise(F.col("reason")),
         }
-    ).drop("forced", "spare", "fill", "side", "trim")
+    ).drop("forced", "spare", "fill", "side", "trim", "_place", "_needed", "_at", "_pairs")
 
 
 def tag_hierarchy(decided: DataFrame, parents: DataFrame, group: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.stats import signed_ranks
 from driftline.operators import trading as B
 from driftline.operators import ranks
-from driftline.operators.features import terciles
+from driftline.operators.features import rank_universe, terciles
 from driftline.operators.ranks import summaries, value_counts, with_before
 
 
@@ -86,3 +86,16 @@ def test_terciles_of_values_that_vary_from_run_to_run(spark):
     rows = spark.range(25).select("id", unsteady("id").alias("x"))
     got = {r.id: r.bucket for r in terciles(rows, "x").collect()}
     assert got == {i: "low" if i <= 8 else "mid" if i <= 16 else "high" for i in range(25)}
+
+
+def test_numbers_by_ranges(spark):
+    """Places in a group come from ranges: no window sorts a group as a whole, and null groups and values are numbered too."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0]), f"t{i:04}") for i in range(3000)]
+    ranked = rank_universe(spark.createDataFrame(rows, "g string, avg_fmc double, ticker string").withColumn("mdvt", F.lit(1.0)), ["g"])
+    got = {r.ticker: r.fmc_rank for r in ranked.collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in line for line in plan.splitlines() if "row_number()" in line and "Window" in line) and "row_number()" in plan
