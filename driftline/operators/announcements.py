@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import despace
+from driftline.sources.files import written
 
 # Patterns of the press releases (Java syntax).  Groups of a date are month, day, year.
 MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December|Sept\.?|Jan\.?|Feb\.?|Mar\.?|Apr\.?|May\.?|Jun\.?|Jul\.?|Aug\.?|Sep\.?|Oct\.?|Nov\.?|Dec\.?)"
@@ -38,7 +39,9 @@ def as_date(month: Column, day: Column, year: Column) -> Column:
 
 def first_date(text: Column, pattern: str) -> Column:
     """The date in the first match of a pattern whose last three groups are month, day, year; null without one."""
-    return F.when(text.rlike(pattern), as_date(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]))
+    # The text is searched once; month, day and year stand at the end of what is found.
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(found != "", as_date(*[F.regexp_extract(found, f"(?i){DATE}$", i) for i in (1, 2, 3)]))
 
 
 def announced(text: Column) -> Column:
@@ -76,6 +79,12 @@ def action_lines(rows: DataFrame, body: str, pattern: str) -> DataFrame:
     return lines.select(*rows.columns, "line_no", action_of(part(1)).alias("action"), F.upper(part(2)).alias("ticker"), part(3).alias("company_name"))
 
 
+def _read(files: DataFrame) -> DataFrame:
+    """file, text (letter-spaced lines joined), announcement_date, default_date; written, so that no filter or second use searches a text again."""
+    text = files.select("file", despaced(F.col("text")).alias("text"))
+    return written(text.select("file", "text", first_date(F.col("text"), ANNOUNCED).alias("announcement_date"), first_date(F.col("text"), EFFECTIVE).alias("default_date")), "texts")
+
+
 def multi_index_events(files: DataFrame) -> DataFrame:
     """(file, text) -> file, announcement_date, index, effective_date, action, ticker, company_name.
 
@@ -83,8 +92,12 @@ def multi_index_events(files: DataFrame) -> DataFrame:
     before the release's own; sections without any date, and files without an announcement date, give nothing; a
     file without section headers is one section of the 200.  A null text has no events.
     """
-    text = files.select("file", despaced(F.col("text")).alias("text"))
-    dated = text.select("file", first_date(F.col("text"), ANNOUNCED).alias("announcement_date"), first_date(F.col("text"), EFFECTIVE).alias("default_date"), "text").where("announcement_date is not null")
+    return _events(_read(files))
+
+
+def _events(read: DataFrame) -> DataFrame:
+    """The events of texts that were read."""
+    dated = read.where("announcement_date is not null")
     sections = dated.select("file", "announcement_date", "default_date", F.explode(F.split("text", f"(?i)(?={HEADER})", -1)).alias("body"), F.col("text").rlike(f"(?i){HEADER}").alias("headed"))
     head = lambda i: F.regexp_extract("body", f"(?i)^{HEADER}", i)
     own = sections.withColumn("name", head(1)).withColumn("rest", head(2)).where("(name <> '') = headed").where(~F.col("rest").rlike(r"(?i)^\s*no\s+change"))
@@ -97,13 +110,10 @@ def multi_index_events(files: DataFrame) -> DataFrame:
 
 def parse_report(files: DataFrame, indices: list[str]) -> DataFrame:
     """A row per file: error (null if parsed), announcement_date, n_events, and a count for each of ``indices``."""
-    events = multi_index_events(files)
+    read = _read(files)
+    events = _events(read)
     counts = events.groupBy("file").agg(F.count(F.lit(1)).alias("n_events"), *[F.count_if(F.col("index") == i).alias(f"n_{i}") for i in indices])
-    text = files.select("file", despaced(F.col("text")).alias("text"))
-    facts = text.select(
-        "file", first_date(F.col("text"), ANNOUNCED).alias("announcement_date"),
-        (~F.col("text").rlike(f"(?i){HEADER}") & first_date(F.col("text"), EFFECTIVE).isNull()).alias("undated"),
-    )
+    facts = read.select("file", "announcement_date", (~F.col("text").rlike(f"(?i){HEADER}") & F.col("default_date").isNull()).alias("undated"))
     error = F.when(F.col("announcement_date").isNull(), "no announcement date in header").when(F.col("undated"), "no effective date found")
     number = [F.when(error.isNull(), F.coalesce(c, F.lit(0))).alias(c) for c in ["n_events", *[f"n_{i}" for i in indices]]]
     return facts.join(counts, "file", "left").select("file", error.alias("error"), "announcement_date", *number)
@@ -147,7 +157,7 @@ def dated_events(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(despaced(F.col("text")), r"[ \t]{2,}", " ")
     kind = F.regexp_extract("file", "-asx200-([a-z]+)", 1)
     read = files.select("file", text.alias("text"), F.when(kind == "", "other").otherwise(kind).alias("source_type"))
-    read = read.select("*", announced(F.col("text")).alias("announcement_date"), first_date(F.col("text"), DATED_EFFECTIVE).alias("effective_date")).where("announcement_date is not null")
+    read = written(read.select("*", announced(F.col("text")).alias("announcement_date"), first_date(F.col("text"), DATED_EFFECTIVE).alias("effective_date")), "texts").where("announcement_date is not null")
     tabular = F.col("text").rlike(r"(?i)Action\s+Code\s+Company") | F.col("source_type").isin("rebalance", "quarterly")
     row = lambda s, i: F.regexp_extract(s, ROW, i)
     event = lambda action, ticker, company, kind: F.struct(action.alias("action"), F.upper(ticker).alias("ticker"), company.alias("company_name"), kind.alias("source_type"))

@@ -62,3 +62,14 @@ def test_one_index_has_patterns_of_its_own(spark):
     text = "SYDNEY, Jun 4, 2010\neffective on June 11 2010 and on June 18, 2010\nS&P/ASX 200 Addition AAA A Ltd\nS&P/ASX 300 Removal BBB B Ltd\nRemoval CCC C Ltd"
     assert sorted((r.ticker, r.effective_date) for r in N.one_index_events(files(spark, text)).collect()) == [("AAA", datetime.date(2010, 6, 18)), ("CCC", datetime.date(2010, 6, 18))]
     assert sorted((r.ticker, r.effective_date) for r in N.multi_index_events(files(spark, text)).collect()) == [(t, datetime.date(2010, 6, 11)) for t in ("AAA", "BBB", "CCC")]
+
+
+def test_texts_are_searched_once(spark):
+    """Neither a filter nor a second use joins letters or searches for a release's dates again; dates are the first match's."""
+    some = files(spark, "Sydney, May 1, 2014 effective after the close of trading on Friday, June 12, 2014 and on July 3, 2015", "none", None)
+    report = N.parse_report(some, ["ASX200"])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "SYDNEY" not in plan and "effective[" not in plan
+    found = some.select(N.first_date(F.col("text"), N.EFFECTIVE).alias("day")).collect()
+    assert [r.day for r in found] == [datetime.date(2014, 6, 12), None, None]
+    assert "SYDNEY" not in N.dated_events(some)._jdf.queryExecution().optimizedPlan().toString()
