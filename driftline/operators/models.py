@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.sources.files import new_folder
+from driftline.sources.files import new_folder, written
 
 
 #: Rounds of the boosted trees, in place of the study's 300 rounds of another library.
@@ -76,6 +76,7 @@ def calibrated(scored: DataFrame, label: str) -> DataFrame:
 
     Rows of the first scored fold, and of folds whose past has one class, keep their score as it is.
     """
+    scored = written(scored, "scored")  # read by every fold
     clipped = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = scored.withColumn("logit", F.log(clipped / (1 - clipped)))
     out = None
