@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,54 @@ def test_importance_and_folds(spark):
     assert scored.where("fold > 0").count() == scored.count() > 0 and scored.where("(score > 0.5) <> (y = 1)").count() == 0
 
 
+def counted(features, kind):
+    return ML.CountedTrees(features, "y", kind, None)  # nothing to fall back on
+
+
+def test_boosted_trees_of_counted_rows_are_those_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ML, "BOOSTS", 4)
+    rng, rows, features = random.Random(8), [], ["a", "b", "absent"]
+    for i in range(3000):
+        a, b = rng.randrange(12), rng.randrange(9) / 3
+        rows.append((i, i // 500, float(a), b, int(rng.random() < 0.1 + 0.06 * a + (0.2 if b > 1.5 else 0))))
+    df = ML.balanced(ML.filled(spark.createDataFrame(rows, "id int, at int, a double, b double, y int"), features), "y")
+    one, other = counted(features, "boosted").fit(df), ML.pipeline(features, "y", "boosted").by_rows.fit(df)
+    assert type(ML.pipeline(features, "y", "boosted").fit(df).stages[0]).__name__ == "Bucketizer"  # 3,000 rows are 216 counted ones
+    for a, b in zip(ML.importance(one, features, spark).collect(), ML.importance(other, features, spark).collect()):
+        assert a.feature == b.feature and abs(a.importance - b.importance) < 1e-9
+    chance = lambda m: {r.id: r.probability[1] for r in m.transform(df).select("id", "probability").collect()}
+    got, want = chance(one), chance(other)
+    assert len(got) == 3000 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert set(ML.out_of_fold(df.drop("weight"), features, "y", "at", "boosted", 1).columns) == {*df.columns, "fold", "score"} - {"weight"}
+
+
+def test_forest_of_counted_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ML, "TREES", 6)
+    # Of 30,000 rows that are a few counted ones, 60 or one have the flag, and one may be odd: a node needs 5 rows, counted as rows.
+    for flagged, odd, splits in ((1, False, False), (60, False, True), (60, True, True)):
+        is_odd = (F.col("id") == 29_999) & F.lit(odd)
+        df = spark.range(30_000).select("id", (F.col("id") < flagged).cast("double").alias("flag"), is_odd.cast("double").alias("odd"), F.when((F.col("id") < flagged) | is_odd, 1).otherwise(F.col("id") % 2).cast("int").alias("y"))
+        model = counted(["flag", "odd"], "forest").fit(ML.balanced(df, "y"))
+        assert {r.feature: r.importance for r in ML.importance(model, ["flag", "odd"], spark).collect()} == {"flag": float(splits), "odd": 0.0}
+    shown = "".join(t.toDebugString for t in model.stages[-1].trees)
+    assert "feature 0 <=" in shown and " in {" not in shown  # ordered, no categories
+    ML.save(model, str(tmp_path / "forest"))
+    assert ML.load(str(tmp_path / "forest")).stages[-1].getNumTrees == 6
+    many = pa.record_batch([pa.array([1, 40, 3]), pa.array([5, -6, 7])], names=["rows", "cell"])
+    (drawn,) = ML._drawn("rows", "cell", 4000)(iter([many]))
+    for i, n in enumerate((1, 40, 3)):
+        times = [drawn.column(f"tree_{t}")[i].as_py() for t in range(4000)]
+        mean = sum(times) / 4000
+        assert abs(mean - n) < 0.1 * n and abs(sum((x - mean) ** 2 for x in times) / 4000 - n) < 0.1 * n
+
+
+def test_bucket_cuts(spark):
+    df = spark.range(6400).select(F.col("id").cast("double").alias("many"), (F.col("id") % 3).cast("double").alias("few"), F.lit(0.0).alias("one"))
+    many, few, one = ML.bucket_cuts(df, ["many", "few", "one"])
+    assert few == [0.5, 1.5] and one == [0.0] and len(many) == 31 and all(abs(c - 200 * k) <= 2 for k, c in enumerate(many, 1))
+    assert ML.bucket_cuts(df.limit(0), ["many"]) == [[0.0]]
+
+
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([("A", D(2020, 1, i), float(i)) for i in (1, 2, 3)] + [("B", D(2021, 5, 1), None)], "ticker string, date date, close double")
     path = str(tmp_path / "p")
