@@ -93,3 +93,21 @@ def test_repeated_rows_and_empty_table(spark):
     want = sorted(x[:3] for x in brute([t for _, t in rows], 64))
     assert got == want
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_planted_passages_of_over_fifty_words(spark):
+    """Passages in two documents each go whole from 400 bytes on, shorter ones stay, clean documents lose nothing; n_bytes is the input's size in all."""
+    rng = random.Random(9)
+    words = lambda n, most: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, most))) for _ in range(n))
+    docs, want = [], []
+    for most in (5, 11) * 12:
+        passage = words(rng.randint(51, 70), most)
+        for end in (("<", ">"), ("[", "]")):  # so that no shared blank lengthens the passage
+            docs.append(words(40, 7) + end[0] + passage + end[1] + words(60, 7))
+            want.append((len(docs[-1]), len(passage) if len(passage) >= 400 else 0))
+    for _ in range(24):
+        docs.append(words(150, 7))
+        want.append((len(docs[-1]), 0))
+    assert {r > 0 for _, r in want[:48]} == {True, False}
+    got = sorted(remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed) for r in got] == want
