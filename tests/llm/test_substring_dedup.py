@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from driftline.llm import substring_dedup
 from driftline.llm.substring_dedup import ContextTree, anchors, prefix_intervals, remove_repeats
 
 
@@ -111,3 +112,23 @@ def test_planted_passages_of_over_fifty_words(spark):
     assert {r > 0 for _, r in want[:48]} == {True, False}
     got = sorted(remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
     assert [(r.n_bytes, r.n_removed) for r in got] == want
+
+
+def test_hot_gram_is_counted_in_few_strings(spark, monkeypatch):
+    """A line repeated behind many beginnings: exact, and far fewer strings are counted than the 57 windows of each context."""
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
+    line = "the line that all repeat; "
+    texts = [made(rng.randint(20, 60)) + line * rng.randint(4, 8) + made(rng.randint(0, 90)) for _ in range(150)]
+    tables, keep = {"windows": [], "contexts": []}, substring_dedup.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name in tables:
+            tables[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    assert run(spark, texts, 64, 8, 10) == brute(texts, 64)
+    assert tables["contexts"][-1] > 500
+    assert sum(tables["windows"]) < 20 * tables["contexts"][-1]
