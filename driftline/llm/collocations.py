@@ -38,7 +38,22 @@ KNOWN = 3
 #: Parts into which the candidates of a language are dealt.
 SALTS = 64
 
-_SHARD = "lang string, ids array<int>, words array<string>, counts array<long>"
+#: Shards in a row group, so that Spark's reader and writer hold no more of them at a time, however many a file has.
+GROUP_ROWS = 8
+
+_SHARD = "lang string, n long, ids binary, words binary"
+
+
+def _packed(**columns: pa.Array) -> bytes:
+    """Columns as one compressed value: Spark moves a shard as bytes, not as a row of arrays that it copies element by element."""
+    batch, sink = pa.record_batch(list(columns.values()), names=list(columns)), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Scalar) -> list[pa.Array]:
+    return pa.ipc.open_stream(value.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch().columns
 
 
 def _portions(text: bytes) -> Iterator[bytes]:
@@ -56,7 +71,7 @@ def _portions(text: bytes) -> Iterator[bytes]:
 
 
 def word_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, ids, words, counts): a row per shard; ids number its distinct words, -1 ends a piece."""
+    """(lang, n, ids, words): a row per shard of n words; packed are ids, which number its distinct words (-1 ends a piece), and those words with counts."""
     source = own_columns(docs, lang_col, text_col).toDF("lang", "text").where(F.length("text") > 0)
     source = source.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")), "text")
     upper = bytes(range(65, 91))
@@ -75,8 +90,8 @@ def word_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         keep = counts > 0
         number = np.append(np.cumsum(keep) - 1, -1).astype(np.int32)
         kept = words.filter(pa.array(keep)).cast(pa.string())
-        one_list = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.record_batch([pa.array([lang]), one_list(pa.array(number[ids])), one_list(kept), one_list(pa.array(counts[keep].astype(np.int64)))], names=["lang", "ids", "words", "counts"])
+        values = [lang, int(counts.sum()), _packed(ids=pa.array(number[ids])), _packed(words=kept, counts=pa.array(counts[keep].astype(np.int64)))]
+        return pa.record_batch([pa.array([v]) for v in values], names=["lang", "n", "ids", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -225,10 +240,10 @@ def _phrases(words: pa.Array, ids: np.ndarray, at: np.ndarray, length: int) -> p
     return parts[0] if length == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
-def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray]]:
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy(zero_copy_only=False), batch.column(2)[i].values, batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+        for lang, ids, words in zip(*batch.columns):
+            yield lang.as_py(), _unpacked(ids)[0].to_numpy(zero_copy_only=False), _unpacked(words)[0]
 
 
 def _keys(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -239,19 +254,22 @@ def _keys(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to ``longest`` words with f >= ``least``, and (lang, n) of all words."""
-    shards = materialize(word_shards(docs, lang_col, text_col), "shards")
+    stored = materialize(word_shards(docs, lang_col, text_col), "shards", **{"parquet.block.row.count.limit": GROUP_ROWS, "compression": "none"})
+    shards = stored.select("lang", "ids", "words")
     send = shards.sparkSession.sparkContext.broadcast
 
     def words_by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, words, counts in _shards_of(batches):
-            yield from _keys(word_hashes(lang, words), counts)
+        for batch in batches:
+            for lang, packed in zip(*batch.columns):
+                words, counts = _unpacked(packed)
+                yield from _keys(word_hashes(lang.as_py(), words), counts.to_numpy())
 
-    filters = [key_filter(shards.mapInArrow(words_by_hash, "key long, f long"), least)]
+    filters = [key_filter(stored.select("lang", "words").mapInArrow(words_by_hash, "key long, f long"), least)]
     for k in range(2, min(KNOWN, longest) + 1):
         known = send(filters)
 
         def by_hash(batches: Iterator[pa.RecordBatch], k: int = k, known=known) -> Iterator[pa.RecordBatch]:
-            for lang, ids, words, _ in _shards_of(batches):
+            for lang, ids, words in _shards_of(batches):
                 hashes = word_hashes(lang, words)
                 for own, first, counts, length in grams(ids, hashes, known.value, k, k):
                     yield from _keys(gram_hashes(own, hashes, first, length), counts)
@@ -260,14 +278,14 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     known = send(filters)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words, _ in _shards_of(batches):
+        for lang, ids, words in _shards_of(batches):
             for own, first, counts, length in grams(ids, word_hashes(lang, words), known.value, longest):
                 for i in range(0, len(first), 65_536):
                     part = _phrases(words, own, first[i : i + 65_536], length)
                     yield pa.record_batch([pa.array([lang] * len(part)), part, pa.array(counts[i : i + 65_536].astype(np.int64))], names=["lang", "phrase", "f"])
 
     merged = shards.mapInArrow(phrases, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n"))
+    totals = stored.groupBy("lang").agg(F.sum("n").alias("n"))
     return materialize(merged.where(F.col("f") >= least), "phrases"), totals
 
 

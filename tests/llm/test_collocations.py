@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 
 from driftline.llm import collocations as c
@@ -86,3 +87,26 @@ def test_long_texts_are_cut_where_pieces_end(monkeypatch):
     text = b"one two, three four five six. seven" * 9
     assert b"".join(c._portions(text)) == text and max(map(len, c._portions(text))) <= 40
     assert list(c._portions(b"word " * 30)) == [b"word " * 30]
+
+
+def test_shards_are_stored_as_bytes_in_small_row_groups(spark, monkeypatch):
+    # As arrays of words, all shards of a file, a row group, stood in the executors' memory at once.
+    stored, keep = {}, c.materialize
+    monkeypatch.setattr(c, "SHARD_BYTES", 300)
+    monkeypatch.setattr(c, "materialize", lambda df, name, **options: stored.setdefault(name, keep(df, name, **options)))
+    rows = [("en" if i % 3 else None, f"b a, w{i} a A. " * 20) for i in range(120)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    _, totals = c.phrase_counts(docs.coalesce(1), least=2)
+    shards = stored["shards"]
+    assert {f.name: f.dataType.simpleString() for f in shards.schema} == {"lang": "string", "n": "bigint", "ids": "binary", "words": "binary"}
+    groups = [f.metadata.row_group(i).num_rows for f in ds.dataset(shards.stored_at.removeprefix("file:")).get_fragments() for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == shards.count() > 40 and max(groups) <= 8
+    found = {"en": Counter(), "und": Counter()}
+    for r in shards.collect():
+        (ids,), (words, counts) = (c._unpacked(pa.scalar(bytes(b))) for b in (r.ids, r.words))
+        assert [int(x) for x in np.bincount([i for i in ids.to_pylist() if i >= 0])] == counts.to_pylist() and sum(counts.to_pylist()) == r.n
+        found[r.lang].update(dict(zip(words.to_pylist(), counts.to_pylist())))
+    want = {"en": Counter(), "und": Counter()}
+    for lang, text in rows:
+        want[lang or "und"].update(re.findall(r"[^ ,.]+", text.lower()))
+    assert found == want and {r.lang: r.n for r in totals.collect()} == {k: v.total() for k, v in want.items()}
